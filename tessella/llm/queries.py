@@ -5,14 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, neardup, quality, sql, substrings
+from . import decontaminate, neardup, quality, sharding, sql, substrings, urls
+
+#: verdict, host, path
+RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), shards=24)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.rules(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -30,8 +38,14 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10))
 
 
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outcome of a page is the label of its id: bad if of low quality or toxic."""
+    bad = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return urls.judge(table(spark, sf_dir, "pages"), bad, RULES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_quality_rules, op5_near_duplicates, op8_substring_dedup, op9_decontamination)
+    f.__name__: f for f in (op1_sharding, op3_quality_rules, op5_near_duplicates, op8_substring_dedup, op9_decontamination, op10_url_filters)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -39,4 +53,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_near_duplicates": sql.near_duplicates(),
     "op8_substring_dedup": sql.substrings(),
     "op9_decontamination": sql.decontaminate(),
+    "op10_url_filters": sql.urls(RULES),
 }

@@ -78,3 +78,32 @@ def decontaminate(docs: str = "documents", items: str = "benchmark", window: int
     it AS (SELECT doc_id, count(*) n, string_agg(item_id, ',' ORDER BY item_id) s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) item_id FROM occ) GROUP BY doc_id)
     SELECT doc_id, CAST(len(ws) AS BIGINT) n_words, coalesce(h.n, 0) n_hit, coalesce(it.n, 0) n_items, sha256(coalesce(it.s, '')) items_sha256, coalesce(h.n, 0) > 0 contaminated
     FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)"""
+
+
+def urls(rules: list[tuple[str, str, str]], pages: str = "pages", labels: str = "labels") -> str:
+    from .urls import LIMIT, LONG_SUFFIXES, STRENGTHS, Z
+
+    low, high = STRENGTHS
+    case = " ".join(f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND path LIKE '{p}%' THEN '{h + p}'" for _, h, p in sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[1], r[2])))
+    verdict = " ".join(f"WHEN '{h + p}' THEN '{v}'" for v, h, p in rules)
+    last = lambda k: f"array_to_string(string_split(host, '.')[-{k}:], '.')"
+    long = ", ".join(f"'{s}'" for s in LONG_SUFFIXES)
+
+    def level(name: str, above: str) -> str:
+        join = f"JOIN {above}_p u ON u.{above} = c.{above}" if above else "CROSS JOIN (SELECT coalesce(sum(bad) / nullif(sum(n), 0), 0) mean FROM h) u"
+        keys = {"suffix": "suffix", "domain": "domain, suffix", "host": "host, domain, suffix"}[name]
+        return f"""{name}_c AS MATERIALIZED (SELECT c.*, u.mean m FROM (SELECT {keys}, sum(n) n, sum(bad) bad FROM h GROUP BY ALL) c {join}),
+        {name}_a AS (SELECT CAST(sum(n) AS DOUBLE) a, CAST(sum(n * n) AS DOUBLE) sq, count(*) k, sum(n * (bad / n - m) * (bad / n - m)) s, sum(n * m * (1 - m)) / sum(n) pq FROM {name}_c WHERE n > 0),
+        {name}_r AS (SELECT CASE WHEN pq > 0 AND a - sq / a - k + 1 > 0 THEN (s - pq * (k - 1)) / (pq * (a - sq / a - k + 1)) END r FROM {name}_a),
+        {name}_s AS (SELECT coalesce(CASE WHEN r <= 1 / (1 + {high}) THEN {high} WHEN r >= 1 / (1 + {low}) THEN {low} ELSE (1 - r) / r END, {high}) st FROM {name}_r),
+        {name}_p AS MATERIALIZED (SELECT *, a / (a + b) mean FROM (SELECT c.*, bad + m * st a, n - bad + (1 - m) * st b FROM {name}_c c CROSS JOIN {name}_s))"""
+
+    return f"""
+    WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END rest FROM {pages}),
+    p AS (SELECT page_id, {LOWER.format("regexp_extract(rest, '^[^/?#]*')")} host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) path FROM r),
+    q AS MATERIALIZED (SELECT *, CASE WHEN {last(2)} IN ({long}) THEN {last(2)} ELSE {last(1)} END suffix, CASE WHEN {last(2)} IN ({long}) THEN {last(3)} ELSE {last(2)} END AS domain FROM p),
+    o AS (SELECT doc_id, max(CAST(quality = 0 OR toxic = 1 AS INT)) bad FROM {labels} GROUP BY doc_id),
+    h AS MATERIALIZED (SELECT host, domain, suffix, CAST(count(bad) AS DOUBLE) n, CAST(coalesce(sum(bad), 0) AS DOUBLE) bad FROM q LEFT JOIN o ON o.doc_id = q.page_id GROUP BY ALL),
+    {level("suffix", "")}, {level("domain", "suffix")}, {level("host", "domain")},
+    v AS (SELECT q.*, CASE {case} END AS rule, mean - {Z} * sqrt(mean * (1 - mean) / (a + b + 1)) bound FROM q JOIN (SELECT host AS hh, mean, a, b FROM host_p) x ON x.hh = q.host)
+    SELECT page_id, host, path, rule, CASE rule {verdict} ELSE CASE WHEN bound > {LIMIT} THEN 'block' ELSE 'allow' END END verdict FROM v"""
