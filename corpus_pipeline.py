@@ -1,11 +1,54 @@
-"""Documents through quality rules, near-dedup, substring dedup, decontamination and sampled tokenisation."""
+"""Documents through quality rules, near-dedup, substring dedup, decontamination and sampled tokenisation.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns a DataFrame; all but the
+last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tessella.llm import decontaminate, neardup, pieces, quality, substrings
+from tessella.llm.common import stage
+from tessella.llm.queries import MODEL, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.keep(docs, size=5, percent=80)
+
+
+def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return substrings.remove(docs, window=50)
+
+
+def benchmark_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"), window=10, longest=10, coverage=0.8)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pieces.encode(docs, MODEL, k=2)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near duplicates", near_duplicates),
+    ("substring dedup", repeated_substrings),
+    ("decontamination", benchmark_spans),
+    ("sentencepiece", tokens),
+]
+
+#: SQL can't express the sampled tokenisation; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, f in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, f) in enumerate(STAGES):
         docs = f(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = stage(docs, f"stage-{k}")
     return docs

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, neardup, quality, sharding, sql, substrings, urls
+from . import decontaminate, neardup, pieces, quality, sharding, sql, substrings, urls
 
+#: A public SentencePiece model; its path is a parameter of the operator.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: verdict, host, path
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
@@ -21,6 +23,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), MODEL, k=2)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.rules(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -45,7 +51,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op3_quality_rules, op5_near_duplicates, op8_substring_dedup, op9_decontamination, op10_url_filters)
+    f.__name__: f for f in (op1_sharding, op2_sentencepiece, op3_quality_rules, op5_near_duplicates, op8_substring_dedup, op9_decontamination, op10_url_filters)
 }
 
 ORACLE_SQL: dict[str, str] = {
