@@ -4,8 +4,8 @@ Each task hashes all windows of its documents, and packs them for every `FLUSH`
 with the smallest doc_id is sent on, together with its document, to the bucket that a second, independent hash names;
 the others are known as repeats at once. So a window that a third of all documents hold is sent once for each flush,
 never once for each document, and a bucket's size depends on the number of buckets alone. A bucket sorts its hashes
-and finds, for each, the smallest doc_id and the documents above it. Repeats go back to their documents by doc_id,
-where overlapping windows merge into maximal intervals.
+and finds, for each, the smallest doc_id and the documents above it. Repeats go back packed by groups of documents,
+and in a document overlapping windows merge into maximal intervals.
 
 A window counts as a repeat only if the same words start in a document with a smaller doc_id; repeats inside one
 document don't count. Windows are told apart by 64 bits and the bits of their bucket. Defined results: null, empty and
@@ -30,8 +30,8 @@ from .common import Hashes, Powers, bucket_count, by_bucket, covered, stage, tex
 FLUSH, PER_BUCKET, MOST_DOCS = 1_500_000, 2_000_000, 60_000
 KEY_BASE, BUCKET_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
-PACKED = pa.schema([("bucket", pa.int64()), ("docs", pa.binary()), ("place", pa.binary()), ("keys", pa.binary())])
-FOUND = pa.schema([("doc_id", pa.int64()), ("keys", pa.binary())])
+PACKED = pa.schema([("bucket", pa.int64()), ("back", pa.bool_()), ("docs", pa.binary()), ("place", pa.binary()), ("keys", pa.binary())])
+BACK = pa.schema([("part", pa.int64()), ("docs", pa.binary()), ("sizes", pa.binary()), ("keys", pa.binary())])
 
 
 def n_buckets(docs: DataFrame, text: str = "text") -> int:
@@ -72,9 +72,7 @@ def _pack(held: list, buckets: int):
     first = np.concatenate(([True], key[1:] != key[:-1]))
     lead = ids[place[np.flatnonzero(first)]][np.cumsum(first) - 1]
     later = np.flatnonzero(~first & (ids[place] != lead))
-    rows = []
-    for p, k in _by_doc(place[later], key[later]):
-        rows.append((int(ids[p]) % buckets, ids[p : p + 1].tobytes(), None, k))
+    rows = [(p, True, d, n, k) for p, d, n, k in _back(ids[place[later]], key[later], buckets)]
     at = np.flatnonzero(first)
     order, bounds = by_bucket(bucket[at], buckets)
     at = at[order]
@@ -85,54 +83,71 @@ def _pack(held: list, buckets: int):
             used[:] = False
             used[place[own]] = True
             local = (np.cumsum(used) - 1).astype(np.uint16)
-            rows.append((b, ids[used].tobytes(), local[place[own]].tobytes(), key[own].tobytes()))
+            rows.append((b, False, ids[used].tobytes(), local[place[own]].tobytes(), key[own].tobytes()))
     for k in range(0, len(rows), 2000):
         part = rows[k : k + 2000]
-        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in part], PACKED.types[c]) for c in range(4)], schema=PACKED)
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in part], PACKED.types[c]) for c in range(5)], schema=PACKED)
 
 
-def _by_doc(doc: np.ndarray, key: np.ndarray):
-    """(document, its distinct keys as bytes)."""
+def _back(doc: np.ndarray, key: np.ndarray, parts: int):
+    """(part, its documents, how many distinct keys each has, those keys): parts of documents by doc_id."""
     if not len(doc):
         return
-    order = np.lexsort((key, doc))
-    doc, key = doc[order], key[order]
+    part = doc % parts
+    order = np.lexsort((key, doc, part))
+    doc, key, part = doc[order], key[order], part[order]
     new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])))
-    doc, key = doc[new], key[new]
-    cut = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1], [True])))
+    doc, key, part = doc[new], key[new], part[new]
+    cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
     for b, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        yield doc[b], key[b:e].tobytes()
-
-
-def _repeats(table: pa.Table) -> pa.Table:
-    """Of one bucket: each document's keys that a smaller doc_id has too."""
-    keys, docs, ready = [], [], []
-    for d, p, k in zip(*(table.column(c).to_pylist() for c in ("docs", "place", "keys")), strict=True):
-        d, k = np.frombuffer(d, np.int64), np.frombuffer(k, np.uint64)
-        if p is None:
-            ready.append((int(d[0]), k.tobytes()))
-        else:
-            keys.append(k)
-            docs.append(d[np.frombuffer(p, np.uint16)])
-    if keys:
-        key, doc = np.concatenate(keys), np.concatenate(docs)
-        order = np.argsort(key)
-        key, doc = key[order], doc[order]
-        first = np.concatenate(([True], key[1:] != key[:-1]))
-        lead = np.minimum.reduceat(doc, np.flatnonzero(first))[np.cumsum(first) - 1]
-        later = doc != lead
-        ready += [(int(d), k) for d, k in _by_doc(doc[later], key[later])]
-    return pa.table([pa.array([r[c] for r in ready], FOUND.types[c]) for c in range(2)], schema=FOUND)
+        starts = np.flatnonzero(np.concatenate(([True], doc[b + 1 : e] != doc[b : e - 1])))
+        sizes = np.diff(np.append(starts, e - b)).astype(np.int32)
+        yield int(part[b]), doc[b:e][starts].tobytes(), sizes.tobytes(), key[b:e].tobytes()
+
+
+def _repeats(parts: int) -> Callable:
+    """Of one bucket: the keys that a smaller doc_id has too, packed by parts of the documents."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, docs, ready = [], [], []
+        for bucket, back, d, p, k in zip(*(table.column(c).to_pylist() for c in PACKED.names), strict=True):
+            if back:
+                ready.append((bucket, d, p, k))
+            else:
+                keys.append(np.frombuffer(k, np.uint64))
+                docs.append(np.frombuffer(d, np.int64)[np.frombuffer(p, np.uint16)])
+        if keys:
+            key, doc = np.concatenate(keys), np.concatenate(docs)
+            order = np.argsort(key)
+            key, doc = key[order], doc[order]
+            first = np.concatenate(([True], key[1:] != key[:-1]))
+            lead = np.minimum.reduceat(doc, np.flatnonzero(first))[np.cumsum(first) - 1]
+            later = doc != lead
+            ready += _back(doc[later], key[later], parts)
+        return pa.table([pa.array([r[c] for r in ready], BACK.types[c]) for c in range(4)], schema=BACK)
+
+    return run
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """Of one part: each document's keys."""
+    own: dict[int, list[bytes]] = {}
+    for d, n, k in zip(*(table.column(c).to_pylist() for c in ("docs", "sizes", "keys")), strict=True):
+        at = 0
+        for doc, size in zip(np.frombuffer(d, np.int64).tolist(), np.frombuffer(n, np.int32).tolist(), strict=True):
+            own.setdefault(doc, []).append(k[at : at + 8 * size])
+            at += 8 * size
+    return pa.table([pa.array(list(own), pa.int64()), pa.array([b"".join(x) for x in own.values()], pa.binary())], names=["doc_id", "repeat_keys"])
 
 
 def repeats(docs: DataFrame, window: int = 50) -> DataFrame:
-    """(doc_id, keys: array of binary): the hashes of each document's windows that start in a smaller doc_id too.
-    Only documents that have such windows; staged."""
+    """(doc_id, repeat_keys): the hashes of each document's windows that start in a smaller doc_id too. Only
+    documents that have such windows. Both passes are staged, so that their shuffle files can go."""
     docs = docs.select("doc_id", "text")
     buckets = n_buckets(docs)
-    packed = docs.mapInArrow(_packer(window, buckets), "bucket long, docs binary, place binary, keys binary")
-    found = stage(packed.groupBy("bucket").applyInArrow(_repeats, "doc_id long, keys binary"), "substring-repeats")
-    return found.groupBy("doc_id").agg(F.collect_list("keys").alias("repeat_keys"))
+    packed = docs.mapInArrow(_packer(window, buckets), "bucket long, back boolean, docs binary, place binary, keys binary")
+    back = stage(packed.groupBy("bucket").applyInArrow(_repeats(buckets), "part long, docs binary, sizes binary, keys binary"), "substring-parts")
+    return stage(back.groupBy("part").applyInArrow(_gather, "doc_id long, repeat_keys binary"), "substring-repeats")
 
 
 class Marker:
@@ -141,9 +156,9 @@ class Marker:
     def __init__(self, window: int):
         self.window, self.hashes, self.powers = window, Hashes(), Powers(KEY_BASE)
 
-    def hit(self, words: list[bytes], keys: list[bytes]) -> np.ndarray:
+    def hit(self, words: list[bytes], keys: bytes) -> np.ndarray:
         own = self.powers.windows(self.hashes.of(words), self.window)
-        there = np.isin(own, np.concatenate([np.frombuffer(k, np.uint64) for k in keys]))
+        there = np.isin(own, np.frombuffer(keys, np.uint64))
         return covered(np.flatnonzero(there), self.window, len(words))
 
 
