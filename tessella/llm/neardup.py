@@ -7,9 +7,9 @@
    by the next retained value, and again, up to runs of `LONGEST` values; so a line or passage that many unlike
    documents hold yields no pairs of its own. Sets of up to `SMALL` shingles also get lists of the set, of the set
    without one, and without two shingles, which find every pair exactly, whatever the lists above do.
-3. Short lists emit their pairs, and the long lists left emit one pair for each member, with the smallest member;
-   after those pairs are verified, members that are not yet in the component of the smallest one are compared with
-   the next, and so on; after `ROUNDS` rounds what is left is compared in full.
+3. Short lists emit their pairs, and the long lists left emit one pair for each member, with the smallest member.
+   If after those pairs are verified a long list still holds several components, all its members are joined exactly,
+   by prefix filtering of their whole sets from the rarest shingle on, and only across components.
 4. The union of two sketches estimates the similarity; pairs under the threshold by more than `MARGIN` (over six
    standard deviations) go, and the exact similarity of whole sets decides on the rest.
 5. Links give connected components.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import Hashes, Powers, mix, stage, texts
 from .components import components
 
-K, SHORT, LONGEST, SMALL, ROUNDS, MARGIN = 64, 8, 8, 14, 6, 0.3
+K, SHORT, LONGEST, SMALL, MARGIN = 64, 8, 5, 14, 0.3
 BASE = 0xC2B2AE3D27D4EB4F
 SETS = "doc_id long, n long, f1 long, f2 long, sketch array<long>, small array<struct<key:long,role:int>>"
 
@@ -68,17 +68,21 @@ def _less(s: np.ndarray) -> list[dict]:
     return [{"key": int(k.view(np.int64)), "role": r} for k, r in out]
 
 
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(flat, pa.int64()))
+
+
 def _sets(size: int):
     def run(it):
         shingler = Shingler(size)
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("sketch", pa.list_(pa.int64())), ("small", pa.list_(pa.struct([("key", pa.int64()), ("role", pa.int32())])))])
+        pair = pa.list_(pa.struct([("key", pa.int64()), ("role", pa.int32())]))
         for batch in it:
-            rows = []
-            for d, t in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
-                s = shingler.of(t)
-                f = _fingerprint(s)
-                rows.append({"doc_id": d, "n": len(s), "f1": f[0], "f2": f[1], "sketch": s[:K], "small": _less(s) if 0 < len(s) <= SMALL else []})
-            yield pa.RecordBatch.from_pylist(rows, schema)
+            sets = [shingler.of(t) for t in texts(batch)]
+            marks = np.array([_fingerprint(s) for s in sets], np.int64).reshape(-1, 2)
+            small = [_less(s) if 0 < len(s) <= SMALL else [] for s in sets]
+            columns = [batch.column("doc_id"), pa.array(list(map(len, sets)), pa.int64()), pa.array(marks[:, 0]), pa.array(marks[:, 1]), _lists([s[:K] for s in sets]), pa.array(small, pair)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "f1", "f2", "sketch", "small"])
 
     return run
 
@@ -165,26 +169,45 @@ def links(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame,
 
 
 def _verified(docs: DataFrame, sketches: DataFrame, pairs: DataFrame, long: DataFrame, size: int, percent: int) -> DataFrame:
-    threshold = percent / 100
     first = long.groupBy("key").agg(F.min("doc_id").alias("first"))
     star = long.join(first.hint("shuffle_hash"), "key").filter("doc_id <> first").select(*_pairs("doc_id", "first"))
-    edges = verify(docs, stage(_estimate(sketches, pairs.union(star), threshold), "pairs"), size, percent)
-    for k in range(ROUNDS + 1):
-        long = long.join(long.groupBy("key").agg(F.min("doc_id").alias("first")).hint("shuffle_hash"), "key").filter("doc_id <> first").drop("first")
-        root = components(edges)
-        named = long.join(root.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-        mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by("root", "doc_id").alias("first_root"), F.min("doc_id").alias("first")).filter("lo < hi").drop("lo", "hi")
-        open_ = stage(named.join(mixed.hint("shuffle_hash"), "key"), "open-lists")
-        if not open_.limit(1).count():
-            break
-        if k < ROUNDS:
-            more = open_.filter("root <> first_root").select(*_pairs("doc_id", "first"))
-        else:
-            one = open_.select("key", "doc_id", "root")
-            more = one.join(one.select("key", F.col("doc_id").alias("other"), F.col("root").alias("r2")), "key").filter("doc_id < other and root <> r2").select(*_pairs("doc_id", "other"))
-        edges = stage(edges.union(verify(docs, stage(_estimate(sketches, more, threshold), "pairs"), size, percent)), "links")
-        long = open_.select("key", "doc_id")
-    return edges
+    edges = verify(docs, stage(_estimate(sketches, pairs.union(star), percent / 100), "pairs"), size, percent)
+    root = components(edges)
+    named = long.join(root.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+    open_ = stage(named.join(mixed.hint("shuffle_hash"), "key").select("doc_id", "root").distinct(), "open")
+    if not open_.limit(1).count():
+        return edges
+    return edges.union(verify(docs, stage(_by_rarity(docs, open_, size, percent), "pairs"), size, percent))
+
+
+def _by_rarity(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
+    """Every pair of members (doc_id, root) of different roots that can reach the similarity, by prefix filtering:
+    each whole set is put in order of how few members hold a shingle. Two sets that are similar enough share one of
+    the first n - need + 1 shingles of both, and what comes after the first shared one bounds their intersection. In
+    each list, the members outside its largest component are compared with the others."""
+
+    def sets(it):
+        shingler = Shingler(size)
+        for batch in it:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("root"), _lists([shingler.of(t) for t in texts(batch)])], names=["doc_id", "root", "items"])
+
+    whole = stage(docs.join(members.hint("shuffle_hash"), "doc_id").select("doc_id", "root", "text").mapInArrow(sets, "doc_id long, root long, items array<long>"), "open-sets")
+    item = whole.select("doc_id", "root", F.explode("items").alias("v"))
+    held = item.groupBy("v").agg(F.count(F.lit(1)).alias("df"))
+    order = item.join(held.hint("shuffle_hash"), "v").groupBy("doc_id", "root").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("order"))
+    n = F.size("order")
+    order = order.select("doc_id", "root", n.alias("n"), F.posexplode(F.slice("order", F.lit(1), (n - F.ceil(n * percent / 100) + 1).cast("int"))).alias("i", "e"))
+    posting = stage(order.filter("e.df > 1").select("doc_id", "root", "n", "i", F.col("e.v").alias("v")), "postings")
+    count = posting.groupBy("v", "root").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n"))
+    lists = count.groupBy("v").agg(F.min("n").alias("least"), F.max(F.struct("c", F.negative("root").alias("neg"))).alias("most"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    posting = posting.join(lists.select("v", "least", F.negative("most.neg").alias("main")).hint("shuffle_hash"), "v")
+    left = F.col("n") - F.col("i")  # no more than these are shared if v is the first shared one
+    posting = posting.filter(100 * left >= percent * (F.col("n") + F.greatest("least", left) - left))
+    x, y = posting.filter("root <> main").alias("x"), posting.alias("y")
+    both = F.least(F.expr("x.n - x.i"), F.expr("y.n - y.i"))
+    fits = F.expr("x.v = y.v and x.root <> y.root and (y.root = y.main or x.doc_id < y.doc_id)") & (100 * both >= percent * (F.col("x.n") + F.col("y.n") - both))
+    return x.join(y, fits).select(*_pairs("x.doc_id", "y.doc_id")).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
