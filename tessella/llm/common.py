@@ -38,12 +38,15 @@ def stage(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
         spark.conf.unset(CLEANUP) if old is None else spark.conf.set(CLEANUP, old)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = jpath
+    return out
 
 
-def one_row(df: DataFrame):
-    """The single row of a global aggregate."""
-    return df.first()
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables that no later job reads."""
+    for t in tables:
+        t._staged.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(t._staged, True)
 
 
 class Hashes(dict):
