@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, katz, neardup, pieces, quality, sharding, sql, substrings, urls
+from . import decontaminate, html, katz, licences, neardup, pieces, quality, sharding, sql, substrings, urls
 
 #: A public SentencePiece model; its path is a parameter of the operator.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -32,10 +32,18 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(table(spark, sf_dir, "documents"))
 
@@ -55,7 +63,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_sentencepiece, op3_quality_rules, op5_near_duplicates, op7_katz_scoring, op8_substring_dedup, op9_decontamination, op10_url_filters)
+    f.__name__: f for f in (op1_sharding, op2_sentencepiece, op3_quality_rules, op4_license_scans, op5_near_duplicates, op6_html_extraction, op7_katz_scoring, op8_substring_dedup, op9_decontamination, op10_url_filters)
 }
 
 ORACLE_SQL: dict[str, str] = {
