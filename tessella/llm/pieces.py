@@ -123,12 +123,13 @@ class Lattice:
         self.row[order] = np.arange(n)
         self.piece = np.full((n, m), -1, np.int16 if len(voc.bytes) < 1 << 15 else np.int32)
         w = np.full((n, m), -np.inf, np.float32)
-        at, h = np.arange(n), np.zeros(n, np.uint64)
+        at, h, longest = np.arange(n), np.zeros(n, np.uint64), 0
         for k in range(m):
             x = (h ^ code[at + k]) * BASE
             h = x ^ (x >> np.uint64(29))
             got = voc.find(h)
             full = np.flatnonzero(got >= 0)
+            longest = k if len(full) else longest
             to = self.row[at[full]]
             self.piece[to, k] = got[full]
             w[to, k] = voc.weight[got[full]]
@@ -139,6 +140,8 @@ class Lattice:
         self.n_bytes = np.where(chars < 0x80, 1, np.where(chars < 0x800, 2, np.where(chars < 0x10000, 3, 4)))
         bare = np.flatnonzero(self.piece[:, 0] < 0)
         w[bare, 0] = voc.weight[-1] * self.n_bytes[order[bare]]
+        m = longest + 1
+        w = np.ascontiguousarray(w[:, :m])
         beta = np.full(n + m + 1, -np.inf, np.float32)
         cut = np.searchsorted(left[order], np.arange(1, (left.max() if n else 0) + 2))
         step = np.arange(1, m + 1)
@@ -171,18 +174,21 @@ def _walk(lat: Lattice, doc: np.ndarray, place: np.ndarray, key: np.ndarray, sal
     """From each place to its unit's end: (walker, step, place, length, probability) of all steps, in order."""
     who, steps = np.arange(len(place)), []
     head = np.searchsorted(doc, np.arange(len(key)))  # draws go by the token's number in its own text
+    base = mix(mix(key + np.uint64(salt))[doc] + (who - head[doc]).astype(np.uint64) * BASE)
     start = place.copy()
     k = 0
     place = place.copy()
     while len(who):
         row = lat.row[place]
         cum = lat.cum[row]
-        u = (_uniform(key[doc[who]], salt, who - head[doc[who]], k) * cum[:, -1]).astype(np.float32)
-        size = np.minimum((cum <= u[:, None]).sum(axis=1), np.argmax(cum == cum[:, -1:], axis=1))
+        last = cum[:, -1]
+        u = (_uniform(base, k) * last).astype(np.float32)
+        u = np.minimum(u, np.nextafter(last, np.float32(0)))  # so that a piece of some probability is met
+        size = np.count_nonzero(cum <= u[:, None], axis=1)
         steps.append((who, place, size + 1, lat.p[row, size]))
         place = place + size + 1
         go = place < lat.end[steps[-1][1]]
-        who, place = who[go], place[go]
+        who, place, base = who[go], place[go], base[go]
         k += 1
     count = np.zeros(len(start), np.int64)
     for w, *_ in steps:
