@@ -80,7 +80,7 @@ def majority_label(t):
     return A.majority(t("lineitem"), "l_linenumber", ["l_partkey"]).withColumn("share", r("share"))
 
 
-@query("""SELECT user_id, event_type, round(w, 3) votes FROM (SELECT user_id, event_type, sum(CASE WHEN value > 50 THEN 2.0 ELSE 1.0 END) w,
+@query("""SELECT user_id, event_type, round(CAST(w AS DOUBLE), 3) votes FROM (SELECT user_id, event_type, sum(CASE WHEN value > 50 THEN 2.0 ELSE 1.0 END) w,
   row_number() OVER (PARTITION BY user_id ORDER BY sum(CASE WHEN value > 50 THEN 2.0 ELSE 1.0 END) DESC, min(event_id)) rn FROM events GROUP BY 1, 2) WHERE rn = 1""")
 def weighted_majority_first(t):
     e = t("events").withColumn("w", F.when(F.col("value") > 50, 2.0).otherwise(1.0))
