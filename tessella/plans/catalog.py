@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions import camera as C
 from tessella.functions import scalar as S
 from tessella.operators import aggregates as A
 from tessella.operators import graph as G
 from tessella.operators import joins as J
+from tessella.operators import rasters as R
 from tessella.operators import selection as L
 from tessella.operators import windows as W
 
@@ -337,3 +339,43 @@ def min_max_codes(t):
 @query("SELECT CAST(floor(x / 10) AS BIGINT) vx, CAST(floor(y / 10) AS BIGINT) vy, count(*) n, min(id) first FROM (" + POINTS + ") GROUP BY 1, 2")
 def voxel_groups(t):
     return _points(t).groupBy(F.floor(F.col("x") / 10).alias("vx"), F.floor(F.col("y") / 10).alias("vy")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CAST(CASE WHEN ok THEN u ELSE -1 END AS INT) u, CAST(CASE WHEN ok THEN v ELSE -1 END AS INT) v
+  FROM (SELECT *, l_discount + 0.5 > 0.51 AND u BETWEEN 0 AND 639 AND v BETWEEN 0 AND 479 ok
+    FROM (SELECT l_orderkey, l_linenumber, l_discount, round_even((l_quantity - 25) / 50 / (l_discount + 0.5) * 500 + 320, 0) u, round_even(l_tax * 8 / (l_discount + 0.5) * 500 + 40, 0) v FROM lineitem))""")
+def pinhole_projection(t):
+    z = F.col("l_discount") + 0.5
+    u, v = C.pinhole((F.col("l_quantity") - 25) / 50, F.col("l_tax") * 8, z, 500.0, 500.0, 320.0, 40.0, 640, 480, 0.51)
+    return t("lineitem").select("l_orderkey", "l_linenumber", u.alias("u"), v.alias("v"))
+
+
+@query("""SELECT vec_id, round(0.5 * sqrt(1 / pi()), 4) h0, round(-sqrt(3 / (4 * pi())) * y, 4) h1, round(sqrt(3 / (4 * pi())) * z, 4) h2, round(-sqrt(3 / (4 * pi())) * x, 4) h3,
+  round(0.5 * sqrt(15 / pi()) * x * y, 4) h4, round(-0.5 * sqrt(15 / pi()) * y * z, 4) h5, round(0.25 * sqrt(5 / pi()) * (3 * z * z - 1), 4) h6, round(-0.5 * sqrt(15 / pi()) * x * z, 4) h7, round(0.25 * sqrt(15 / pi()) * (x * x - y * y), 4) h8
+  FROM (SELECT vec_id, a / n x, b / n y, c / n z FROM (SELECT *, sqrt(a * a + b * b + c * c) n FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) a, CAST(embedding[2] AS DOUBLE) b, CAST(embedding[3] AS DOUBLE) c FROM embeddings)))""")
+def spherical_harmonics(t):
+    raw = t("embeddings").select("vec_id", *[F.col("embedding")[k].cast("double").alias(n) for k, n in enumerate("abc")])
+    n = F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b") + F.col("c") * F.col("c"))
+    unit = raw.select("vec_id", *[(F.col(c) / n).alias(d) for c, d in zip("abc", "xyz", strict=True)])
+    return unit.select("vec_id", *[r(h).alias(f"h{k}") for k, h in enumerate(C.harmonics(F.col("x"), F.col("y"), F.col("z"), 2))])
+
+
+@query("""WITH q AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) w, CAST(embedding[2] AS DOUBLE) x, CAST(embedding[3] AS DOUBLE) y, CAST(embedding[4] AS DOUBLE) z FROM embeddings),
+  m AS (SELECT vec_id, w * w + x * x + y * y + z * z n, w, x, y, z FROM q),
+  rot AS (SELECT vec_id, (w*w + x*x - y*y - z*z) / n a, 2 * (x*y - w*z) / n b, 2 * (x*z + w*y) / n c, 2 * (x*y + w*z) / n d, (w*w - x*x + y*y - z*z) / n e, 2 * (y*z - w*x) / n f, 2 * (x*z - w*y) / n g, 2 * (y*z + w*x) / n h, (w*w - x*x - y*y + z*z) / n i FROM m)
+  SELECT vec_id, round(a*a + 4*b*b + 9*c*c, 4) xx, round(a*d + 4*b*e + 9*c*f, 4) xy, round(a*g + 4*b*h + 9*c*i, 4) xz, round(d*d + 4*e*e + 9*f*f, 4) yy, round(d*g + 4*e*h + 9*f*i, 4) yz, round(g*g + 4*h*h + 9*i*i, 4) zz FROM rot""")
+def quaternion_covariance(t):
+    q = t("embeddings").select("vec_id", *[F.col("embedding")[k].cast("double").alias(n) for k, n in enumerate("wxyz")])
+    cov = C.covariance([F.col(n) for n in "wxyz"], [F.lit(1.0), F.lit(2.0), F.lit(3.0)])
+    return q.select("vec_id", *[r(c).alias(n) for c, n in zip(cov, ("xx", "xy", "xz", "yy", "yz", "zz"), strict=True)])
+
+
+@query("""WITH px AS (SELECT l_linenumber f, l_orderkey % 40 u, l_partkey % 30 v, CAST(count(*) AS DOUBLE) x FROM lineitem GROUP BY ALL),
+  g AS (SELECT p.f, p.u, p.v, (coalesce(r.x, 0) - coalesce(l.x, 0)) / 2 gu, (coalesce(d.x, 0) - coalesce(o.x, 0)) / 2 gv FROM px p
+    LEFT JOIN px r ON r.f = p.f AND r.u = p.u + 1 AND r.v = p.v LEFT JOIN px l ON l.f = p.f AND l.u = p.u - 1 AND l.v = p.v
+    LEFT JOIN px d ON d.f = p.f AND d.u = p.u AND d.v = p.v + 1 LEFT JOIN px o ON o.f = p.f AND o.u = p.u AND o.v = p.v - 1)
+  SELECT a.f, a.u, a.v, round(sum(b.gu * b.gu), 4) j11, round(sum(b.gu * b.gv), 4) j12, round(sum(b.gv * b.gv), 4) j22
+  FROM g a JOIN g b ON a.f = b.f AND b.u BETWEEN a.u - 1 AND a.u + 1 AND b.v BETWEEN a.v - 1 AND a.v + 1 GROUP BY ALL""")
+def structure_tensors(t):
+    px = t("lineitem").groupBy(F.col("l_linenumber").alias("f"), (F.col("l_orderkey") % 40).alias("u"), (F.col("l_partkey") % 30).alias("v")).agg(F.count("*").cast("double").alias("x"))
+    return R.structure_tensor(px, ["f"], "x").select("f", "u", "v", r(F.col("j11")).alias("j11"), r(F.col("j12")).alias("j12"), r(F.col("j22")).alias("j22"))
