@@ -63,3 +63,28 @@ def first_reason(rules: list[tuple[str, Column]], otherwise: str) -> Column:
     for name, c in reversed(rules):
         out = F.when(c, F.lit(name)).otherwise(out)
     return out
+
+
+def uniform(row: str, seed: int) -> Column:
+    """A number between 0 and 1 from the id and the seed, the same in every run."""
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(row).cast("string")).cast("binary"))
+    return (F.conv(F.substring(h, 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+
+
+def weighted_sample(df: DataFrame, row: str, weight: str, k: int, seed: int) -> DataFrame:
+    """k rows without replacement, each draw in proportion to the weights of what is left: the k smallest waiting
+    times. Rows of no weight are never drawn."""
+    wait = -F.log(uniform(row, seed)) / F.col(weight)
+    return df.filter(F.col(weight) > 0).withColumn("_wait", wait).orderBy("_wait", row).limit(k).drop("_wait")
+
+
+def without_lowest(df: DataFrame, x: str, row: str, n: int) -> DataFrame:
+    """All rows but the n of lowest value, ties to the lowest id. Only n ids are sorted."""
+    low = df.orderBy(x, row).limit(n).select(row)
+    return df.join(low, row, "left_anti")
+
+
+def replay(labels: DataFrame, edits: DataFrame, row: str) -> DataFrame:
+    """labels (row, label) after edits (step, row, label): the last edit of a row wins; rows without one stay."""
+    last = edits.groupBy(row).agg(F.max_by("label", "step").alias("_new"))
+    return labels.join(last, row, "left").select(row, F.coalesce("_new", "label").alias("label"))

@@ -89,3 +89,15 @@ def box_sum(df: DataFrame, x: str, keys: list[str], order: list[str], radius: in
 def last_wins(df: DataFrame, key: list[str], order: str) -> DataFrame:
     rest = [c for c in df.columns if c not in key]
     return df.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("b")).select(*key, *[F.col("b")[c].alias(c) for c in rest])
+
+
+def interpolate(df: DataFrame, keys: list[str], order: list[str], x: str, n: int) -> DataFrame:
+    """keys, order, part, x: each row and n - 1 places on the way to the next, on a Catmull-Rom curve; the ends of a
+    series count twice, and its last row stands alone."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    at = lambda k: F.lag(x, -k).over(w)
+    d = df.withColumn("_b", F.col(x).cast("double")).withColumn("_a", F.coalesce(at(-1), x)).withColumn("_c", at(1)).withColumn("_d", F.coalesce(at(2), at(1)))
+    d = d.withColumn("part", F.explode(F.sequence(F.lit(0), F.when(F.col("_c").isNull(), 0).otherwise(n - 1))))
+    t, a, b, c, e = F.col("part") / float(n), F.col("_a"), F.col("_b"), F.col("_c"), F.col("_d")
+    curve = (b * 2 + (c - a) * t + (a * 2 - b * 5 + c * 4 - e) * t * t + (b * 3 - a - c * 3 + e) * t * t * t) / 2
+    return d.select(*keys, *order, "part", F.when(F.col("part") == 0, b).otherwise(curve).alias(x))

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from tessella.functions import camera as C
 from tessella.functions import scalar as S
 from tessella.operators import aggregates as A
+from tessella.operators import clusters as K
 from tessella.operators import graph as G
 from tessella.operators import joins as J
+from tessella.operators import planes as P
 from tessella.operators import rasters as R
 from tessella.operators import selection as L
 from tessella.operators import windows as W
@@ -20,10 +22,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str):
+def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = lambda spark, d: f(lambda t: spark.read.parquet(f"{d}/{t}.parquet"))
-        ORACLE_SQL[f.__name__] = sql
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
         return f
 
     return add
@@ -379,3 +382,90 @@ def quaternion_covariance(t):
 def structure_tensors(t):
     px = t("lineitem").groupBy(F.col("l_linenumber").alias("f"), (F.col("l_orderkey") % 40).alias("u"), (F.col("l_partkey") % 30).alias("v")).agg(F.count("*").cast("double").alias("x"))
     return R.structure_tensor(px, ["f"], "x").select("f", "u", "v", r(F.col("j11")).alias("j11"), r(F.col("j12")).alias("j12"), r(F.col("j22")).alias("j22"))
+
+
+def _k_means_sql(k: int, rounds: int) -> str:
+    nearest = "SELECT id, x, y, arg_min(k, (d, k)) k FROM (SELECT p.*, k, (p.x - cx) ** 2 + (p.y - cy) ** 2 d FROM p, c{0}) GROUP BY ALL"
+    out = f"WITH p AS ({POINTS}), c0 AS (SELECT row_number() OVER (ORDER BY id) - 1 k, x cx, y cy FROM p ORDER BY id LIMIT {k})"
+    for n in range(rounds):
+        out += f", a{n} AS ({nearest.format(n)}), c{n + 1} AS (SELECT c.k, coalesce(m.x, cx) cx, coalesce(m.y, cy) cy FROM c{n} c LEFT JOIN (SELECT k, avg(x) x, avg(y) y FROM a{n} GROUP BY k) m USING (k))"
+    return out + f" SELECT id, CAST(k AS INT) AS cluster FROM ({nearest.format(rounds)})"
+
+
+@query(_k_means_sql(4, 2))
+def k_means_codebook(t):
+    return K.k_means(_points(t), "id", ["x", "y"], 4, 2)[0].select("id", "cluster")
+
+
+def _mixture_sql(rounds: int) -> str:
+    out = """WITH v AS (SELECT o_totalprice / 1000 x, 1.0 + o_custkey % 3 w FROM orders),
+  m0 AS (SELECT 0.55 pa, quantile_cont(x, 0.3) ma, greatest(stddev_pop(x), 1e-6) sa, 0.45 pb, quantile_cont(x, 0.8) mb, greatest(stddev_pop(x), 1e-6) sb FROM v)"""
+    for n in range(rounds):
+        out += f""", r{n} AS (SELECT x, w * a / (a + b) a, w * b / (a + b) b FROM (SELECT x, w, pa / sa * exp(-0.5 * ((x - ma) / sa) ** 2) a, pb / sb * exp(-0.5 * ((x - mb) / sb) ** 2) b FROM v, m{n})),
+  m{n + 1} AS (SELECT sum(a) / (sum(a) + sum(b)) pa, sum(a * x) / sum(a) ma, sqrt(sum(a * x * x) / sum(a) - (sum(a * x) / sum(a)) ** 2) sa, sum(b) / (sum(a) + sum(b)) pb, sum(b * x) / sum(b) mb, sqrt(sum(b * x * x) / sum(b) - (sum(b * x) / sum(b)) ** 2) sb FROM r{n})"""
+    return out + f" SELECT round(pa, 4) share0, round(ma, 3) mean0, round(sa, 3) sd0, round(pb, 4) share1, round(mb, 3) mean1, round(sb, 3) sd1 FROM m{rounds}"
+
+
+@query(_mixture_sql(3))
+def gaussian_mixture(t):
+    o = t("orders").select((F.col("o_totalprice") / 1000).alias("x"), (F.lit(1.0) + F.col("o_custkey") % 3).alias("w"))
+    m = K.two_gaussians(o, "x", "w", 3)
+    names = [n + k for k in "01" for n in ("share", "mean", "sd")]
+    rows = [tuple(round(m[n], 4 if n[0:2] == "sh" else 3) for n in names)] if m else []
+    return o.sparkSession.createDataFrame(rows, ", ".join(f"{n} double" for n in names))
+
+
+@query(f"""WITH RECURSIVE p AS ({POINTS}), l AS MATERIALIZED (SELECT a.id a, b.id b FROM p a JOIN p b ON a.id <> b.id AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 2.25), c AS MATERIALIZED (SELECT a id FROM l GROUP BY a HAVING count(*) >= 3),
+  e AS MATERIALIZED (SELECT a, b FROM l WHERE a IN (FROM c) AND b IN (FROM c)), r(n, m) AS (SELECT id, id FROM c UNION SELECT r.n, e.b FROM r JOIN e ON r.m = e.a), k AS (SELECT n id, min(m) AS cluster FROM r GROUP BY n)
+  SELECT * FROM k UNION ALL SELECT b, min(cluster) FROM l JOIN k ON k.id = l.a WHERE b NOT IN (FROM c) GROUP BY b""")
+def density_clusters(t):
+    p = _points(t)
+    links = J.within(p, p, "id", "id", ["x", "y"], 1.5).filter("l <> r").select(F.col("l").alias("a"), F.col("r").alias("b"))
+    return K.density_clusters(links, p, "id", 4)
+
+
+@query()
+def merged_components(t):
+    o = t("orders").select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 500 + 1000000).alias("b"), (F.col("o_totalprice") / 300000).alias("score"), F.lit(1.0).alias("confidence"))
+    return K.merge_components(o, [0.95, 0.9, 0.8], 1.0)
+
+
+@query()
+def greedy_matching(t):
+    return G.greedy_matching(t("orders").select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 4000 + 1000000).alias("b"), F.col("o_totalprice").alias("rank")))
+
+
+@query("""WITH p AS (SELECT l_linenumber g, l_quantity x, l_discount * 100 y, l_tax * 100 z, l_extendedprice / 1000 w FROM lineitem),
+  c AS (SELECT g, count(*) n, sum(w) weight, sum(w * x) / sum(w) cx, sum(w * y) / sum(w) cy, sum(w * z) / sum(w) cz FROM p GROUP BY g),
+  m AS (SELECT g, n, weight, cx, cy, cz, sum(w * (x - cx) ** 2) / weight a, sum(w * (y - cy) ** 2) / weight b, sum(w * (z - cz) ** 2) / weight c, sum(w * (x - cx) * (y - cy)) / weight d, sum(w * (x - cx) * (z - cz)) / weight e, sum(w * (y - cy) * (z - cz)) / weight f FROM p JOIN c USING (g) GROUP BY g, n, weight, cx, cy, cz),
+  q AS (SELECT *, (a + b + c) / 3 q FROM m), s AS (SELECT *, sqrt(((a - q) ** 2 + (b - q) ** 2 + (c - q) ** 2 + 2 * (d * d + e * e + f * f)) / 6) s FROM q),
+  h AS (SELECT *, ((a - q) * ((b - q) * (c - q) - f * f) - d * (d * (c - q) - f * e) + e * (d * f - (b - q) * e)) / s ** 3 / 2 h FROM s)
+  SELECT g, n, round(weight, 2) weight, round(cx, 4) cx, round(cy, 4) cy, round(cz, 4) cz, round(q + 2 * s * cos(acos(least(greatest(h, -1), 1)) / 3 + 2 * pi() / 3), 4) variance FROM h""")
+def plane_fit(t):
+    p = t("lineitem").select(F.col("l_linenumber").alias("g"), F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"), (F.col("l_tax") * 100).alias("z"), (F.col("l_extendedprice") / 1000).alias("w"))
+    f = P.fit(p, ["g"], "w")
+    return f.select("g", "n", r("weight", 2).alias("weight"), *[r(c).alias(c) for c in ("cx", "cy", "cz", "variance")])
+
+
+@query("""SELECT c_custkey FROM customer WHERE c_acctbal > 0
+  ORDER BY -ln((CAST('0x' || substr(md5('7:' || c_custkey), 1, 8) AS BIGINT) + 0.5) / 4294967296.0) / c_acctbal, c_custkey LIMIT 60""")
+def weighted_sample(t):
+    return L.weighted_sample(t("customer"), "c_custkey", "c_acctbal", 60, 7).select("c_custkey")
+
+
+@query("SELECT s_suppkey FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal, s_suppkey) n FROM supplier) WHERE n > 5")
+def crop_lowest(t):
+    return L.without_lowest(t("supplier"), "s_acctbal", "s_suppkey", 5).select("s_suppkey")
+
+
+@query("SELECT c_custkey, CAST(coalesce(label, c_nationkey) AS INT) AS label FROM customer LEFT JOIN (SELECT o_custkey c_custkey, arg_max(o_orderkey % 9, o_orderkey) AS label FROM orders GROUP BY 1) USING (c_custkey)")
+def label_edit_replay(t):
+    edits = t("orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("step"), (F.col("o_orderkey") % 9).alias("label"))
+    return L.replay(t("customer").select("c_custkey", F.col("c_nationkey").alias("label")), edits, "c_custkey").withColumn("label", F.col("label").cast("int"))
+
+
+@query("""WITH s AS (SELECT user_id, event_id, value b, coalesce(lag(value) OVER w, value) a, lead(value) OVER w c, coalesce(lead(value, 2) OVER w, lead(value) OVER w) d FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+  x AS (SELECT *, unnest(CASE WHEN c IS NULL THEN [0] ELSE [0, 1, 2] END) part FROM s)
+  SELECT user_id, event_id, part, round(CASE WHEN part = 0 THEN b ELSE (2 * b + (c - a) * (part / 3) + (2 * a - 5 * b + 4 * c - d) * (part / 3) ** 2 + (3 * b - a - 3 * c + d) * (part / 3) ** 3) / 2 END, 4) AS value FROM x""")
+def interpolated_path(t):
+    return W.interpolate(t("events").select("user_id", "event_id", "value"), ["user_id"], ["event_id"], "value", 3).withColumn("value", r("value"))
