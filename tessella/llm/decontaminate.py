@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import ALNUM, texts
+from .common import ALNUM, stage, texts, unstage
 
 #: The normalised words, in the text as it stands.
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -144,36 +145,59 @@ def item_blocks(items: DataFrame, item_id: str, text: str, most_words: int) -> I
     yield block
 
 
+def _passes(docs: DataFrame, blocks: Iterator, window: int, text: str, give, schema) -> DataFrame:
+    """One pass over the documents for each block. A pass hands on whole rows with what is hit so far, staged, so rows
+    need no key and no two blocks are held at once; the last one gives give(batch, hits, items) of what all have hit:
+    bool arrays over the words of the text as it came, and sorted item ids."""
+    spark, block, first = docs.sparkSession, next(blocks), True
+    handed = StructType([StructField("doc", docs.schema), StructField("hits", ArrayType(ArrayType(LongType()))), StructField("items", ArrayType(StringType()))])
+    while True:
+        more = next(blocks, None)
+        shared = spark.sparkContext.broadcast(SuffixAutomaton(block, window))
+
+        def walk(it, shared=shared, first=first, last=more is None):
+            auto = shared.value
+            for batch in it:
+                doc = batch if first else pa.RecordBatch.from_struct_array(batch.column("doc"))
+                hits, names = [], []
+                for t in texts(doc, text):
+                    hit, found = auto.scan(t.translate(ALNUM).split())
+                    hits.append(hit)
+                    names.append({auto.names[k] for k in found})
+                if not first:
+                    for hit, spans in zip(hits, batch.column("hits").to_pylist(), strict=True):
+                        for b, e in spans:
+                            hit[b:e] = True
+                    names = [n.union(o) for n, o in zip(names, batch.column("items").to_pylist(), strict=True)]
+                names = list(map(sorted, names))
+                if last:
+                    yield give(doc, hits, names)
+                else:
+                    yield pa.RecordBatch.from_arrays([doc.to_struct_array(), pa.array(list(map(_spans, hits)), pa.list_(pa.list_(pa.int64()))), pa.array(names, pa.list_(pa.string()))], names=["doc", "hits", "items"])
+
+        out = docs.mapInArrow(walk, schema if more is None else handed)
+        if more is None:
+            return out
+        out = stage(out, "hits")
+        shared.destroy()
+        if not first:
+            unstage(docs)
+        docs, block, first = out, more, False
+
+
 def scan(docs: DataFrame, items: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text",
          item_id: str = "item_id", item_text: str = "text", most_words: int = 2_000_000) -> DataFrame:
     """doc_id, n_words, hits (array of [start, end) word spans, merged and in order), items (array of item ids as
-    strings, sorted). An item set over most_words words is scanned for in blocks, one pass over the documents each,
-    and the passes are merged by document."""
-    spark, parts = docs.sparkSession, []
+    strings, sorted) of every row. An item set over most_words words is scanned for in blocks, one pass over the
+    documents each."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string()))])
-    for block in item_blocks(items, item_id, item_text, most_words):
-        shared = spark.sparkContext.broadcast(SuffixAutomaton(block, window))
 
-        def walk(it, shared=shared):
-            auto = shared.value
-            for batch in it:
-                n, hits, names = [], [], []
-                for t in texts(batch):
-                    words = t.translate(ALNUM).split()
-                    hit, found = auto.scan(words)
-                    n.append(len(words))
-                    hits.append(_spans(hit) if found else [])
-                    names.append(sorted({auto.names[k] for k in found}))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(hits, schema.field("hits").type), pa.array(names, pa.list_(pa.string()))], schema=schema)
-
-        parts.append(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(walk, "doc_id long, n_words long, hits array<array<long>>, items array<string>"))
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    merged = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("h"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return merged.mapInArrow(_merge, "doc_id long, n_words long, hits array<array<long>>, items array<string>")
+    def give(batch, hits, names):
+        n = pa.array(list(map(len, hits)), pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), n, pa.array(list(map(_spans, hits)), schema.field("hits").type), pa.array(names, pa.list_(pa.string()))], schema=schema)
+
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return _passes(docs, item_blocks(items, item_id, item_text, most_words), window, "text", give, "doc_id long, n_words long, hits array<array<long>>, items array<string>")
 
 
 def _spans(hit: np.ndarray) -> list[list[int]]:
@@ -181,17 +205,6 @@ def _spans(hit: np.ndarray) -> list[list[int]]:
     return np.flatnonzero(x[1:] != x[:-1]).reshape(-1, 2).tolist()
 
 
-def _merge(it):
-    for batch in it:
-        out = []
-        for n, spans in zip(batch.column("n_words").to_pylist(), batch.column("h").to_pylist(), strict=True):
-            hit = np.zeros(n, bool)
-            for b, e in spans:
-                hit[b:e] = True
-            out.append(_spans(hit))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(out, pa.list_(pa.list_(pa.int64()))), batch.column("items")], names=["doc_id", "n_words", "hits", "items"])
-
-
 def digest(found: DataFrame) -> DataFrame:
     """The per-document figures of scan()."""
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x[1] - x[0])
@@ -203,26 +216,20 @@ def remove(docs: DataFrame, items: DataFrame, window: int = 10, longest: int = 1
     """The documents without what they share with the items: a hit span of `longest` or more words is cut out of the
     text; a document of whose words a share over `coverage` is hit goes as a whole. Other columns stay as they are,
     but for n_chars, which is counted again if it is there. Spans of fewer words (short whole items) stay unless they exceed the coverage. Items beyond
-    most_words words are taken block by block, each pass over what the one before has left."""
-    spark, schema = docs.sparkSession, docs.schema
-    for block in item_blocks(items, "item_id", item_text, most_words):
-        shared = spark.sparkContext.broadcast(SuffixAutomaton(block, window))
-
-        def cut(it, shared=shared):
-            auto = shared.value
-            for batch in it:
-                at = batch.schema.get_field_index(text)
-                new, keep = [], []
-                for t in batch.column(at).cast(pa.binary()).to_pylist():
-                    hit, found = auto.scan((t or b"").translate(ALNUM).split())
-                    keep.append(not found or hit.sum() <= coverage * len(hit))
-                    new.append(_without(t, hit, longest) if found and keep[-1] else t)
-                columns = list(batch.columns)
-                columns[at] = pa.array(new, pa.binary()).cast(pa.string())
-                out = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-                yield out.filter(pa.array(keep, pa.bool_()))
-
-        docs = docs.mapInArrow(cut, schema)
+    most_words words are taken block by block; what all of them hit in the text as it came decides once."""
+    schema = docs.schema
+
+    def give(batch, hits, names):
+        at = batch.schema.get_field_index(text)
+        new, keep = [], []
+        for t, hit, found in zip(batch.column(at).cast(pa.binary()).to_pylist(), hits, names, strict=True):
+            keep.append(not found or hit.sum() <= coverage * len(hit))
+            new.append(_without(t, hit, longest) if found and keep[-1] else t)
+        columns = list(batch.columns)
+        columns[at] = pa.array(new, pa.binary()).cast(pa.string())
+        return pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
+
+    docs = _passes(docs, item_blocks(items, "item_id", item_text, most_words), window, text, give, schema)
     if "n_chars" in docs.columns:
         docs = docs.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length(text).cast(schema["n_chars"].dataType)))
     return docs

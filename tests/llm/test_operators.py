@@ -100,6 +100,16 @@ def test_decontamination_equals_sql(spark, docs):
     assert hits == 0
 
 
+def test_decontamination_does_not_depend_on_blocks(spark):
+    w = [f"w{k}" for k in range(40)]
+    items = spark.createDataFrame([(0, " ".join(w[:20])), (1, " ".join(w[20:])), (2, " ".join(w[11:26]))], "item_id long, text string")
+    rows = [(7, " ".join(w)), (7, "other words"), (None, " ".join(w[:12]) + " end"), (None, None), (8, f"a b c d e f g h i j k l m {' '.join(w[5:30])} n o p q r s t")]
+    df = spark.createDataFrame([(k, t, None, None, 0) for k, t in rows], DOCS)
+    one, more = ([sorted(map(repr, f(df, items, most_words=n).collect())) for f in (decontaminate.scan, decontaminate.remove)] for n in (1000, 20))
+    assert one == more and len(one[0]) == 5 and len(one[1]) == 3
+    assert "text='a b c d e f g h i j k l m  n o p q r s t'" in "".join(one[1])
+
+
 def test_urls_equal_sql(spark):
     pages = spark.createDataFrame([(0, None), (1, "no scheme"), (2, "HTTP://A.Example.COM/en/x?q#f"), (3, "https://www.example.com/en/1"), (4, "x://b.net/es/"), (5, "x://net"), (5, "x://net"), (6, "https://h.co.uk/a"), (None, "x://c.org/")] + [(k, f"https://bad.example.org/{k}") for k in range(10, 40)], "page_id long, url string")
     labels = spark.createDataFrame([(k, 0 if 10 <= k < 36 else 1, 0) for k in range(2, 40)], "doc_id long, quality int, toxic int")
