@@ -2,21 +2,24 @@
 
 A page's markup gives text lines (blocks), each known to lie in the main container (article, main) or not; menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments go by their element, role or class
-name. Pages are sorted by host, path and id, and each is paired with its neighbour of the same host. Their lines are
-aligned by longest common subsequence, and shared ones are deleted as what the site puts on every page. Lines of the
-main container stay in any case, and so does everything if the two pages share most of their text: then they are
-copies of one article, not two pages of one site.
+name. Pages are sorted by host, path and id, and each is paired with the page before it of the same host or, if there
+is none or it is a copy, with the page after it. Their lines, inside and outside the container, are aligned by longest
+common subsequence, and shared ones are deleted as what the site puts on every page. Copies of one article are told by
+exact tests: all lines of one page are shared, or the main containers hold equal lines, or an equal h1. A page with no
+neighbour that differs keeps the lines of its main container or, without one, all.
 
 Pages are spread by ranges of (host, path, id), so a host with a third of all pages takes as many tasks as it needs.
-The first page of a task is paired with the next instead of the one before. Defined results: null and empty html give
-an empty text; repeated pages are copies; unclosed elements end with what surrounds them, or with the page.
+The first and last pages of a range go to the ranges beside it too, so the ranges don't show in the texts. Defined
+results: null and empty html give an empty text and are nobody's neighbour; repeated pages are copies; unclosed
+elements end with what surrounds them, or with the page.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,8 +39,10 @@ AWAY_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising",
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"([A-Za-z-]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 NAME = re.compile(r"[a-z]+")
-#: A share of a page's text over which what it has in common with its neighbour makes them copies.
-COPY = 0.5
+#: Marks of a line: outside the main container, in it, its h1.
+OUTSIDE, INSIDE, HEADING = 0, 1, 2
+#: Ranges of pages to each shuffle partition, and sampled pages to each range.
+RANGES, SAMPLED = 4, 20
 
 
 def _away(tag: str, attributes: str, inside: bool) -> bool:
@@ -53,9 +58,9 @@ def _away(tag: str, attributes: str, inside: bool) -> bool:
     return any(n in AWAY_NAMES for n in NAME.findall(f"{a.get('class', '')} {a.get('id', '')}"))
 
 
-def lines(page: str) -> list[tuple[str, bool]]:
-    """(text, whether in the main container) of each block that isn't away."""
-    out: list[tuple[str, bool]] = []
+def lines(page: str) -> list[tuple[str, int]]:
+    """(text, mark) of each block that isn't away."""
+    out: list[tuple[str, int]] = []
     held: list[str] = []
     stack: list[list] = []  # element, away, main
     away = main = 0
@@ -64,7 +69,7 @@ def lines(page: str) -> list[tuple[str, bool]]:
         text = " ".join(entities.unescape("".join(held)).split())
         held.clear()
         if text:
-            out.append((text, main > 0))
+            out.append((text, OUTSIDE if not main else HEADING if any(x[0] == "h1" for x in stack[-3:]) else INSIDE))
 
     pos = 0
     while True:
@@ -126,61 +131,104 @@ def shared(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def main_text(own: list[tuple[str, bool]], other: list[tuple[str, bool]] | None) -> str:
-    """The page's lines without those that the neighbour has too."""
-    if any(m for _, m in own):
-        keep = [t for t, m in own if m]
-        return " ".join(keep)
-    texts = [t for t, _ in own]
-    gone = shared(texts, [t for t, _ in other]) if other else set()
-    if sum(len(texts[k]) for k in gone) > COPY * sum(map(len, texts)):
-        gone = set()
-    return " ".join(t for k, t in enumerate(texts) if k not in gone)
+def rest(own: list[tuple[str, int]], other: list[tuple[str, int]]) -> list[str] | None:
+    """The page's lines that the other doesn't have; None if the two are copies of one article."""
+    for marks in ((INSIDE, HEADING), (HEADING,)):
+        a, b = ([t for t, m in x if m in marks] for x in (own, other))
+        if a and a == b:
+            return None
+    gone = shared([t for t, _ in own], [t for t, _ in other])
+    if len(gone) == min(len(own), len(other)):
+        return None
+    return [t for k, (t, _) in enumerate(own) if k not in gone]
 
 
-PARSED = "page_id long, url string, host string, path string, lines array<string>, main array<boolean>"
+def main_text(own: list[tuple[str, int]], *others: list[tuple[str, int]] | None) -> str:
+    """The page's lines without those that the first of the others has too that isn't a copy."""
+    for other in others:
+        if other:
+            left = rest(own, other)
+            if left is not None:
+                return " ".join(left)
+    return " ".join([t for t, m in own if m] or [t for t, _ in own])
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every page."""
+def _key(host: str, path: str, page_id: int | None) -> tuple[str, str, int]:
+    return host, path, -(1 << 63) if page_id is None else page_id
+
+
+def ranges(keys: DataFrame, n: int) -> tuple[list, dict, dict]:
+    """Bounds of about n ranges of (host, path, page_id); the first pages of ranges, with the range before, and the last
+    pages, with the range after. The bounds come from a sample by hash, of n * SAMPLED to about twice as many."""
+    one_in = max(1, keys.count() // (n * SAMPLED))
+    few = keys.filter(F.pmod(F.xxhash64("host", "path", "page_id"), F.lit(one_in)) == 0).distinct().collect()
+    step = max(SAMPLED, -(-len(few) // n))
+    bounds = sorted(_key(*r) for r in few)[step // 2 :: step]
+
+    def place(it):
+        for batch in it:
+            found = [_key(*r) for r in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "page_id")), strict=True)]
+            at = [bisect_right(bounds, k) for k in found]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array([k[j] for k in found], t) for j, t in enumerate((pa.string(), pa.string(), pa.int64())))], names=["at", "host", "path", "page_id"])
+
+    key = F.struct("host", "path", "page_id")
+    ends = keys.mapInArrow(place, "at int, host string, path string, page_id long").groupBy("at").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).collect()
+    ends.sort(key=lambda r: r["at"])
+    before = {tuple(y["lo"]): x["at"] for x, y in zip(ends, ends[1:], strict=False)}
+    after = {tuple(x["hi"]): y["at"] for x, y in zip(ends, ends[1:], strict=False)}
+    return bounds, before, after
+
+
+PARSED = "at int, own boolean, page_id long, url string, host string, path string, lines array<string>, marks array<int>"
+
+
+def extract(pages: DataFrame, n: int | None = None) -> DataFrame:
+    """page_id, url, text, n_chars of every page, by way of about n ranges of pages."""
     host, path = host_and_path("url")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), path.alias("path"), "html")
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = n or RANGES * parts
+    edges = pages.sparkSession.sparkContext.broadcast(ranges(pages.select("host", "path", "page_id"), n))
 
     def parse(it):
+        bounds, before, after = edges.value
         for batch in it:
             found = [lines(h or "") for h in batch.column("html").to_pylist()]
+            row, at, own = [], [], []
+            for k, key in enumerate(zip(*(batch.column(c).to_pylist() for c in ("host", "path", "page_id")), strict=True)):
+                key = _key(*key)
+                home = bisect_right(bounds, key)
+                for x in {home, before.get(key, home), after.get(key, home)}:
+                    row.append(k)
+                    at.append(x)
+                    own.append(x == home)
             columns = [batch.column(c) for c in ("page_id", "url", "host", "path")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([[t for t, _ in x] for x in found], pa.list_(pa.string())), pa.array([[m for _, m in x] for x in found], pa.list_(pa.bool_()))], names=["page_id", "url", "host", "path", "lines", "main"])
+            columns += [pa.array([[t for t, _ in x] for x in found], pa.list_(pa.string())), pa.array([[m for _, m in x] for x in found], pa.list_(pa.int32()))]
+            take = pa.array(row, pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(own, pa.bool_()), *(c.take(take) for c in columns)], names=["at", "own", "page_id", "url", "host", "path", "lines", "marks"])
 
     def pair(it):
         def rows():
             for batch in it:
-                columns = [batch.column(c).to_pylist() for c in ("page_id", "url", "host", "lines", "main")]
-                for p, u, h, t, m in zip(*columns, strict=True):
-                    yield p, u, h, list(zip(t, m, strict=True))
+                columns = [batch.column(c).to_pylist() for c in ("at", "host", "own", "page_id", "url", "lines", "marks")]
+                for a, h, o, p, u, t, m in zip(*columns, strict=True):
+                    yield (a, h), o, p, u, list(zip(t, m, strict=True))
 
         def flush(done):
             texts = [t for *_, t in done]
             return pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.string()), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-        before, held, done = None, None, []  # held waits for the next page
-        for row in rows():
-            if held:
-                done.append((held[0], held[1], main_text(held[3], row[3] if row[2] == held[2] else None)))
-                held = None
-            if before and before[2] == row[2]:
-                done.append((row[0], row[1], main_text(row[3], before[3])))
-            else:
-                held = row
-            before = row
+        before = page = None
+        done = []
+        for following in chain(rows(), [None]):
+            if page and page[1]:
+                done.append((page[2], page[3], main_text(page[4], *(x[4] if x and x[0] == page[0] else None for x in (before, following)))))
             if len(done) >= 1000:
                 yield flush(done)
                 done = []
-        if held:
-            done.append((held[0], held[1], main_text(held[3], None)))
+            before, page = page, following
         if done:
             yield flush(done)
 
-    parsed = pages.mapInArrow(parse, PARSED)
-    near = parsed.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
+    near = pages.mapInArrow(parse, PARSED).repartitionById(parts, F.col("at") % parts).sortWithinPartitions("at", "host", "path", "page_id", "url", "lines", "marks")
     return near.mapInArrow(pair, "page_id long, url string, text string, n_chars long")

@@ -234,6 +234,30 @@ def test_html_cases(spark):
     assert got == {k: (v, len(v)) for k, v in want.items()}
 
 
+def html_texts(spark, rows, *n):
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), *n).collect()
+    assert len(got) == len(rows)
+    return {r.page_id: r.text for r in got}
+
+
+def test_html_differs_inside_the_container(spark):
+    page = lambda h, *x: f"<p>top</p><article><h1>{h}</h1><p>By our staff</p>{''.join(f'<p>{y}</p>' for y in x)}</article><p>only {h}</p>"
+    got = html_texts(spark, [(1, "http://a.com/1", page("One", "first story")), (2, "http://a.com/2", page("Two", "second story")), (3, "http://a.com/3", page("Two", "second story", "corrected")), (4, "http://b.com/1", page("Four", "alone"))])
+    assert got == {1: "One first story only One", 2: "Two second story only Two", 3: "Two By our staff second story corrected", 4: "Four By our staff alone"}
+
+
+def test_html_short_story_under_long_menus(spark):
+    site = "".join(f"<div>{'menu entry ' * 5}{k}</div>" for k in range(20))
+    got = html_texts(spark, [(k, f"http://a.com/{k}", f"{site}<p>story {k}</p>{site}") for k in range(1, 4)] + [(4, "http://a.com/3", f"{site}<p>story 3</p>{site}")])
+    assert {k: got[k] for k in (1, 2, 3)} == {k: f"story {k}" for k in (1, 2, 3)} and "menu entry" in got[4]
+
+
+def test_html_texts_do_not_depend_on_ranges(spark):
+    rows = [(k, f"http://h{k // 11}.com/{k:03}", f"<div>Site {k // 11}</div><p>story {k}</p><div>Foot</div>") for k in range(80)]
+    few, many = (html_texts(spark, rows, n) for n in (1, 60))
+    assert few == many == {k: f"story {k}" for k in range(80)}
+
+
 def test_lcs_equals_brute_force():
     rnd = random.Random(1)
     for _ in range(200):
