@@ -5,11 +5,12 @@
 2. Its sketch is the `K` smallest hashes, in order. The inverted lists hold runs of two neighbouring retained values:
    two sets of similarity 0.8 share one but for a chance of 0.512 ** K. A list of more than `SHORT` documents is split
    by the next retained value, and again, up to runs of `LONGEST` values; so a line or passage that many unlike
-   documents hold yields no pairs of its own. Sets of up to `SMALL` shingles also get lists of the set, of the set
+   documents hold yields few pairs of its own. Sets of up to `SMALL` shingles also get lists of the set, of the set
    without one, and without two shingles, which find every pair exactly, whatever the lists above do.
-3. Short lists emit their pairs, and the long lists left emit one pair for each member, with the smallest member.
-   If after those pairs are verified a long list still holds several components, all its members are joined exactly,
-   by prefix filtering of their whole sets from the rarest shingle on, and only across components.
+3. Short lists emit their pairs, and the long lists of every length, split or not, emit one pair for each member, with
+   the smallest member. If after those pairs are verified a long list still holds several components, all its members
+   are joined exactly, by prefix filtering of their whole sets from the rarest shingle on, and only across components.
+   So a split parts no two members for good.
 4. The union of two sketches estimates the similarity; pairs under the threshold by more than `MARGIN` (over six
    standard deviations) go, and the exact similarity of whole sets decides on the rest.
 5. Links give connected components.
@@ -92,7 +93,7 @@ def _pairs(a: str, b: str):
 
 
 def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs of the short lists and of the small sets; and the members (key, doc_id) of the long lists that are left."""
+    """Pairs of the short lists and of the small sets; and the members (key, doc_id) of the long lists of every length."""
     found, left = [], []
     size = F.size("sketch")
     at = F.explode(F.sequence(F.lit(1), size - 1))
@@ -104,18 +105,20 @@ def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
         short = keyed.filter(F.col("members") <= SHORT).select("key", "doc_id")
         found.append(short.join(short.withColumnRenamed("doc_id", "other"), "key").filter("doc_id < other").select(*_pairs("doc_id", "other")))
         long = keyed.filter(F.col("members") > SHORT)
+        left.append(long.select("key", "doc_id"))
         if length == LONGEST or not long.limit(1).count():
-            left.append(long.select("key", "doc_id"))
             break
         more = long.join(reps.select("doc_id", "sketch"), "doc_id")
         runs = more.filter(F.col("i") + length <= size).select("doc_id", "sketch", "i")
     own = reps.select("doc_id", F.explode("small").alias("s")).select("doc_id", "s.*")
     lead = own.groupBy("key").agg(F.min(F.struct("role", "doc_id")).alias("lead"), F.count(F.lit(1)).alias("members")).filter("members > 1").select("key", F.col("lead.doc_id").alias("first"))
     found.append(own.join(lead.hint("shuffle_hash"), "key").filter("doc_id <> first").select(*_pairs("doc_id", "first")))
-    pairs = found[0]
+    pairs, lists = found[0], left[0]
     for p in found[1:]:
         pairs = pairs.union(p)
-    return pairs, left[0]
+    for x in left[1:]:
+        lists = lists.union(x)
+    return pairs, lists
 
 
 def _estimate(sketches: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:

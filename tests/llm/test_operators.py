@@ -78,6 +78,18 @@ def test_hot_near_copies(spark):
     same(neardup.near_duplicates(df, 2, 80), duck(df, sql.near_duplicates()))
 
 
+def test_short_near_copies_in_long_lists(spark):
+    """Texts of 19 words, each linked with its group's first alone (16 of 20 shingles): splits of lists part none."""
+    rnd, rows = random.Random(7), []
+    for g in range(60):
+        base = [f"g{g}w{k}" for k in range(19)]
+        texts = [base] + [[*base[:k], f"x{g}.{k}", *base[k + 1 :]] for k in range(1, 18)]
+        rows += [" ".join(t) for t in rnd.sample(texts, len(texts))]
+    df = spark.createDataFrame([(k, t, None, None, 0) for k, t in enumerate(rows)], DOCS)
+    got = {(r.component_id, r["count"]) for r in neardup.near_duplicates(df, 2, 80).groupBy("component_id").count().collect()}
+    assert got == {(18 * g, 18) for g in range(60)}
+
+
 def test_substrings_equal_sql(docs):
     same(substrings.digest(docs, 50), duck(docs, sql.substrings()))
 
