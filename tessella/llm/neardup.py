@@ -7,10 +7,10 @@
    by the next retained value, and again, up to runs of `LONGEST` values; so a line or passage that many unlike
    documents hold yields few pairs of its own. Sets of up to `SMALL` shingles also get lists of the set, of the set
    without one, and without two shingles, which find every pair exactly, whatever the lists above do.
-3. Short lists emit their pairs, and the long lists of every length, split or not, emit one pair for each member, with
-   the smallest member. If after those pairs are verified a long list still holds several components, all its members
+3. Short lists emit their pairs, and the long lists of `SURE` values or more, split or not, emit one pair for each
+   member, with the smallest member. If after those pairs are verified a long list still holds several components, all its members
    are joined exactly, by prefix filtering of their whole sets from the rarest shingle on, and only across components.
-   So a split parts no two members for good.
+   So no pair that shares a run of `SURE` values is parted by a split: all pairs of sets of up to `K`.
 4. The union of two sketches estimates the similarity; pairs under the threshold by more than `MARGIN` (over six
    standard deviations) go, and the exact similarity of whole sets decides on the rest.
 5. Links give connected components.
@@ -32,6 +32,9 @@ from .common import Hashes, Powers, mix, stage, texts
 from .components import components
 
 K, SHORT, LONGEST, SMALL, MARGIN = 64, 8, 5, 14, 0.3
+#: Two sets of over SMALL and up to K shingles and similarity 0.8 share a run of so many values: of u in the union, at
+#: most u / 5 part the others into u / 5 + 1 runs.
+SURE = 3
 BASE = 0xC2B2AE3D27D4EB4F
 SETS = "doc_id long, n long, f1 long, f2 long, sketch array<long>, small array<struct<key:long,role:int>>"
 
@@ -93,7 +96,7 @@ def _pairs(a: str, b: str):
 
 
 def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs of the short lists and of the small sets; and the members (key, doc_id) of the long lists of every length."""
+    """Pairs of the short lists and of the small sets; and the members (key, doc_id) of the long lists of SURE values or more."""
     found, left = [], []
     size = F.size("sketch")
     at = F.explode(F.sequence(F.lit(1), size - 1))
@@ -105,8 +108,10 @@ def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
         short = keyed.filter(F.col("members") <= SHORT).select("key", "doc_id")
         found.append(short.join(short.withColumnRenamed("doc_id", "other"), "key").filter("doc_id < other").select(*_pairs("doc_id", "other")))
         long = keyed.filter(F.col("members") > SHORT)
-        left.append(long.select("key", "doc_id"))
+        if length >= SURE:
+            left.append(long.select("key", "doc_id"))
         if length == LONGEST or not long.limit(1).count():
+            left = left or [long.select("key", "doc_id")]
             break
         more = long.join(reps.select("doc_id", "sketch"), "doc_id")
         runs = more.filter(F.col("i") + length <= size).select("doc_id", "sketch", "i")
