@@ -155,10 +155,10 @@ def local_maxima(t):
     return W.local_maxima(t("events"), "value", ["user_id"], ["ts", "event_id"]).select("event_id")
 
 
-@query("""WITH k AS (SELECT DISTINCT c_nationkey k, c_custkey v FROM customer WHERE c_custkey % 7 = 0), n AS (SELECT *, lead(v) OVER (PARTITION BY k ORDER BY v) x FROM k)
+@query("""WITH k AS (SELECT DISTINCT o_custkey k, o_orderkey v FROM orders), n AS (SELECT *, lead(v) OVER (PARTITION BY k ORDER BY v) x FROM k)
   SELECT k, v FROM k UNION ALL SELECT k, CAST(round_even((v + x) / 2, 0) AS BIGINT) FROM n WHERE x - v > 100""")
 def gap_midpoints(t):
-    c = t("customer").filter("c_custkey % 7 = 0").select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("v")).distinct()
+    c = t("orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v")).distinct()
     return W.fill_gaps(c, "v", ["k"], 100)
 
 
@@ -189,11 +189,11 @@ def last_record_wins(t):
     return W.last_wins(t("events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], "event_id").select("user_id", "event_type", "value")
 
 
-FACES = "SELECT l_orderkey * 10 + l_linenumber f, l_partkey % 97 p, l_suppkey % 89 + 100 q, l_orderkey % 83 + 200 s FROM lineitem WHERE l_orderkey % 5 = 0"
+FACES = "SELECT l_orderkey * 10 + l_linenumber f, l_partkey % 97 p, l_suppkey % 89 + 100 q, l_orderkey % 83 + 200 s FROM lineitem"
 
 
 def _faces(t):
-    return t("lineitem").filter("l_orderkey % 5 = 0").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("f"), (F.col("l_partkey") % 97).alias("p"), (F.col("l_suppkey") % 89 + 100).alias("q"), (F.col("l_orderkey") % 83 + 200).alias("s"))
+    return t("lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("f"), (F.col("l_partkey") % 97).alias("p"), (F.col("l_suppkey") % 89 + 100).alias("q"), (F.col("l_orderkey") % 83 + 200).alias("s"))
 
 
 EDGES = f"WITH h AS (SELECT f, unnest([p, q, p]) a, unnest([q, s, s]) b FROM ({FACES})), e AS (SELECT a, b, min(f) face_a, CASE WHEN count(*) > 1 THEN max(f) END face_b, count(*) n_faces FROM h GROUP BY a, b)"
@@ -291,11 +291,11 @@ def decision_chain(t):
     return t("lineitem").select("l_orderkey", "l_linenumber", c.alias("reason"))
 
 
-GRAPH = "SELECT DISTINCT o_custkey a, 1000000 + o_orderkey % 4000 b FROM orders WHERE o_orderkey % 6 = 0"
+GRAPH = "SELECT DISTINCT o_custkey a, 1000000 + o_orderkey % 4000 b FROM orders"
 
 
 def _graph(t):
-    return t("orders").filter("o_orderkey % 6 = 0").select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 4000 + 1000000).alias("b")).distinct()
+    return t("orders").select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 4000 + 1000000).alias("b")).distinct()
 
 
 TWO_WAYS = f"g AS MATERIALIZED ({GRAPH}), e AS MATERIALIZED (SELECT a, b FROM g UNION SELECT b, a FROM g)"
@@ -324,11 +324,11 @@ def graph_smoothing(t):
     return G.smooth(v, g, 2, 0.5).withColumn("x", r("x"))
 
 
-@query(f"""WITH {TWO_WAYS}, s AS (SELECT DISTINCT a o FROM e WHERE a % 50 = 0), x AS (SELECT o, o n, 0 k FROM s UNION ALL SELECT o, e.b, 1 FROM s JOIN e ON e.a = o
+@query(f"""WITH {TWO_WAYS}, s AS (SELECT DISTINCT a o FROM e), x AS (SELECT o, o n, 0 k FROM s UNION ALL SELECT o, e.b, 1 FROM s JOIN e ON e.a = o
   UNION ALL SELECT o, f.b, 2 FROM s JOIN e ON e.a = o JOIN e f ON f.a = e.b) SELECT o origin, n AS node, min(k) ring FROM x GROUP BY ALL""")
 def two_rings(t):
     g = _graph(t)
-    s = G.both_ways(g).filter("a % 50 = 0").select(F.col("a").alias("node")).distinct()
+    s = G.both_ways(g).select(F.col("a").alias("node")).distinct()
     return G.rings(g, s, 2)
 
 

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.operators import clusters, graph, planes
 
@@ -45,3 +46,12 @@ def test_empty_points(spark):
     e = spark.createDataFrame([], "id long, x double, w double")
     assert clusters.k_means(e, "id", ["x"], 3, 2)[0].count() == 0
     assert clusters.two_gaussians(e, "x", "w", 3) is None
+
+
+def test_components_of_a_long_path(spark):
+    """Each round shortens a path by jumps, and the plan doesn't grow with the rounds."""
+    n = 5000
+    e = spark.range(n - 1).select(((F.col("id") * 7919) % n).alias("a"), (((F.col("id") + 1) * 7919) % n).alias("b"))
+    got = graph.components(e)
+    assert got.groupBy("root").count().collect() == [(0, n)]
+    assert len(got._jdf.queryExecution().optimizedPlan().stats().simpleString()) < 40
