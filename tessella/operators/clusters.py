@@ -59,6 +59,7 @@ def density_clusters(links: DataFrame, points: DataFrame, row: str, least: int)
     """(row, cluster) of the points that belong to a cluster, from links (a, b), both ways, between points in reach.
     A point with `least` in reach, itself included, is a core; linked cores form clusters, named by their lowest core;
     another point joins the lowest cluster of the cores in its reach."""
+    links = cut(links)
     many = links.groupBy(F.col("a").alias(row)).agg((F.count("*") + 1).alias("n")).filter(F.col("n") >= least)
     core = cut((many if least > 1 else points).select(row))
     from_core = links.join(core.withColumnRenamed(row, "a"), "a")
