@@ -1,20 +1,27 @@
 """SentencePiece encoding and decoding: distinct sampled segmentations by Gumbel top-k without replacement.
 
-A text is one unit after another: leading spaces and a word, or a newline. No piece crosses units, so the lattice of
-the text is the chain of its units' lattices. Their edges are the vocabulary's pieces, weighted by rank, and the bytes
-of characters that no piece covers. Backward sums over each distinct unit's lattice give, at each place, the exact
+A text is one unit after another: leading spaces and a word, or a newline; a unit of over `LONGEST` characters (text
+without spaces) is cut every `LONGEST`. No piece crosses units, so the lattice of the text is the chain of its units'
+lattices. Their edges are the vocabulary's pieces and the bytes of characters that no piece covers. A unigram model's
+scores are their log weights. A BPE model has no such scores, only ranks of merges (0, -1, -2, ...), of which Zipf's
+law makes log weights, -log(rank + 10). Backward sums over each distinct unit's lattice give, at each place, the exact
 probability of every next piece.
 
-The `k` segmentations of a text with the largest Gumbel-perturbed log probabilities are found top down: a sampled path
-splits the rest of the space into subtrees, one for each step (the same pieces up to there, another piece next). Each
-subtree's mass is known, and so is the law of its largest perturbed value given its parent's: a Gumbel value cut off at
-it. The search opens the subtree with the largest value next, as A* does with an exact bound, and so yields the
-segmentations in order, without replacement. The largest value left unopened is the threshold of the inclusion
-probability 1 - exp(-exp(log_prob - threshold)) of each. All draws come from hashes of the row's key, so a task that
-runs again draws the same.
+The `k` segmentations of a text with the largest Gumbel-perturbed log probabilities are found by A* search from the
+top down: a sampled path splits the rest of the space into subtrees, one for each step (the same pieces up to there,
+another piece next). A subtree's exact bound is the largest perturbed value in it: a Gumbel value of its mass, cut off
+at the value found last, which bounds all unopened subtrees alike. So the largest bound of the open list is one Gumbel
+value of the list's summed mass, and the subtree that has it is drawn by mass. That one is opened next: another piece
+at its turn, and from there a path down to the end. The segmentations come out in order, without replacement. The
+largest bound left unopened is the threshold of the inclusion probability 1 - exp(-exp(log_prob - threshold)) of each.
+All draws come from hashes of the row's key, so a task that runs again draws the same.
+
+A task remembers the lattices of up to `REMEMBERED` characters of units, and holds `FLUSH` units or `FLUSH_BYTES` of
+texts at a time, or one text if that is longer; a character of distinct units takes some 60 bytes, and a step 40.
 
 Defined results: null and empty texts have one segmentation without pieces, of log probability 0; a text with fewer
-than k segmentations gives all it has, with inclusion 1; repeated rows draw alike. Decoding gives back the text byte
+than k segmentations gives all it has, with inclusion 1; repeated rows, and rows without a doc_id with equal texts,
+draw alike; an empty table gives no rows; columns but doc_id and text are not read. Decoding gives back the text byte
 for byte.
 """
 
@@ -32,9 +39,10 @@ from .common import mix, texts
 SPACE = "▁"
 UNIT = re.compile(r"\n| *[^ \n]+| +")
 BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Tokens that a task segments at a time.
-FLUSH = 400_000
+LONGEST, REMEMBERED, FLUSH, FLUSH_BYTES, BUILD = 1024, 2_000_000, 150_000, 2_000_000, 400_000
 ENCODED = "doc_id long, rank int, n_pieces long, log_prob double, perturbed double, inclusion double, round_trip boolean, ids array<int>"
+#: Where the draws of an operation begin; a step of a walk, and a round of the search, are added.
+WALK, ROOT, NEXT, OWNER, TURN, PIECE = (k << 40 for k in range(6))
 
 
 class Vocabulary:
@@ -51,8 +59,9 @@ class Vocabulary:
         pieces = {p: i for p, i in pieces.items() if "\n" not in p and SPACE not in p.lstrip(SPACE)}
         self.byte_ids = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32)
         self.longest = max(map(len, pieces))
-        rank = np.arange(n) + 10.0
-        self.weight = np.append(-np.log(rank), -2 * np.log(n + 10.0)).astype(np.float64)  # the last is a byte's
+        score = np.array([sp.get_score(i) for i in range(n)])
+        merges = not (score % 1).any()  # ranks of merges, not log probabilities
+        self.weight = np.append(-np.log(10.0 - score), -2 * np.log(n + 10.0)) if merges else np.append(score, score.min() - 10.0)  # the last is a byte's
         self.bytes = [b""] * n
         for p, i in pieces.items():
             self.bytes[i] = p.replace(SPACE, " ").encode()
@@ -98,268 +107,324 @@ class Vocabulary:
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """The bytes of each of the runs of ids, without the space put before a text."""
+        flat, cuts = self._flat(ids, counts)
+        return [flat[b + 1 : e] for b, e in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def spell(self, ids: np.ndarray, counts: np.ndarray, own: list[bytes]) -> list[bool]:
+        """Whether each run of ids decodes to its own text."""
+        flat, cuts = self._flat(ids, counts)
+        if flat == b"".join([b" " + t if t else b"" for t in own]) and np.array_equal(np.diff(cuts), [len(t) + bool(t) for t in own]):
+            return [True] * len(own)
+        return [flat[b + 1 : e] == t for b, e, t in zip(cuts[:-1], cuts[1:], own, strict=True)]
+
+    def _flat(self, ids: np.ndarray, counts: np.ndarray) -> tuple[bytes, list[int]]:
         size = self.sizes[ids]
         total = np.concatenate(([0], np.cumsum(size)))
-        at = np.repeat(self.offsets[ids] - total[:-1], size) + np.arange(total[-1])
-        flat = self.flat[at].tobytes()
-        cuts = total[np.concatenate(([0], np.cumsum(counts)))].tolist()
-        return [flat[b + 1 : e] for b, e in zip(cuts[:-1], cuts[1:], strict=True)]
+        return self.flat[spans(self.offsets[ids], size)].tobytes(), total[np.concatenate(([0], np.cumsum(counts)))].tolist()
+
+
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of every run of a size from a start on, run after run."""
+    end = np.cumsum(sizes)
+    return np.repeat(starts - end + sizes, sizes) + np.arange(end[-1] if len(end) else 0)
+
+
+def _uniform(key: np.ndarray, salt: int) -> np.ndarray:
+    x = mix(key + np.uint64((salt * int(BASE) + 1) & (2**64 - 1)))
+    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
+
+
+class Lattices(dict):
+    """Distinct units to the places of their first characters. A place has `many` options from `first` on, the longest
+    piece first; an option has its piece (-1: the character's bytes), size, log probability, whether it ends the unit,
+    and the sum of probabilities up to it (the last: 2)."""
+
+    COLUMNS = {"chars": np.int32, "first": np.int32, "many": np.uint8}
+    OPTIONS = {"piece": np.int32, "size": np.uint8, "logp": np.float32, "upto": np.float32, "place": np.int32, "ends": np.bool_}
+
+    def __init__(self, voc: Vocabulary):
+        self.voc = voc
+        self.forget()
 
+    def forget(self) -> None:
+        self.clear()
+        self.new: list[str] = []
+        self.n = self.built = self.n_options = 0
+        self.at = {k: np.zeros(1 << 16, t) for k, t in (self.COLUMNS | self.OPTIONS).items()}
 
-class Lattice:
-    """Of many distinct units at once: their characters end to end, at each the possible next pieces."""
+    def __missing__(self, unit: str) -> int:
+        place = self[unit] = self.n
+        self.n += len(unit)
+        self.new.append(unit)
+        return place
 
-    def __init__(self, units: list[str], voc: Vocabulary):
-        chars = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.int64)
-        self.chars = chars
+    def read(self, text: str) -> np.ndarray:
+        """The places of a text's units, which build() then has to complete."""
+        units = UNIT.findall(text)
+        if len(text) > LONGEST and max(map(len, units)) > LONGEST:
+            units = [u[k : k + LONGEST] for u in units for k in range(0, len(u), LONGEST)]
+        return np.fromiter(map(self.__getitem__, units), np.int64, len(units))
+
+    def build(self) -> None:
+        held, size = [], 0
+        for u in [*self.new, None]:
+            if held and (u is None or size >= BUILD):
+                self._build(held)
+                held, size = [], 0
+            if u is not None:
+                held.append(u)
+                size += len(u)
+        self.new = []
+
+    def _put(self, names: dict, base: int, parts: dict) -> None:
+        for name in names:
+            a, x = self.at[name], parts[name]
+            if base + len(x) > len(a):
+                self.at[name] = a = np.concatenate((a[:base], np.zeros(max(len(x), base), a.dtype)))
+            a[base : base + len(x)] = x
+
+    def _build(self, units: list[str]) -> None:
+        voc = self.voc
+        chars = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         code = np.where(chars == 32, ord(SPACE), np.where(chars == ord(SPACE), 0x110000, chars)).astype(np.uint64)
         size = np.array(list(map(len, units)), np.int64)
-        end = np.cumsum(size)
-        self.start, self.end = end - size, np.repeat(end, size)
-        n, m = len(chars), voc.longest
-        left = self.end - np.arange(n)
-        order = np.argsort(left, kind="stable")  # rows of the tables go by how much of the unit is left
-        self.row = np.empty(n, np.int64)
-        self.row[order] = np.arange(n)
-        self.piece = np.full((n, m), -1, np.int16 if len(voc.bytes) < 1 << 15 else np.int32)
-        w = np.full((n, m), -np.inf, np.float32)
-        at, h, longest = np.arange(n), np.zeros(n, np.uint64), 0
-        for k in range(m):
+        n = len(chars)
+        left = np.repeat(np.cumsum(size), size) - np.arange(n)  # in the unit, from here on
+        at, h, parts = np.arange(n), np.zeros(n, np.uint64), []
+        bare = np.ones(n, bool)
+        for k in range(voc.longest):
             x = (h ^ code[at + k]) * BASE
             h = x ^ (x >> np.uint64(29))
             got = voc.find(h)
             full = np.flatnonzero(got >= 0)
-            longest = k if len(full) else longest
-            to = self.row[at[full]]
-            self.piece[to, k] = got[full]
-            w[to, k] = voc.weight[got[full]]
+            parts.append((k + 1, at[full], got[full], voc.weight[got[full]]))
+            if not k:
+                bare[at[full]] = False
             go = np.flatnonzero((got > -2) & (left[at] > k + 1))
             at, h = at[go], h[go]
             if not len(at):
                 break
-        self.n_bytes = np.where(chars < 0x80, 1, np.where(chars < 0x800, 2, np.where(chars < 0x10000, 3, 4)))
-        bare = np.flatnonzero(self.piece[:, 0] < 0)
-        w[bare, 0] = voc.weight[-1] * self.n_bytes[order[bare]]
-        m = longest + 1
-        w = np.ascontiguousarray(w[:, :m])
-        beta = np.full(n + m + 1, -np.inf, np.float32)
-        cut = np.searchsorted(left[order], np.arange(1, (left.max() if n else 0) + 2))
-        step = np.arange(1, m + 1)
-        for r in range(1, len(cut)):
-            i, own = order[cut[r - 1] : cut[r]], w[cut[r - 1] : cut[r]]
-            if not len(i):
+        bare = np.flatnonzero(bare)
+        parts.append((1, bare, np.full(len(bare), -1), voc.weight[-1] * _n_bytes(chars[bare])))
+        many = sum((np.bincount(p, minlength=n) for _, p, *_ in parts), np.zeros(n, np.int64))
+        by_left = np.argsort(left, kind="stable")  # options go by how much of the unit is left, then by place
+        first = np.empty(n, np.int64)
+        first[by_left] = np.cumsum(many[by_left]) - many[by_left]
+        free, m = first.copy(), int(many.sum())
+        piece, step, place, value = np.empty(m, np.int32), np.empty(m, np.int64), np.empty(m, np.int64), np.empty(m)
+        for k, p, got, w in reversed(parts):
+            to = free[p]
+            free[p] += 1
+            piece[to], step[to], place[to], value[to] = got, k, p, w
+        ends = step == left[place]
+        beta, logp = np.zeros(n + voc.longest + 1), np.empty(m)
+        cut = np.searchsorted(left[by_left], np.arange(1, (left.max() if n else 0) + 2))
+        for b, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            if b == e:
                 continue
-            to = beta[i[:, None] + step]
-            if r <= m:
-                to[:, r - 1] = 0.0  # the unit's end
-                to[:, r:] = -np.inf
-            own += to
-            top = own.max(axis=1)
-            own -= top[:, None]
-            np.exp(own, out=own)
-            total = own.sum(axis=1)
-            beta[i] = top + np.log(total)
-            own /= total[:, None]
-        self.p = w  # of each next piece
-        self.cum = np.cumsum(w, axis=1)
-
-
-def _uniform(key: np.ndarray, *salt: np.ndarray | int) -> np.ndarray:
-    for s in salt:
-        key = mix(key + np.asarray(s).astype(np.uint64) * BASE + np.uint64(1))
-    return ((key >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
-
-
-def _walk(lat: Lattice, doc: np.ndarray, place: np.ndarray, key: np.ndarray, salt: int):
-    """From each place to its unit's end: (walker, step, place, length, probability) of all steps, in order."""
-    who, steps = np.arange(len(place)), []
-    head = np.searchsorted(doc, np.arange(len(key)))  # draws go by the token's number in its own text
-    base = mix(mix(key + np.uint64(salt))[doc] + (who - head[doc]).astype(np.uint64) * BASE)
-    start = place.copy()
-    k = 0
-    place = place.copy()
-    while len(who):
-        row = lat.row[place]
-        cum = lat.cum[row]
-        last = cum[:, -1]
-        u = (_uniform(base, k) * last).astype(np.float32)
-        u = np.minimum(u, np.nextafter(last, np.float32(0)))  # so that a piece of some probability is met
-        size = np.count_nonzero(cum <= u[:, None], axis=1)
-        steps.append((who, place, size + 1, lat.p[row, size]))
-        place = place + size + 1
-        go = place < lat.end[steps[-1][1]]
-        who, place, base = who[go], place[go], base[go]
-        k += 1
-    count = np.zeros(len(start), np.int64)
-    for w, *_ in steps:
-        count[w] += 1
-    first = np.cumsum(count) - count
-    total = int(count.sum())
-    out = np.zeros(total, np.int64), np.zeros(total, np.int64), np.zeros(total)
-    for k, (w, *cols) in enumerate(steps):
-        for o, c in zip(out, cols, strict=True):
-            o[first[w] + k] = c
-    return count, *out
-
-
-def _gumbel_below(mass: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """Gumbel values of the log masses, cut off at the bounds."""
-    g = mass - np.log(-np.log(u))
-    return -np.logaddexp(-bound, -g)
-
-
-def _best(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Index of the largest value of each run; -1 for runs that have none above -inf."""
-    out = np.full(len(bounds) - 1, -1)
-    full = np.flatnonzero(bounds[1:] > bounds[:-1])
-    if len(full):
-        top = np.maximum.reduceat(value, bounds[:-1][full])
-        run = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        peak = np.zeros(len(bounds) - 1)
-        peak[full] = top
-        at = np.flatnonzero((value == peak[run]) & (value > -np.inf))
-        out[run[at][::-1]] = at[::-1]
-    return out
-
-
-def sample(lat: Lattice, units: np.ndarray, bounds: np.ndarray, key: np.ndarray, k: int):
-    """For documents given as runs of unit numbers: a list of k (alive, place, size, bounds, log_prob, perturbed),
-    and the threshold. Arrays of the j-th hold only documents that have a j-th segmentation, in order."""
+            p = by_left[b:e]
+            o = slice(first[p[0]], first[p[-1]] + many[p[-1]])
+            v = value[o] + np.where(ends[o], 0.0, beta[place[o] + step[o]])
+            runs, count = first[p] - first[p[0]], many[p]
+            top = np.maximum.reduceat(v, runs)
+            v -= np.repeat(top, count)
+            total = np.log(np.add.reduceat(np.exp(v), runs))
+            beta[p] = top + total
+            logp[o] = v - np.repeat(total, count)
+        upto = np.cumsum(np.exp(logp))
+        head = first[place]
+        upto -= np.where(head > 0, upto[head - 1], 0.0)
+        upto[(first + many)[place] - 1 == np.arange(m)] = 2.0
+        self._put(self.OPTIONS, self.n_options, {"piece": piece, "size": step, "logp": np.minimum(logp, 0.0), "upto": upto, "place": place + self.built, "ends": ends})
+        self._put(self.COLUMNS, self.built, {"chars": chars, "first": first + self.n_options, "many": many})
+        self.built += n
+        self.n_options += m
+
+    def walk(self, place: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From each place to its unit's end: how many options each walker takes, and all of them, in order."""
+        first, size, upto, ends = (self.at[c] for c in ("first", "size", "upto", "ends"))
+        who, place, steps, n = np.arange(len(place)), place, [], len(place)
+        while len(who):
+            u = _uniform(key, WALK + len(steps)).astype(np.float32)
+            o = first[place]
+            on = np.flatnonzero(u >= upto[o])
+            while len(on):
+                o[on] += 1
+                on = on[u[on] >= upto[o[on]]]
+            steps.append((who, o))
+            go = np.flatnonzero(~ends[o])
+            who, place, key = who[go], (place + size[o])[go], key[go]
+        count = np.zeros(n, np.int64)
+        for w, _ in steps:
+            count[w] += 1
+        begin = np.cumsum(count) - count
+        out = np.empty(int(count.sum()), np.int32)
+        for k, (w, o) in enumerate(steps):
+            out[begin[w] + k] = o
+        return count, out
+
+
+def _n_bytes(chars: np.ndarray) -> np.ndarray:
+    return np.where(chars < 0x80, 1, np.where(chars < 0x800, 2, np.where(chars < 0x10000, 3, 4)))
+
+
+class Paths:
+    """A segmentation of each of some documents: its options and the tokens that they lie in, document after document;
+    its log probability and perturbed value; and, for each step, the mass of the unopened subtrees beside it."""
+
+    def __init__(self, lat: Lattices, n: int, doc: np.ndarray, opt: np.ndarray, token: np.ndarray, bounds: np.ndarray, since: np.ndarray, perturbed: np.ndarray):
+        self.lat, self.doc, self.opt, self.token, self.bounds, self.perturbed = lat, doc, opt, token, bounds, perturbed
+        self.row = np.full(n, -1)
+        self.row[doc] = np.arange(len(doc))
+        logp = lat.at["logp"][opt].astype(np.float64)
+        total = np.concatenate(([0.0], np.cumsum(logp)))
+        self.log_prob = total[bounds[1:]] - total[bounds[:-1]]
+        sizes = np.diff(bounds)
+        self.before = total[:-1] - np.repeat(total[bounds[:-1]], sizes)
+        self.mass = np.exp(self.before) * -np.expm1(logp)
+        self.mass[spans(bounds[:-1], np.minimum(since, sizes))] = 0.0
+        self.barred = np.zeros(len(opt), np.int64)  # options of a step, as bits, besides its own, that were opened
+
+    def total(self) -> np.ndarray:
+        out = np.zeros(len(self.doc))
+        full = np.flatnonzero(np.diff(self.bounds) > 0)
+        if len(full):
+            out[full] = np.add.reduceat(self.mass, self.bounds[:-1][full])
+        return out
+
+    def pick(self, row: np.ndarray, total: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """A step of each of the rows, drawn by mass."""
+        sizes = np.diff(self.bounds)[row]
+        at = spans(self.bounds[:-1][row], sizes)
+        share = np.cumsum(self.mass[at] / np.repeat(total, sizes))
+        end = np.cumsum(sizes)
+        low = np.where(end > sizes, share[end - sizes - 1], 0.0)
+        found = np.clip(np.searchsorted(share, low + u * (share[end - 1] - low), "right"), end - sizes, end - 1)
+        step = at[found]
+        for k in np.flatnonzero(self.mass[step] <= 0).tolist():  # by rounding
+            step[k] = self.bounds[row[k]] + self.mass[self.bounds[row[k]] : self.bounds[row[k] + 1]].argmax()
+        return step
+
+    def turn(self, step: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """Another option at each of the steps, drawn by probability; it is barred from now on."""
+        at = self.lat.at
+        own = self.opt[step]
+        head = at["first"][at["place"][own]]
+        many = at["many"][at["place"][own]].astype(np.int64)
+        rank = np.arange(int(many.max()))
+        p = np.exp(at["logp"][np.minimum(head[:, None] + rank, self.lat.n_options - 1)].astype(np.float64))
+        p[(rank >= many[:, None]) | (rank == (own - head)[:, None]) | ((self.barred[step][:, None] >> rank) & 1 == 1)] = 0.0
+        upto = np.cumsum(p, axis=1)
+        got = np.minimum((upto <= (u * upto[:, -1])[:, None]).sum(axis=1), len(rank) - 1)
+        each = np.arange(len(step))
+        got = np.where(p[each, got] > 0, got, p.argmax(axis=1))
+        left = p.sum(axis=1) - p[each, got]
+        p[each, got] = 0.0
+        left[~(p > 0).any(axis=1)] = 0.0
+        self.mass[step] = np.exp(self.before[step]) * left
+        self.barred[step] |= np.left_shift(1, got)
+        return (head + got).astype(np.int32)
+
+
+def sample(lat: Lattices, place: np.ndarray, bounds: np.ndarray, key: np.ndarray, k: int) -> tuple[list[Paths], np.ndarray]:
+    """For documents given as runs of places of units: up to k Paths, the j-th of the documents that have a j-th
+    segmentation, and the threshold of each document."""
     n = len(bounds) - 1
-    token_doc = np.repeat(np.arange(n), np.diff(bounds))
-    count, place, size, p = _walk(lat, token_doc, lat.start[units], key, 0)
+    number = np.arange(len(place)) - np.repeat(bounds[:-1], np.diff(bounds))  # draws go by the token's number in its text
+
+    def keys(doc, number, j):
+        return mix(mix(key + np.uint64(j))[doc] + number.astype(np.uint64) * BASE)
+
+    count, opt = lat.walk(place, keys(np.repeat(np.arange(n), np.diff(bounds)), number, 0))
     ends = np.concatenate(([0], np.cumsum(count)))
-    step_token = np.repeat(np.arange(len(units)), count)
-    g = -np.log(-np.log(_uniform(key, 1 << 40)))
-    pool = [_open(np.arange(n), place, size, p, step_token, ends[bounds], np.zeros(n, np.int64), g, np.zeros(n), key, 0)]
-    out = [pool[0]]
+    token = np.repeat(np.arange(len(place), dtype=np.int32), count)
+    value = -np.log(-np.log(_uniform(key, ROOT)))
+    pool = [Paths(lat, n, np.arange(n), opt, token, ends[bounds], np.zeros(n, np.int64), value)]
     for j in range(1, k + 1):
-        # the best unopened subtree of each document
-        best, owner, at = np.full(n, -np.inf), np.full(n, -1), np.full(n, -1)
-        for i, x in enumerate(pool):
-            b = _best(x["value"], x["bounds"])
-            ok = np.flatnonzero(b >= 0)
-            d = x["doc"][ok]
-            more = x["value"][b[ok]] > best[d]
-            best[d[more]], owner[d[more]], at[d[more]] = x["value"][b[ok[more]]], i, b[ok[more]]
-        if j == k:
-            return out, best
-        alive = np.flatnonzero(owner >= 0)
-        pl, sz, pr, tk, lens, since, mass0 = [], [], [], [], [], [], []
-        turn_place, turn_key = np.zeros(len(alive), np.int64), alive
-        kept = np.zeros(len(alive), np.int64)
-        barred = np.zeros(len(alive), np.int64)
-        for a, d in enumerate(alive.tolist()):
-            x = pool[owner[d]]
-            turn_place[a] = x["place"][at[d]]
-            barred[a] = x["barred"][at[d]]
-            kept[a] = at[d] - x["bounds"][np.searchsorted(x["doc"], d)]
-        # another piece at the turn
-        m = lat.p.shape[1]
-        free = np.where((barred[:, None] >> np.arange(m)) & 1, 0.0, lat.p[lat.row[turn_place]])
-        cum = np.cumsum(free, axis=1)
-        u = _uniform(key[alive], (1 << 41) + j) * cum[:, -1]
-        turn = np.minimum((cum <= u[:, None]).sum(axis=1), m - 1)
-        turn = np.where(free[np.arange(len(alive)), turn] > 0, turn, free.argmax(axis=1))
-        turn_p = lat.p[lat.row[turn_place], turn]
+        mass = np.zeros((len(pool), n))
+        for x, m in zip(pool, mass, strict=True):
+            m[x.doc] = x.total()
+        total = mass.sum(axis=0)
+        some = np.flatnonzero(total > 0)
+        bound, value = value, np.full(n, -np.inf)
+        value[some] = -np.logaddexp(-bound[some], -(np.log(total[some]) - np.log(-np.log(_uniform(key[some], NEXT + j)))))
+        if j == k or not len(some):
+            return pool, value
+        doc, own = some, mass[:, some]
+        owner = np.minimum((np.cumsum(own, axis=0) <= _uniform(key[doc], OWNER + j) * total[doc]).sum(axis=0), len(pool) - 1)
+        owner = np.where(own[owner, np.arange(len(doc))] > 0, owner, own.argmax(axis=0))
+        step, turn, kept, at = (np.zeros(len(doc), np.int64) for _ in range(4))
+        for q, x in enumerate(pool):
+            i = np.flatnonzero(owner == q)
+            if len(i):
+                row = x.row[doc[i]]
+                step[i] = x.pick(row, own[q, i], _uniform(key[doc[i]], TURN + j))
+                turn[i] = x.turn(step[i], _uniform(key[doc[i]], PIECE + j))
+                kept[i] = step[i] - x.bounds[row]
+                at[i] = x.token[step[i]]
         # the rest of the turn's unit, and all units after it
-        rest_place, rest_doc, rest_token, n_rest = [], [], [], np.zeros(len(alive), np.int64)
-        for a, d in enumerate(alive.tolist()):
-            t = pool[owner[d]]["token"][at[d]]
-            after = turn_place[a] + turn[a] + 1
-            head = [after] if after < lat.end[turn_place[a]] else []
-            tail = lat.start[units[t + 1 : bounds[d + 1]]]
-            rest_place.append(np.concatenate((np.array(head, np.int64), tail)))
-            rest_token.append(np.arange(t + 1 - len(head), bounds[d + 1]))
-            n_rest[a] = len(rest_place[-1])
-        flat_place = np.concatenate(rest_place) if len(alive) else np.zeros(0, np.int64)
-        flat_token = np.concatenate(rest_token) if len(alive) else np.zeros(0, np.int64)
-        rest_doc = np.repeat(alive, n_rest)
-        wc, wp, ws, wq = _walk(lat, rest_doc, flat_place, key, j)
-        wt = np.repeat(flat_token, wc)
-        wb = np.concatenate(([0], np.cumsum(wc)))[np.concatenate(([0], np.cumsum(n_rest)))]
-        for a, d in enumerate(alive.tolist()):
-            x = pool[owner[d]]
-            b = x["bounds"][np.searchsorted(x["doc"], d)]
-            e = at[d]
-            pl += [x["place"][b:e], turn_place[a : a + 1], wp[wb[a] : wb[a + 1]]]
-            sz += [x["size"][b:e], turn[a : a + 1] + 1, ws[wb[a] : wb[a + 1]]]
-            pr += [x["p"][b:e], turn_p[a : a + 1], wq[wb[a] : wb[a + 1]]]
-            tk += [x["token"][b:e], x["token"][e : e + 1], wt[wb[a] : wb[a + 1]]]
-            lens.append(e - b + 1 + wb[a + 1] - wb[a])
-        cat = lambda parts, t: np.concatenate(parts) if parts else np.zeros(0, t)
-        new = _open(alive, cat(pl, np.int64), cat(sz, np.int64), cat(pr, float), cat(tk, np.int64), np.concatenate(([0], np.cumsum(np.array(lens, np.int64)))), kept + 1, best[alive], np.zeros(len(alive)), key, j)
-        # what is left of the subtree that was opened
-        for a, d in enumerate(alive.tolist()):
-            x, e = pool[owner[d]], at[d]
-            x["barred"][e] |= 1 << int(turn[a])
-            left = lat.p[lat.row[x["place"][e]]][(x["barred"][e] >> np.arange(m)) & 1 == 0].sum()
-            u = _uniform(key[d : d + 1], (1 << 42) + j)
-            x["value"][e] = _gumbel_below(np.array([x["before"][e] + np.log(left)]), best[d : d + 1], u)[0] if left > 1e-12 else -np.inf
-        pool.append(new)
-        out.append(new)
-    return out, best
-
-
-def _open(doc, place, size, p, token, bounds, since, g, _, key, j) -> dict:
-    """A path of each document with the subtrees beside its steps from `since` on."""
-    lp = np.log(p)
-    total = np.concatenate(([0.0], np.cumsum(lp)))
-    run = np.repeat(np.arange(len(doc)), np.diff(bounds))
-    before = total[:-1] - total[bounds[:-1]][run]
-    inside = np.arange(len(p)) - bounds[:-1][run]
-    other = 1.0 - p
-    with np.errstate(divide="ignore"):
-        mass = before + np.where(other > 1e-12, np.log(np.maximum(other, 1e-300)), -np.inf)
-    u = _uniform(key[doc[run]], 7 + j, inside)
-    value = np.where((inside >= since[run]) & (mass > -np.inf), _gumbel_below(np.where(mass > -np.inf, mass, 0.0), g[run], u), -np.inf)
-    return {"doc": doc, "place": place, "size": size, "p": p, "token": token, "bounds": bounds, "before": before, "value": value,
-            "barred": np.left_shift(1, size - 1), "log_prob": total[bounds[1:]] - total[bounds[:-1]], "perturbed": g}
-
-
-def _ids(lat: Lattice, voc: Vocabulary, place: np.ndarray, size: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        head = (~lat.at["ends"][turn]).astype(np.int64)
+        tail = bounds[doc + 1] - at - 1
+        begin = np.cumsum(head + tail) - head - tail
+        tokens = np.empty(int((head + tail).sum()), np.int64)
+        tokens[begin[head > 0]] = at[head > 0]
+        tokens[spans(begin + head, tail)] = spans(at + 1, tail)
+        places = place[tokens]
+        places[begin[head > 0]] = (lat.at["place"][turn] + lat.at["size"][turn])[head > 0]
+        count, rest = lat.walk(places, keys(np.repeat(doc, head + tail), number[tokens], j))
+        each = np.concatenate(([0], np.cumsum(count)))
+        n_rest = each[begin + head + tail] - each[begin]
+        ends = np.concatenate(([0], np.cumsum(kept + 1 + n_rest)))
+        opt, token = np.empty(ends[-1], np.int32), np.empty(ends[-1], np.int32)
+        for q, x in enumerate(pool):
+            i = np.flatnonzero(owner == q)
+            to, of = spans(ends[i], kept[i]), spans(x.bounds[x.row[doc[i]]], kept[i])
+            opt[to], token[to] = x.opt[of], x.token[of]
+        opt[ends[:-1] + kept], token[ends[:-1] + kept] = turn, at
+        to = spans(ends[:-1] + kept + 1, n_rest)
+        opt[to], token[to] = rest, np.repeat(tokens, count)
+        pool.append(Paths(lat, n, doc, opt, token, ends, kept + 1, value[doc]))
+    return pool, value
+
+
+def _ids(lat: Lattices, x: Paths) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of the paths, bytes spelled out, and how many each document has."""
-    piece = lat.piece[lat.row[place], size - 1]
-    n = np.where(piece >= 0, 1, lat.n_bytes[place])
+    piece = lat.at["piece"][x.opt]
+    bare = np.flatnonzero(piece < 0)
+    if not len(bare):
+        return piece, np.diff(x.bounds)
+    chars = lat.at["chars"][lat.at["place"][x.opt[bare]]].astype(np.int64)
+    size = _n_bytes(chars)
+    n = np.ones(len(piece), np.int64)
+    n[bare] = size
     at = np.concatenate(([0], np.cumsum(n)))
-    ids = np.zeros(at[-1], np.int32)
-    ids[at[:-1][piece >= 0]] = piece[piece >= 0]
-    for i in np.flatnonzero(piece < 0).tolist():
-        b = chr(lat.chars[place[i]]).encode("utf-8", "surrogatepass")
-        ids[at[i] : at[i + 1]] = voc.byte_ids[list(b)]
-    return ids, np.diff(at[bounds])
-
-
-class Numbers(dict):
-    """Things to numbers, in the order they come."""
-
-    def __missing__(self, x):
-        n = self[x] = len(self)
-        return n
-
-
-def _encode(held: list[tuple[int, bytes]], voc: Vocabulary, k: int, seed: int):
-    number = Numbers()
-    runs = []
-    for _, t in held:
-        found = UNIT.findall(" " + t.decode()) if t else []
-        runs.append(np.fromiter(map(number.__getitem__, found), np.int64, len(found)))
+    ids = np.empty(at[-1], np.int32)
+    ids[at[:-1]] = piece
+    left = np.repeat(size, size) - spans(np.zeros(len(size), np.int64), size) - 1  # bytes that follow
+    lead = np.array([0, 0, 0xC0, 0xE0, 0xF0])[size]
+    byte = np.repeat(chars, size) >> (6 * left)
+    byte = np.where(left == np.repeat(size, size) - 1, np.repeat(lead, size) | byte, 0x80 | (byte & 0x3F))
+    ids[spans(at[:-1][bare], size)] = lat.voc.byte_ids[byte]
+    return ids, np.diff(at[x.bounds])
+
+
+def _encode(held: list[tuple[int | None, bytes]], lat: Lattices, k: int, seed: int):
+    runs = [lat.read(" " + t.decode()) if t else np.zeros(0, np.int64) for _, t in held]
+    lat.build()
     keys = mix(np.array([0 if d is None else d for d, _ in held], np.int64).view(np.uint64) + np.uint64(seed))
-    lat = Lattice(list(number) or [" "], voc)
-    bounds = np.concatenate(([0], np.cumsum(list(map(len, runs)))))
-    found, threshold = sample(lat, np.concatenate(runs), bounds, keys, k)
+    found, threshold = sample(lat, np.concatenate(runs), np.concatenate(([0], np.cumsum(list(map(len, runs))))), keys, k)
     for rank, x in enumerate(found):
-        ids, counts = _ids(lat, voc, x["place"], x["size"], x["bounds"])
-        back = voc.decode(ids, counts)
-        d = x["doc"]
-        own = [held[i] for i in d.tolist()]
+        ids, counts = _ids(lat, x)
+        own = [held[i] for i in x.doc.tolist()]
         with np.errstate(over="ignore"):
-            inclusion = -np.expm1(-np.exp(x["log_prob"] - threshold[d]))
+            inclusion = -np.expm1(-np.exp(x.log_prob - threshold[x.doc]))
         ends = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
         yield pa.RecordBatch.from_arrays(
-            [pa.array([a for a, _ in own], pa.int64()), pa.array(np.full(len(d), rank, np.int32)), pa.array(counts.astype(np.int64)), pa.array(x["log_prob"]), pa.array(x["perturbed"]), pa.array(inclusion),
-             pa.array([a == b for a, (_, b) in zip(back, own, strict=True)]), pa.ListArray.from_arrays(ends, pa.array(ids))],
+            [pa.array([a for a, _ in own], pa.int64()), pa.array(np.full(len(own), rank, np.int32)), pa.array(counts.astype(np.int64)), pa.array(x.log_prob), pa.array(x.perturbed), pa.array(inclusion),
+             pa.array(lat.voc.spell(ids, counts, [t for _, t in own])), pa.ListArray.from_arrays(ends, pa.array(ids))],
             names=["doc_id", "rank", "n_pieces", "log_prob", "perturbed", "inclusion", "round_trip", "ids"])
+    if lat.n > REMEMBERED:
+        lat.forget()
 
 
 def encode(docs: DataFrame, model_file: str, k: int = 2, seed: int = 1) -> DataFrame:
@@ -368,16 +433,16 @@ def encode(docs: DataFrame, model_file: str, k: int = 2, seed: int = 1) -> DataF
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(model_file))
 
     def run(it):
-        held, size = [], 0
+        lat, held, size = Lattices(shared.value), [], 0
         for batch in it:
             for d, t in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
                 held.append((d, t))
-                size += t.count(b" ") + t.count(b"\n") + 1
-                if size >= FLUSH:
-                    yield from _encode(held, shared.value, k, seed)
+                size += max((t.count(b" ") + t.count(b"\n") + 1) / FLUSH, len(t) / FLUSH_BYTES)
+                if size >= 1:
+                    yield from _encode(held, lat, k, seed)
                     held, size = [], 0
         if held:
-            yield from _encode(held, shared.value, k, seed)
+            yield from _encode(held, lat, k, seed)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ENCODED)
 

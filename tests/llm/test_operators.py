@@ -216,20 +216,6 @@ def test_pieces_round_trip(spark, docs):
         assert all(a[1] >= b[1] for a, b in zip(v, v[1:], strict=False)) and all(0 < x[3] <= 1 for x in v)
 
 
-def test_pieces_draw_from_the_lattice(vocabulary):
-    units = pieces.UNIT.findall(" an of")
-    lat = pieces.Lattice(units, vocabulary)
-    n = 20000
-    found, _ = pieces.sample(lat, np.tile(np.arange(len(units)), n), np.arange(n + 1) * len(units), pieces.mix(np.arange(n).astype(np.uint64)), 2)
-    first = collections.Counter()
-    for j, x in enumerate(found[:1]):
-        for i in range(len(x["doc"])):
-            s = slice(x["bounds"][i], x["bounds"][i + 1])
-            first[(tuple(x["place"][s]), round(float(x["log_prob"][i]), 4))] += 1
-    for (_, lp), c in first.most_common(4):
-        assert c / n == pytest.approx(math.exp(lp), abs=0.012)
-
-
 def test_html_cases(spark):
     page = lambda body: f"<html><head><title>t</title><script>var a='</p>';</script></head><body>{body}</body></html>"
     rows = [
@@ -302,3 +288,86 @@ def test_extra_columns_stay(docs):
     for f in (quality.keep, neardup.keep, substrings.remove):
         out = f(more)
         assert out.columns == more.columns and out.count() <= more.count()
+
+
+def segmentations(word, voc):
+    """(ids, weight) of all segmentations of a unit, by recursion over its characters."""
+    piece = {b: i for i, b in enumerate(voc.bytes) if i not in set(voc.byte_ids.tolist()) and b}
+    text = word.encode()
+
+    def go(at):
+        if at == len(text):
+            yield (), 0.0
+        for e in range(at + 1, len(text) + 1):
+            if text[at:e] in piece:
+                i = piece[text[at:e]]
+                yield from (((i, *ids), voc.weight[i] + w) for ids, w in go(e))
+        size = len(text[at:].decode()[0].encode()) if at < len(text) else 0
+        if size and text[at : at + size] not in piece:
+            spelt = tuple(voc.byte_ids[b] for b in text[at : at + size])
+            yield from (((*spelt, *ids), size * voc.weight[-1] + w) for ids, w in go(at + size))
+
+    return list(go(0))
+
+
+def test_pieces_are_a_sample_without_replacement(vocabulary):
+    """Ordered pairs and inclusion against all segmentations of a text, weighted by hand."""
+    per_unit = [segmentations(u, vocabulary) for u in (" of", "\n", " é𐍈")]
+    whole = [((*a, *b, *c), x + y + z) for a, x in per_unit[0] for b, y in per_unit[1] for c, z in per_unit[2]]
+    total = np.logaddexp.reduce([w for _, w in whole])
+    p = {tuple(map(int, ids)): math.exp(w - total) for ids, w in whole}
+    assert 3 < len(p) < 300
+    n, k = 40000, 3
+    lat = pieces.Lattices(vocabulary)
+    run = lat.read(" of\n é𐍈")
+    lat.build()
+    keys = pieces.mix(np.arange(n).astype(np.uint64))
+    found, threshold = pieces.sample(lat, np.tile(run, n), np.arange(n + 1) * len(run), keys, k)
+    drawn = []
+    for x in found:
+        assert len(x.doc) == n
+        ids, counts = pieces._ids(lat, x)
+        drawn.append([tuple(c.tolist()) for c in np.split(ids, np.cumsum(counts)[:-1])])
+        assert [round(math.log(p[i]), 3) for i in drawn[-1][:500]] == np.round(x.log_prob[:500], 3).tolist()
+    assert all(len(set(t)) == k for t in zip(*drawn, strict=True))
+    got = collections.Counter(zip(drawn[0], drawn[1], strict=True))
+    for (a, b), c in got.most_common(12):
+        assert c / n == pytest.approx(p[a] * p[b] / (1 - p[a]), abs=0.012)
+    third = collections.Counter(zip(*drawn, strict=True))
+    for (a, b, d), c in third.most_common(5):
+        assert c / n == pytest.approx(p[a] * p[b] / (1 - p[a]) * p[d] / (1 - p[a] - p[b]), abs=0.012)
+    # sums weighted by 1 / inclusion are unbiased: here of 1 and of the number of pieces, over all segmentations
+    sure = [-np.expm1(-np.exp(x.log_prob - threshold)) for x in found]
+    ones = sum(np.exp(x.log_prob) / s for x, s in zip(found, sure, strict=True))
+    assert ones.mean() == pytest.approx(1, abs=0.02)
+    length = sum(np.exp(x.log_prob) / s * np.array(list(map(len, d))) for x, s, d in zip(found, sure, drawn, strict=True))
+    assert length.mean() == pytest.approx(sum(q * len(ids) for ids, q in p.items()), rel=0.02)
+
+
+def test_pieces_give_all_segmentations_of_short_texts(spark, vocabulary):
+    """Fewer than k: each once, with inclusion 1; repeated rows draw alike."""
+    want = {tuple(map(int, ids)) for ids, _ in segmentations(" of", vocabulary)}
+    rows = pieces.encode(spark.createDataFrame([(1, "of"), (1, "of"), (None, "of")], "doc_id long, text string"), queries.MODEL, k=50).collect()
+    assert len(rows) == 3 * len(want) and {tuple(r.ids) for r in rows} == want
+    assert all(r.inclusion == 1 and r.round_trip for r in rows)
+    assert len({(r["rank"], tuple(r.ids), r.perturbed) for r in rows if r.doc_id}) == len(want)
+
+
+def test_pieces_of_long_texts_without_spaces(spark, monkeypatch):
+    text = "".join(chr(0x4E00 + (k * k) % 9000) for k in range(200_000)) + "QUJD" * 100_000
+    df = spark.createDataFrame([(1, text), (2, "a b"), (3, text)], "doc_id long, text string")
+    one = {(r.doc_id, r["rank"]): (r.round_trip, r.n_pieces, r.perturbed) for r in pieces.encode(df, queries.MODEL).drop("ids").collect()}
+    assert len(one) == 6 and all(v[0] for v in one.values()) and one[1, 0][1:] != one[3, 0][1:]
+
+
+def test_pieces_do_not_depend_on_what_is_remembered(docs, monkeypatch):
+    rows = lambda: sorted(map(repr, pieces.encode(docs, queries.MODEL).collect()))
+    one = rows()
+    voc, held = pieces.Vocabulary(queries.MODEL), [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+    lat, got = pieces.Lattices(voc), []
+    for h in held:
+        for batch in pieces._encode([h], lat, 2, 1):
+            got += [(r["doc_id"], r["rank"], r["ids"]) for r in batch.to_pylist()]
+        lat.forget()
+    assert len(one) == len(got)
+    assert sorted((d, k, i) for d, k, i in got) == sorted((r.doc_id, r["rank"], r.ids) for r in pieces.encode(docs, queries.MODEL).collect())
