@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import textwrap
 import zlib
 
 import duckdb
@@ -267,18 +268,85 @@ def test_lcs_equals_brute_force():
         assert len(html.shared(a, b)) == m[-1][-1]
 
 
+def prose(rnd, n):
+    words = "the a of and to in story river city was were on with it they many old new house road public general work free text copy file use".split()
+    return " ".join(rnd.choice(words) for _ in range(n))
+
+
 def test_licences(spark):
+    rnd = random.Random(11)
     rows = [(0, None), (1, ""), (2, "Some text.\nReleased under the MIT License.\nMore."), (3, "Licensed under the Apache License, Version 2.0."), (4, "You need a driving license for this."), (5, "plain"), (5, "plain"),
-            (6, "This work is licensed under the GNU General Public License, version 3.\nLicensed under CC BY-NC 4.0.")] + [(k, f"line {k} of the story\nand more {k}") for k in range(10, 60)]
-    got = {r.doc_id: r.families for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert (got[2], got[3], got[6]) == ("MIT", "Apache-2.0", "CC-BY-NC-4.0,GPL-3.0")
-    assert all(v == "" for k, v in got.items() if k not in (2, 3, 6))
+            (6, "This work is licensed under the GNU General Public License, version 3.\nLicensed under CC BY-NC 4.0."), (None, "Released under the MIT License."), (7, "one\n\n \t\n//\ntwo\n...\n")]
+    rows += [(k, prose(rnd, rnd.randint(5, 400))) for k in range(10, 90)] + [(90, " ".join(["word"] * 30000) + " Released under the MIT License.")]
+    df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, row string, par int")
+    got = licences.scan(df).collect()
+    assert len(got) == len(rows)
+    found = {r.doc_id: r for r in got}
+    assert {k: found[k].families for k in (2, 3, 6, 90, None)} == {2: "MIT", 3: "Apache-2.0", 6: "CC-BY-NC-4.0,GPL", 90: "MIT", None: "MIT"}
+    assert all(r.families == "" and r.licence is None for k, r in found.items() if k not in (2, 3, 6, 90, None))
+    assert (found[0].n_paragraphs, found[1].n_paragraphs, found[2].n_paragraphs, found[7].n_paragraphs) == (0, 0, 1, 2)
+
+
+def test_licences_of_wrapped_notices(spark):
+    """Every notice, broken at 75 columns under each comment mark, below other lines; and inside prose without marks."""
+    rnd = random.Random(12)
+    rows = [(-k, None, prose(rnd, 200)) for k in range(1, 150)]
+    for family, notices in licences.NOTICES.items():
+        for n in notices:
+            for mark in ("", "# ", " * ", "// "):
+                body = "\n".join(mark + x for x in textwrap.wrap(n, 75))
+                rows.append((len(rows), family, f"{mark}Copyright (c) 2021 A. Author\n{mark.rstrip()}\n{body}\n{mark}\nint main() {{ return 0; }}"))
+    df = spark.createDataFrame(rows, "doc_id long, family string, text string")
+    got = df.select("doc_id", "family").join(licences.scan(df), "doc_id").collect()
+    known = [r for r in got if r.family]
+    right = sum(r.licence == r.family for r in known)
+    assert right >= 0.95 * len(known) and all(r.licence in (r.family, None) for r in known)
+    assert not any(r.families for r in got if not r.family)
+
+
+def test_licence_classifier_on_unseen_wordings(spark):
+    rnd = random.Random(13)
+    df = spark.createDataFrame([(k, prose(rnd, 150)) for k in range(150)], "doc_id long, text string")
+    model = licences.Classifier(df, licences.stage(licences.notice_table(spark), "notices"))
+    assert model.accuracy[0] >= 0.85 and model.accuracy[1] >= 0.97
+    curve = lambda m: 1 / (1 + math.exp(-(model.slope * m + model.shift)))
+    assert curve(-8) < 0.25 and curve(8) > 0.9
+
+
+def test_licence_confirmation_equals_brute_force(spark):
+    rnd = random.Random(14)
+    notices = licences.stage(licences.notice_table(spark), "notices")
+    rows = []
+    for k in range(60):
+        w = [w for n in rnd.choices(sum(licences.NOTICES.values(), []), k=2) for w in licences.words_of(n)]
+        rows.append((k, " ".join(x for x in w if rnd.random() < 0.93)))
+    features = spark.createDataFrame([], "g long, f int")
+    hit = licences.hits(spark.createDataFrame([(k, k, t) for k, t in rows], "row long, doc_id long, text string"), features, notices)
+    got = {(r.row, licences.CLASSES[r.y]): r.share for r in licences.confirmed(hit, notices).collect()}
+    triples = lambda t: set(licences._triples(t))
+    families = collections.defaultdict(set)
+    for c, ns in licences.NOTICES.items():
+        for n in ns:
+            for t in triples(n):
+                families[t].add(c)
+    want = {}
+    for k, text in rows:
+        w = licences.words_of(text)
+        here = {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+        for c, ns in licences.NOTICES.items():
+            for n in ns:
+                ts = triples(n)
+                own = {t for t in ts if len(families[t]) == 1}
+                share = min(len(ts & here) / len(ts), len(own & here) / len(own) if own else 1.0)
+                if share >= licences.CONFIRM:
+                    want[k, c] = max(share, want.get((k, c), 0))
+    assert got == pytest.approx(want) and len(got) > 20
 
 
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     items = spark.createDataFrame([], "item_id long, text string")
-    for df in (quality.rules(none), neardup.near_duplicates(none), substrings.digest(none), decontaminate.digest(decontaminate.scan(none, items)), katz.score(none), sharding.shard(none), pieces.encode(none, queries.MODEL)):
+    for df in (quality.rules(none), neardup.near_duplicates(none), substrings.digest(none), decontaminate.digest(decontaminate.scan(none, items)), katz.score(none), sharding.shard(none), pieces.encode(none, queries.MODEL), licences.scan(none)):
         assert df.count() == 0
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
