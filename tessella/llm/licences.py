@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from .common import stage, unstage
 
 WINDOW, STRIDE, SAMPLE, LEAST, CONFIRM = 24, 12, 200, 0.5, 0.6
+#: Sums of weights: steps to a whole, and bits to a sum. A window's at most 2 * WINDOW features weigh up to 20 each.
+UNIT, FIELD = 1024, 21
 #: Of the training: gradient steps, their rate, what each takes off a weight, and the sampled frames put around notices.
 STEPS, RATE, SPARSE, FRAMES = 20, 4.0, 0.002, 5
 #: Notices of public licences, by family. The last of each family is held out from training.
@@ -261,8 +263,17 @@ class Classifier:
         keys, c = ["row", "par", "win"], len(CLASSES)
         bias = self.weights.filter("f = -1").first()["w"]
         w = self.weights.filter("f >= 0").filter(F.exists("w", lambda v: v != 0))
-        x = windows(hit, ["row", "par"]).join(F.broadcast(w), "f").groupBy(*keys).agg(*[F.sum(F.col("w")[k]).alias(f"s{k}") for k in range(c)])
-        lead = [F.struct(F.lit(k).alias("y"), (F.col(f"s{k}") + bias[k] - F.col(f"s{c - 1}") - bias[c - 1]).alias("lead")) for k in range(c - 1)]
+        # three leads over the unknown class to a long, in steps of 1 / UNIT: their sums are exact, in any order
+        over = [F.round(F.greatest(F.least(F.col("w")[k] - F.col("w")[c - 1], F.lit(20.0)), F.lit(-20.0)) * UNIT).cast("long") for k in range(c - 1)]
+        packs = [sum((x * (1 << FIELD * i) for i, x in enumerate(over[j : j + 3])), F.lit(0).cast("long")).alias(f"q{j}") for j in range(0, c - 1, 3)]
+        x = windows(hit, ["row", "par"]).join(F.broadcast(w.select("f", *packs)), "f").groupBy(*keys).agg(*[F.sum(f"q{j}").alias(f"q{j}") for j in range(0, c - 1, 3)])
+        half, lead = 1 << (FIELD - 1), []
+        for j in range(0, c - 1, 3):
+            rest = F.col(f"q{j}")
+            for k in range(j, min(j + 3, c - 1)):
+                own = (rest + half).bitwiseAND((1 << FIELD) - 1) - half
+                rest = F.shiftright(rest - own, FIELD)
+                lead.append(F.struct(F.lit(k).alias("y"), (own / float(UNIT) + (bias[k] - bias[c - 1])).alias("lead")))
         p = F.transform(F.array(*lead), lambda v: F.struct(v["y"].alias("y"), (1 / (1 + F.exp(-(self.slope * v["lead"] + self.shift)))).alias("p")))
         x = x.select("row", "par", F.explode(F.filter(p, lambda v: v["p"] >= LEAST)).alias("v"))
         return x.groupBy("row", "par", F.col("v.y").alias("y")).agg(F.max("v.p").alias("probability"))
