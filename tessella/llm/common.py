@@ -2,53 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+from tessella.staging import shared_dir, stage, unstage  # noqa: F401
+
 #: A-Z to a-z; everything that is neither an ASCII letter or digit nor above 0x7F to a space.
 ALNUM = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    got = spark.conf.get("spark.checkpoint.dir", None)
-    if not got:
-        got = f"file://{tempfile.mkdtemp(prefix='tessella-')}"
-        spark.conf.set("spark.checkpoint.dir", got)
-    return got
-
-
-def stage(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors, and lets Spark
-    delete the shuffle files that led to it. The files go when the driver's JVM ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessella-{uuid.uuid4().hex}/{label}"
-    old = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", codec).parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if old is None else spark.conf.set(CLEANUP, old)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged = jpath
-    return out
-
-
-def unstage(*tables: DataFrame) -> None:
-    """Delete staged tables that no later job reads."""
-    for t in tables:
-        t._staged.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(t._staged, True)
-
-
 class Hashes(dict):
     """Word bytes to 64-bit hash, remembered; forgets all when it holds too many."""
 

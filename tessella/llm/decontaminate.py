@@ -5,8 +5,10 @@ matched length are those of the longest item sequence that ends there. A match o
 whole item of fewer) marks its last `window` words as hit.
 
 Defined results: null, empty and wordless texts give no words and no hits; null or wordless items never occur; an
-item given twice counts as two items if the ids differ; ties do not arise, since all occurrences count. Extra columns
-of either table are kept out of the way by selecting the named ones first.
+item given twice counts as two items if the ids differ; ties do not arise, since all occurrences count; repeated rows
+and rows with a null doc_id are judged each by itself; an empty table of documents gives no rows, an empty one of items
+no hits. Extra columns go along whatever their names, or are not read. A text is walked whole, in memory linear in
+the longest.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
 class SuffixAutomaton:
-    """Over the word sequences of (item id, words). Memory is linear in the words of the items."""
+    """Over the word sequences of (item id, words). States and edges are linear in the words of the items; a state of
+    `window` words or more also lists the items that hold its words, so a passage of many items counts once for each."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
         self.window, self.vocab = window, {}
@@ -42,7 +45,7 @@ class SuffixAutomaton:
                 path.append(last)
             ends.append(path)
         # a prefix state may have been cloned later; walk again for the states that hold now
-        self.items: list[set[int]] = [set() for _ in self.next]
+        self.items: dict[int, set[int]] = {}
         self.whole: list[tuple[tuple[int, int], ...]] = [()] * len(self.next)
         own: dict[int, list[tuple[int, int]]] = {}
         sizes = []
@@ -51,7 +54,7 @@ class SuffixAutomaton:
             for w in words:
                 s = self.next[s][self.vocab[w]]
                 t = s
-                while t > 0 and k not in self.items[t]:
+                while self.len[t] >= window and k not in self.items.setdefault(t, set()):
                     self.items[t].add(k)
                     t = self.link[t]
             if words:
@@ -212,7 +215,7 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def remove(docs: DataFrame, items: DataFrame, window: int = 10, longest: int = 10, coverage: float = 0.8,
-           text: str = "text", item_text: str = "text", most_words: int = 2_000_000) -> DataFrame:
+           text: str = "text", item_id: str = "item_id", item_text: str = "text", most_words: int = 2_000_000) -> DataFrame:
     """The documents without what they share with the items: a hit span of `longest` or more words is cut out of the
     text; a document of whose words a share over `coverage` is hit goes as a whole. Other columns stay as they are,
     but for n_chars, which is counted again if it is there. Spans of fewer words (short whole items) stay unless they exceed the coverage. Items beyond
@@ -229,7 +232,7 @@ def remove(docs: DataFrame, items: DataFrame, window: int = 10, longest: int = 1
         columns[at] = pa.array(new, pa.binary()).cast(pa.string())
         return pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
 
-    docs = _passes(docs, item_blocks(items, "item_id", item_text, most_words), window, text, give, schema)
+    docs = _passes(docs, item_blocks(items, item_id, item_text, most_words), window, text, give, schema)
     if "n_chars" in docs.columns:
         docs = docs.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length(text).cast(schema["n_chars"].dataType)))
     return docs

@@ -16,7 +16,10 @@
 5. Links give connected components.
 
 Defined results: null and wordless texts have the empty set and link with nothing; fewer words than a shingle make one
-shingle of the whole; repeated rows and equal texts fall in one component; ties go to the smallest doc_id.
+shingle of the whole; repeated rows and equal texts fall in one component; ties go to the smallest doc_id. Rows with a
+null doc_id can't be named: they link with nothing, have no component_id, and are kept. Of different texts under one
+doc_id the one of the most shingles (then by fingerprint) stands for it in links. An empty table gives no rows; a text
+is shingled whole, in memory linear in the longest; columns but doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -164,15 +167,16 @@ def verify(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFr
 
 def links(docs: DataFrame, size: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(membership: doc_id, n, rep; links: a, b between representatives of equal sets)."""
-    docs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = stage(docs.mapInArrow(_sets(size), SETS), "sets")
     same = ["n", "f1", "f2"]
     reps = sets.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    member = stage(sets.select("doc_id", *same).join(reps, same, "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "members")
-    only = member.filter("doc_id = rep and n > 0").select("doc_id").distinct()
-    reps = stage(sets.join(only, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "sketch", "small"), "reps")
+    member = stage(sets.select("doc_id", *same).join(reps, same, "left").select("doc_id", *same, F.coalesce("rep", "doc_id").alias("rep")), "members")
+    only = member.filter("doc_id = rep and n > 0").groupBy("doc_id").agg(F.max(F.struct(*same)).alias("k")).select("doc_id", "k.*")
+    reps = stage(sets.join(only, ["doc_id", *same], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "sketch", "small"), "reps")
     pairs, long = candidates(reps)
     sketches = reps.select("doc_id", "n", "sketch")
+    docs = docs.filter("doc_id is not null")
     return member, _verified(docs, sketches, pairs, stage(long, "long-lists"), size, percent)
 
 
@@ -202,14 +206,15 @@ def _by_rarity(docs: DataFrame, members: DataFrame, size: int, percent: int) ->
 
     whole = stage(docs.join(members.hint("shuffle_hash"), "doc_id").select("doc_id", "root", "text").mapInArrow(sets, "doc_id long, root long, items array<long>"), "open-sets")
     item = whole.select("doc_id", "root", F.explode("items").alias("v"))
-    held = item.groupBy("v").agg(F.count(F.lit(1)).alias("df"))
-    order = item.join(held.hint("shuffle_hash"), "v").groupBy("doc_id", "root").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("order"))
+    # tables of their own, so that the joins below have plain exchanges, whose hot keys AQE can split
+    held = stage(item.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "frequent")
+    order = item.join(held, "v", "left").groupBy("doc_id", "root").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "v"))).alias("order"))
     n = F.size("order")
     order = order.select("doc_id", "root", n.alias("n"), F.posexplode(F.slice("order", F.lit(1), (n - F.ceil(n * percent / 100) + 1).cast("int"))).alias("i", "e"))
     posting = stage(order.filter("e.df > 1").select("doc_id", "root", "n", "i", F.col("e.v").alias("v")), "postings")
     count = posting.groupBy("v", "root").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n"))
     lists = count.groupBy("v").agg(F.min("n").alias("least"), F.max(F.struct("c", F.negative("root").alias("neg"))).alias("most"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-    posting = posting.join(lists.select("v", "least", F.negative("most.neg").alias("main")).hint("shuffle_hash"), "v")
+    posting = posting.join(stage(lists.select("v", "least", F.negative("most.neg").alias("main")), "open-lists"), "v")
     left = F.col("n") - F.col("i")  # no more than these are shared if v is the first shared one
     posting = posting.filter(100 * left >= percent * (F.col("n") + F.greatest("least", left) - left))
     x, y = posting.filter("root <> main").alias("x"), posting.alias("y")
@@ -223,8 +228,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     member, edges = links(docs, size, percent)
     root = components(edges)
     out = member.join(root.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, html, katz, licences, neardup, pieces, quality, sharding, sql, substrings, urls
 
-#: A public SentencePiece model; its path is a parameter of the operator.
+#: A public SentencePiece model; tessella.pieces.model names another.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: verdict, host, path
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -19,12 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def model_file(spark: SparkSession) -> str:
+    return spark.conf.get("tessella.pieces.model", MODEL)
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=24)
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode(table(spark, sf_dir, "documents"), MODEL, k=2)
+    return pieces.encode(table(spark, sf_dir, "documents"), model_file(spark), k=2)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

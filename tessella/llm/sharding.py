@@ -9,8 +9,11 @@ At last sizes are made even exactly: what a shard holds beyond its share leaves
 then members of the largest groups, and fills the places that are free elsewhere.
 
 Ranks inside a shard come from counts of 3 * `CELLS` cells to a shard and a sort inside each cell, so no task holds a
-whole shard; the table of cells has a fixed bound. Defined results: null texts count as empty, and are linked with
-empty ones; repeated rows count as rows; an empty table gives no rows; fewer rows than shards leave shards empty.
+whole shard; the table of cells has a fixed bound. What is cut at the end is what even sizes force: a group is whole
+unless it fits no shard or its shard's surplus is not covered by documents without links and by larger groups;
+cut_links() counts it. Defined results: null texts count as empty, and are linked with empty ones; repeated rows and
+rows with a null doc_id count as rows; an empty table gives no rows; fewer rows than shards leave shards empty; texts
+are only hashed, whatever their length; columns but doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -18,9 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, unstage
 
-ROUNDS, CELLS, LARGE, SLACK = 4, 1024, 1000, 0.5
+#: Rounds of propagation at most; cells to a shard and kind; a group of so many rows is broken up before smaller ones
+#: when sizes are made even; what a shard may hold over its share while labels move.
+ROUNDS, CELLS, LARGE, SLACK = 8, 1024, 1000, 0.5
 
 
 def _unit(*columns: Column) -> Column:
@@ -47,7 +52,7 @@ def propagate(nodes: DataFrame, shards: int, rounds: int = ROUNDS) -> DataFrame:
     limit = room + max(1, int(SLACK * room))
     for k in range(rounds):
         count = linked.groupBy("link", "shard").agg(F.count(F.lit(1)).alias("c"))
-        best = count.groupBy("link").agg(F.max_by("shard", F.struct("c", F.xxhash64("link", "shard"))).alias("to"))
+        best = stage(count.groupBy("link").agg(F.max_by("shard", F.struct("c", F.xxhash64("link", "shard"))).alias("to")), "best")  # so that AQE can split a hot link
         ask = linked.join(best, "link").filter("shard <> to")
         asked = _sizes(ask, shards, "to")
         share = [min(1.0, max(0, limit - s) / a) if a else 0.0 for s, a in zip(sizes, asked, strict=True)]
@@ -55,6 +60,7 @@ def propagate(nodes: DataFrame, shards: int, rounds: int = ROUNDS) -> DataFrame:
         move = (F.col("shard") != F.col("to")) & (drawn < _by_number(share, F.col("to"), 0.0))
         moved = stage(linked.join(best, "link").withColumn("was", F.col("shard")).withColumn("shard", F.when(move, F.col("to")).otherwise(F.col("shard"))).drop("to"), "moved")
         n = moved.filter("was <> shard").count()
+        unstage(best)
         linked = moved.drop("was")
         free = nodes.filter("group = 1")
         sizes = [a + b for a, b in zip(_sizes(linked, shards), _sizes(free, shards), strict=True)]
@@ -99,7 +105,15 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     base = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text, F.lit(7)).alias("h"))
     base = stage(base.select("doc_id", "size", "text_crc32", F.xxhash64("h", "text_crc32", "size").alias("link")), "documents")
-    groups = base.groupBy("link").agg(F.count(F.lit(1)).alias("group")).filter("group > 1")
+    groups = stage(base.groupBy("link").agg(F.count(F.lit(1)).alias("group")).filter("group > 1"), "groups")  # so that AQE can split a hot link
     nodes = base.join(groups, "link", "left").withColumn("group", F.coalesce("group", F.lit(1)))
     out = settle(propagate(nodes, shards), shards)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def cut_links(sharded: DataFrame) -> DataFrame:
+    """One row: groups of equal texts (by size and crc32), groups whose members are in several shards, and the members that
+    are not in the shard that most of their group are in (the links to the group's text that are cut)."""
+    c = sharded.groupBy("text_crc32", "size", "shard").agg(F.count(F.lit(1)).alias("c"))
+    g = c.groupBy("text_crc32", "size").agg(F.sum("c").alias("n"), F.max("c").alias("top"), F.count(F.lit(1)).alias("shards")).filter("n > 1")
+    return g.agg(F.count(F.lit(1)).alias("groups"), F.count(F.when(F.col("shards") > 1, 1)).alias("split_groups"), F.coalesce(F.sum(F.col("n") - F.col("top")), F.lit(0)).alias("cut_links"))

@@ -10,7 +10,8 @@ and in a document overlapping windows merge into maximal intervals.
 A window counts as a repeat only if the same words start in a document with a smaller doc_id; repeats inside one
 document don't count. Windows are told apart by 64 bits and the bits of their bucket. Defined results: null, empty and
 wordless texts and texts shorter than the window lose nothing; repeated rows with one doc_id count as one document;
-rows with a null doc_id are neither source nor target. Windows are judged on the input, whatever is removed.
+rows with a null doc_id are neither source nor target; an empty table gives no rows; other columns go along whatever
+their names; a text is hashed whole, in memory linear in the longest. Windows are judged on the input, whatever is removed.
 """
 
 from __future__ import annotations
@@ -190,22 +191,22 @@ def digest(docs: DataFrame, window: int = 50) -> DataFrame:
 def remove(docs: DataFrame, window: int = 50, text: str = "text") -> DataFrame:
     """The documents without the maximal intervals of repeated windows; between kept words the text stays as it is.
     n_chars, if it is there, is counted again. A document that loses all words stays, with what white space is left."""
-    schema = docs.schema
+    schema, at = docs.schema, docs.columns.index(text)
 
     def run(it):
         mark = Marker(window)
         for batch in it:
-            at = batch.schema.get_field_index(text)
+            doc = pa.RecordBatch.from_struct_array(batch.column("doc"))
             new = []
-            for t, keys in zip(batch.column(at).cast(pa.binary()).to_pylist(), batch.column("repeat_keys").to_pylist(), strict=True):
+            for t, keys in zip(doc.column(at).cast(pa.binary()).to_pylist(), batch.column("repeat_keys").to_pylist(), strict=True):
                 new.append(_cut(t, mark.hit(t.split(), keys)) if keys and t else t)
-            columns = [c for c, name in zip(batch.columns, batch.schema.names, strict=True) if name != "repeat_keys"]
-            names = [name for name in batch.schema.names if name != "repeat_keys"]
-            columns[names.index(text)] = pa.array(new, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            columns = list(doc.columns)
+            columns[at] = pa.array(new, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays(columns, schema=doc.schema)
 
-    joined = _joined(docs, repeats(docs, window)).select(*[F.col(f"`{c}`") for c in docs.columns], "repeat_keys")
-    out = joined.mapInArrow(run, schema)
+    found = repeats(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")), window)
+    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    out = _joined(packed, found).select("doc", "repeat_keys").mapInArrow(run, schema)  # one struct: no name can clash
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length(text).cast(schema["n_chars"].dataType)))
     return out

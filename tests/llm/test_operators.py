@@ -134,6 +134,24 @@ def test_urls_equal_sql(spark):
     assert sorted(map(repr, urls.judge(pages, bad, many).collect())) == sorted(map(repr, found.collect()))
 
 
+def test_suffixes_and_rule_ties(spark):
+    hosts = spark.createDataFrame([(h,) for h in ("a.b.co.uk", "x.github.io", "www.ck", "a.b.ck", "ck", "u:p@h.example.com:80", "10.0.0.1:8080", "[::1]", "", "one", "a.b.unknownsuffix", "x.y.com.", "city.kawasaki.jp", "b.c.kawasaki.jp")], "host string")
+    got = {r.host: (r.domain, r.suffix) for r in urls.with_domains(hosts, urls.public_suffixes(spark)).collect()}
+    assert len(got) == 14 and len(urls.public_suffixes(spark)) > 5000
+    assert got["a.b.co.uk"] == ("b.co.uk", "co.uk") and got["x.github.io"] == ("x.github.io", "github.io")
+    assert got["www.ck"] == ("www.ck", "ck") and got["a.b.ck"] == ("a.b.ck", "b.ck") and got["ck"] == ("ck", "ck")
+    assert got["u:p@h.example.com:80"] == ("example.com", "com") and got["10.0.0.1:8080"] == ("10.0.0.1", "10.0.0.1") and got["[::1]"] == ("[::1]", "[::1]")
+    assert got["city.kawasaki.jp"] == ("city.kawasaki.jp", "kawasaki.jp") or got["city.kawasaki.jp"] == ("city.kawasaki.jp", "jp")
+    assert got["b.c.kawasaki.jp"] == ("b.c.kawasaki.jp", "c.kawasaki.jp") and got["x.y.com."] == ("y.com", "com") and got["one"] == ("one", "one")
+    assert {r.host: r.suffix for r in urls.with_domains(hosts, ()).collect()}["a.b.co.uk"] == "uk"
+    pages = spark.createDataFrame([(1, "http://b.a.com/bbbb"), (2, "http://a.com/b"), (3, "http://c.com/x")], "page_id long, url string")
+    none = spark.createDataFrame([], "page_id long, bad boolean")
+    ties = [("block", "a.com", "/b"), ("allow", "com", "/bbb"), ("block", "c.com", "/"), ("allow", "c.com", "/")]
+    few, many = (sorted(map(tuple, urls.judge(pages, none, ties + more).collect())) for more in ([], [("block", f"x{k}.com", "/") for k in range(300)]))
+    assert few == many and [r[3:] for r in few] == [("a.com/b", "block"), ("a.com/b", "block"), ("c.com/", "allow")]
+    assert urls.judge(pages.limit(0), none, ties).count() == 0
+
+
 def test_sharding_is_even_gapless_and_keeps_groups(docs):
     rows = sharding.shard(docs, 5).collect()
     text = {r.doc_id: r.text or "" for r in docs.collect()}
@@ -353,9 +371,49 @@ def test_empty_tables(spark):
 
 def test_extra_columns_stay(docs):
     more = docs.withColumn("rep", F.lit(1)).withColumn("root", F.lit(2)).withColumn("bucket", F.lit("b"))
-    for f in (quality.keep, neardup.keep, substrings.remove):
-        out = f(more)
-        assert out.columns == more.columns and out.count() <= more.count()
+    own = ["rep", "root", "bucket", "kept", "t_lang", "q_n_words", "base_failed", "repeat_keys", "doc", "hits", "items", "n", "key", "a b", "row", "node"]
+    for c in own[3:]:
+        more = more.withColumn(c, F.lit(c))
+    items = docs.sparkSession.createDataFrame([(1, "w1 w2")], "item_id long, text string")
+    want = {r.doc_id: r for r in more.collect()}
+    for f in (quality.keep, neardup.keep, substrings.remove, lambda d: decontaminate.remove(d, items)):
+        rows = f(more).collect()
+        assert rows and rows[0].__fields__ == more.columns
+        assert all(r[c] == want[r.doc_id][c] for r in rows for c in (*own, "lang", "source"))
+    for f in (quality.rules, neardup.near_duplicates, substrings.digest, sharding.shard, katz.score, lambda d: decontaminate.scan(d, items)):
+        assert f(more).count() == len(want)
+
+
+def test_null_ids_are_rows(spark):
+    """Rows without a doc_id, also of equal texts, are rows of every result."""
+    long = " ".join(f"w{k}" for k in range(80))
+    rows = [(None, long), (None, long), (None, None), (1, long), (2, long), (2, "another text under one id " * 3)]
+    df = spark.createDataFrame([(k, t, None, None, 0) for k, t in rows], DOCS)
+    for f in (sharding.shard, quality.rules, neardup.near_duplicates, katz.score, substrings.digest):
+        assert f(df).count() == len(rows), f
+    assert pieces.encode(df, queries.MODEL, k=1).count() == len(rows)
+    near = neardup.near_duplicates(df).filter("doc_id is null").collect()
+    assert [(r.component_id, r.kept) for r in near] == [(None, True)] * 3 and sorted(r.n_shingles for r in near) == [0, 76, 76]
+    assert neardup.keep(df).filter("doc_id is null").count() == 3
+    gone = {(r.doc_id, r.n_removed) for r in substrings.digest(df).collect()}
+    assert (None, 0) in gone and (2, 80) in gone and (1, 0) in gone
+
+
+def test_sharding_cuts_few_links(docs, spark):
+    """Every group that fits stays whole: no assignment of even sizes cuts fewer links here."""
+    got = sharding.cut_links(sharding.shard(docs, 5)).first()
+    assert got.groups > 10 and got.cut_links == got.split_groups == 0
+    big = spark.range(90).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 60, "same").otherwise(F.col("id").cast("string")).alias("text"))
+    assert sharding.cut_links(sharding.shard(big, 4)).first().cut_links == 60 - 23  # a shard holds 23 at most
+
+
+def test_quality_thresholds_come_from_sketches(docs):
+    """Every threshold follows the quartiles of its own group: other texts, other thresholds."""
+    counted = quality.with_counts(docs.select("doc_id", "lang", "source", "text"), prefix="")
+    one = quality.thresholds(counted, least=5).collect()
+    more = quality.thresholds(counted.withColumn("word_chars", F.col("word_chars") * 2), least=5).collect()
+    assert all(b.t_word_len_percent > a.t_word_len_percent for a, b in zip(sorted(one, key=repr), sorted(more, key=repr), strict=True))
+    assert len({r.t_repeat_permille for r in one} | {r.t_word_len_percent for r in one}) > 2
 
 
 def segmentations(word, voc):
