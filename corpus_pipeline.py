@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import decontaminate, neardup, pieces, quality, substrings
 from tessella.llm.common import stage
-from tessella.llm.queries import MODEL, table
+from tessella.llm.queries import model_file, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def benchmark_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encode(docs, MODEL, k=2)
+    return pieces.encode(docs, model_file(spark), k=2)
 
 
 STAGES = [
