@@ -7,11 +7,6 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Factors of the real spherical harmonics of degrees 0, 1 and 2.
-C0, C1 = 0.5 * math.sqrt(1 / math.pi), math.sqrt(3 / (4 * math.pi))
-C2 = 0.5 * math.sqrt(15 / math.pi), 0.25 * math.sqrt(5 / math.pi), 0.25 * math.sqrt(15 / math.pi)
-
-
 def pinhole(x: Column, y: Column, z: Column, fx: float, fy: float, cx: float, cy: float, width: int, height: int, near: float) -> tuple[Column, Column]:
     """Pixel (u, v) of a point in camera space, rounded half to even; -1 where it is not nearer than `near` allows or
     falls outside the image."""
@@ -21,14 +16,30 @@ def pinhole(x: Column, y: Column, z: Column, fx: float, fy: float, cx: float, cy
 
 
 def harmonics(x: Column, y: Column, z: Column, degree: int) -> list[Column]:
-    """The real basis up to a degree of 2 along the unit vector (x, y, z), in order of degree and index."""
-    basis = [F.lit(C0), -C1 * y, C1 * z, -C1 * x]
-    basis += [C2[0] * x * y, -C2[0] * y * z, C2[1] * (3 * z * z - 1), -C2[0] * x * z, C2[2] * (x * x - y * y)]
-    return basis[: (degree + 1) ** 2]
+    """The real basis up to a degree along the unit vector (x, y, z), in order of degree and index, with the sign (-1) ** m
+    of an order m. Powers of (x + iy) give the sines and cosines of each order, Legendre's recurrence the rest."""
+    cos, sin = [F.lit(1.0)], [F.lit(0.0)]
+    for _ in range(degree):
+        cos.append(x * cos[-1] - y * sin[-1])
+        sin.append(x * sin[-1] + y * cos[-2])
+    # p[l, m]: the associated Legendre function over sin ** m, without its sign
+    p = {}
+    for m in range(degree + 1):
+        p[m, m] = F.lit(float(math.prod(range(1, 2 * m, 2))))
+        for l in range(m + 1, degree + 1):  # noqa: E741
+            low = p.get((l - 2, m))
+            p[l, m] = ((2 * l - 1) * z * p[l - 1, m] - (l + m - 1) * low) / (l - m) if low is not None else (2 * l - 1) * z * p[l - 1, m]
+    out = []
+    for l in range(degree + 1):  # noqa: E741
+        for m in range(-l, l + 1):
+            k = abs(m)
+            factor = math.sqrt((2 * l + 1) / (4 * math.pi) * math.factorial(l - k) / math.factorial(l + k)) * (math.sqrt(2) * (-1) ** k if m else 1.0)
+            out.append(factor * p[l, k] * (sin[k] if m < 0 else cos[k]))
+    return out
 
 
 def rgb_to_sh(c: Column) -> Column:
-    return (c - 0.5) / C0
+    return (c - 0.5) / (0.5 / math.sqrt(math.pi))
 
 
 def covariance(q: list[Column], s: list[Column]) -> list[Column]:

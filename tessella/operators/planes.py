@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions import vectors as V
+
 
 def fit(df: DataFrame, keys: list[str], weight: str, xyz: tuple[str, str, str] = ("x", "y", "z")) -> DataFrame:
     """keys, n, weight, cx, cy, cz (centroid), variance (across the plane), nx, ny, nz, d. The normal's largest
@@ -37,3 +39,28 @@ def fit(df: DataFrame, keys: list[str], weight: str, xyz: tuple[str, str, str] =
     ok = F.col("_v.s") > 1e-12 * F.col("_p") ** 4
     x = x.select(*keys, "n", F.col("_w").alias("weight"), "cx", "cy", "cz", "variance", *[F.when(ok, F.col("_v")[f"v{k}"] / F.sqrt("_v.s") * peak["s"]).alias(f"n{a}") for k, a in enumerate("xyz")])
     return x.withColumn("d", -(F.col("nx") * F.col("cx") + F.col("ny") * F.col("cy") + F.col("nz") * F.col("cz")))
+
+
+def dominant_direction(df: DataFrame, six: tuple[str, ...] = ("xx", "xy", "xz", "yy", "yz", "zz")) -> DataFrame:
+    """df (a symmetric matrix's upper triangle) with top, its largest eigenvalue in closed form, and vx, vy, vz, the unit
+    eigenvector with a positive largest component; null where no direction stands out. Column by column, so that no
+    expression holds another many times."""
+    xx, xy, xz, yy, yz, zz = (F.col(c) for c in six)
+    m = [[xx, xy, xz], [xy, yy, yz], [xz, yz, zz]]
+    x = df.withColumn("_q", (xx + yy + zz) / 3)
+    q = F.col("_q")
+    x = x.withColumn("_p", F.sqrt(((xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * (xy * xy + xz * xz + yz * yz)) / 6))
+    p = F.col("_p")
+    b = [[m[i][j] - q if i == j else m[i][j] for j in range(3)] for i in range(3)]
+    x = x.withColumn("_h", V.dot(b[0], V.cross(b[1], b[2])) / (p * p * p) / 2)
+    x = x.withColumn("top", F.when(p > 0, q + 2 * p * F.cos(F.acos(F.greatest(F.least(F.col("_h"), F.lit(1.0)), F.lit(-1.0))) / 3)).otherwise(q))
+    rows = [[m[i][j] - F.col("top") if i == j else m[i][j] for j in range(3)] for i in range(3)]
+    for n, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
+        for k, c in enumerate(V.cross(rows[i], rows[j])):
+            x = x.withColumn(f"_v{n}{k}", c)
+    v = lambda n, k: F.col(f"_v{n}{k}")
+    x = x.withColumn("_v", F.greatest(*[F.struct((v(n, 0) * v(n, 0) + v(n, 1) * v(n, 1) + v(n, 2) * v(n, 2)).alias("s"), *[v(n, k).alias(f"v{k}") for k in range(3)]) for n in range(3)]))
+    sign = F.greatest(*[F.struct(F.abs(F.col(f"_v.v{k}")).alias("a"), F.signum(F.col(f"_v.v{k}")).alias("s")) for k in range(3)])["s"]
+    ok = F.col("_v.s") > 1e-12 * p * p * p * p
+    out = [F.when(ok, F.col(f"_v.v{k}") / F.sqrt("_v.s") * sign).alias(f"v{c}") for k, c in enumerate("xyz")]
+    return x.select(*df.columns, "top", *out)
