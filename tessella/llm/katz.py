@@ -1,20 +1,27 @@
 """LM scoring with a Katz backoff model of words and pairs of words.
 
 Training counts words, and pairs of a word and the token before it (the end token stands before the first word), over
-all training documents. Counts up to `K` are discounted by Good-Turing; pairs seen once get no mass of their own, as
-Katz proposed. A context's backoff weight is what its seen pairs leave, divided by what their words leave in the word
-model, so that every context sums to one over all seen words and one unknown type, which has what the discounted words
-leave. A context of count n whose pairs leave nothing, all being frequent, gives up 1 / (n + 1). The tables hold a row for each word and each pair, by bucket of the key.
+all training documents. Counts up to `K` are discounted by Good-Turing, pairs seen once included. A context's backoff
+weight is what its seen pairs leave, divided by what their words leave in the word model, so that every context sums to
+one over all seen words and one unknown type, which has what the discounted words leave. A context of count n whose
+pairs leave nothing, all being frequent, gives up 1 / (n + 1).
+
+Pairs are counted in buckets of their contexts, so that a context's sums need no join. The at most `HOT` most frequent
+words go to all tasks with their counts: pairs with such a context are spread over all buckets, and their sums come
+together by context; the probability of a pair's word is known on the spot if the word is one of these, and comes by a
+join of rows only if it is not. The tables are Parquet, by bucket: packed pairs, and a row for each other word.
 
 A token's probability is that of its pair if the pair has one, else the context's weight times the word's. So a text's
 score is a sum over its words of log P(word) + log weight(word), each word being a context once, plus, over the pairs
-that have a probability, log P(pair) - log weight - log P(word). Each task sums its documents' keys, resolves the
-`HOT` most frequent by a broadcast table of that size, and sends the rest packed by bucket; a bucket looks them up in
-its part of the tables, and sends sums back packed by parts of the documents. A frequent key so costs nothing beyond
-its own task, and no bucket holds more than its share.
+that were seen, log P(pair) - log weight - log P(word). Each task sums its documents' keys, resolves the most frequent
+words and pairs, at most `HOT` of either, by a broadcast table, and sends the rest packed by bucket; a bucket looks them
+up in its part of the tables, and sends sums back packed by parts of the documents. A frequent key so costs nothing
+beyond its own task, and no bucket holds more than its share. Keys meet inside a bucket by 48 bits.
 
 Defined results: null and empty texts consist of the end token; repeated rows count as often as they come in training,
-and are scored alike; without training documents every token is of the unknown type.
+and are scored alike; rows with a null doc_id train, and are scored; without training documents every token is of the
+unknown type; an empty table gives no rows; columns but doc_id and text are not read; a text is hashed whole, in
+memory linear in the longest.
 """
 
 from __future__ import annotations
@@ -29,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import Hashes, bucket_count, by_bucket, mix, stage, texts, unstage
 
-K, HOT, FLUSH, PER_BUCKET, MOST_DOCS = 5, 50_000, 500_000, 3_000_000, 60_000
+K, HOT, FLUSH, PER_BUCKET, MOST_DOCS = 5, 50_000, 500_000, 2_000_000, 60_000
 #: Not a word: it holds a space.
 END = Hashes()[b" end"]
 TOPS = np.uint64(0xFFFFFFFFFFFF)
@@ -83,35 +90,95 @@ def words(docs: DataFrame) -> DataFrame:
     return stage(docs.mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "katz-words")
 
 
-def pairs(docs: DataFrame, buckets: int) -> DataFrame:
-    """(key, v, w, c): the training pairs with a count over one; and a row with a null key and the number of the
-    others for each bucket. Staged."""
+class Hot:
+    """The most frequent words: sorted hashes and their counts."""
+
+    def __init__(self, words: DataFrame):
+        rows = most_frequent(words, "c", HOT)
+        order = np.argsort(np.array([r.w for r in rows], np.int64).view(np.uint64)) if rows else np.zeros(0, np.int64)
+        self.w = np.array([r.w for r in rows], np.int64).view(np.uint64)[order]
+        self.c = np.array([r.c for r in rows], np.int64)[order]
+
+    def find(self, w: np.ndarray) -> np.ndarray:
+        """Places of words; -1 for others."""
+        if not len(self.w):
+            return np.full(len(w), -1)
+        at = np.minimum(np.searchsorted(self.w, w), len(self.w) - 1)
+        return np.where(self.w[at] == w, at, -1)
+
+    def home(self, v: np.ndarray, key: np.ndarray, buckets: int) -> np.ndarray:
+        """The buckets of pairs: by context, those of a frequent one by pair."""
+        return np.where(self.find(v) >= 0, key, mix(v)).view(np.int64) % buckets
+
+
+def _step(c: str):
+    return F.floor(F.log2(F.col(c).cast("double")) * 16)
+
+
+def most_frequent(df: DataFrame, c: str, most: int) -> list:
+    """The rows of the highest counts, up to `most`, whole steps of a sixteenth of a doubling; a histogram of these
+    steps, some hundred rows at most, says from which count on."""
+    least, met = None, 0
+    for b, k in sorted(df.groupBy(_step(c).alias("b")).count().collect(), reverse=True):
+        met += k
+        if met > most:
+            break
+        least = b
+    return df.filter(_step(c) >= least).collect() if least is not None else []
+
+
+def _unpack(blobs: list[bytes], *types) -> list[np.ndarray]:
+    """Columns that were packed one after another, of all blobs."""
+    sizes = [np.dtype(t).itemsize for t in types]
+    out: list[list] = [[] for _ in types]
+    for b in blobs:
+        n, at = len(b) // sum(sizes), 0
+        for o, t, size in zip(out, types, sizes, strict=True):
+            o.append(np.frombuffer(b, t, n, at))
+            at += n * size
+    return [np.concatenate(o) if o else np.zeros(0, t) for o, t in zip(out, types, strict=True)]
+
+
+def pairs(docs: DataFrame, buckets: int, hot) -> DataFrame:
+    """(bucket, v, w, c, blob), staged: the training pairs with their counts, by bucket; those of frequent words packed,
+    others a row each. Rows without a bucket count pairs: c of them were seen v times (beyond K + 1: by steps)."""
     schema = pa.schema([("bucket", pa.int64()), ("v", pa.binary()), ("w", pa.binary()), ("c", pa.binary())])
 
     def run(it):
         for held in _chunks(it, lambda d: not held_out(d)):
             w = np.concatenate([t for *_, t in held])
             v = _before(w, [len(t) for *_, t in held])
-            _, at, c = np.unique(_pairs(v, w), return_index=True, return_counts=True)
+            key, at, c = np.unique(_pairs(v, w), return_index=True, return_counts=True)
             v, w = v[at], w[at]
-            order, cut = by_bucket(_pairs(v, w).view(np.int64) % buckets, buckets)
+            order, cut = by_bucket(hot.value.home(v, key, buckets), buckets)
             v, w, c = v[order], w[order], c[order].astype(np.int32)
             full = np.flatnonzero(cut[1:] > cut[:-1]).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), *(pa.array([x[cut[b] : cut[b + 1]].tobytes() for b in full], pa.binary()) for x in (v, w, c))], schema=schema)
 
     def count(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
         v, w, c = (np.frombuffer(b"".join(table.column(n).to_pylist()), t) for n, t in (("v", np.uint64), ("w", np.uint64), ("c", np.int32)))
         key = _pairs(v, w)
         order = np.argsort(key)
-        key, v, w, c = key[order], v[order], w[order], c[order]
+        key = key[order]
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        c = np.add.reduceat(c.astype(np.int64), first)
-        more = np.flatnonzero(c > 1)
-        rows = [x[first[more]].view(np.int64) for x in (key, v, w)]
-        return pa.table([pa.concat_arrays([pa.array(x), pa.array([None], pa.int64())]) for x in rows] + [pa.array(np.append(c[more], (c == 1).sum()))], names=["key", "v", "w", "c"])
+        c = np.add.reduceat(c[order].astype(np.int64), first)
+        v, w = v[order[first]], w[order[first]]
+        cold = hot.value.find(w) < 0
+        seen, times = np.unique(np.where(c <= K + 1, c, K + 2 + np.floor(np.log2(c) * 16).astype(np.int64)), return_counts=True)
+        blob = v[~cold].tobytes() + w[~cold].tobytes() + c[~cold].astype(np.int32).tobytes()
+        some, n = np.flatnonzero(cold), len(seen)
+        m = len(some)
+        return pa.table([
+            pa.array([bucket] * (m + 1) + [None] * n, pa.int64()),
+            pa.concat_arrays([pa.array(v[some].view(np.int64)), pa.array([None], pa.int64()), pa.array(seen)]),
+            pa.concat_arrays([pa.array(w[some].view(np.int64)), pa.nulls(n + 1, pa.int64())]),
+            pa.concat_arrays([pa.array(c[some]), pa.array([None], pa.int64()), pa.array(times)]),
+            pa.concat_arrays([pa.nulls(m, pa.binary()), pa.array([blob], pa.binary()), pa.nulls(n, pa.binary())]),
+        ], names=["bucket", "v", "w", "c", "blob"])
 
     packed = docs.mapInArrow(run, "bucket long, v binary, w binary, c binary")
-    return stage(packed.groupBy("bucket").applyInArrow(count, "key long, v long, w long, c long"), "katz-pairs")
+    return stage(packed.groupBy("bucket").applyInArrow(count, "bucket long, v long, w long, c long, blob binary"), "katz-pairs")
 
 
 def discounts(counts: dict[int, int]) -> list[float]:
@@ -136,46 +203,108 @@ def _discounted(c: str, d: list[float]):
     return F.col(c) * factor
 
 
+def _reduced(c: np.ndarray, d: list[float]) -> np.ndarray:
+    """Discounted counts."""
+    factor = np.ones(len(c))
+    for r, x in enumerate(d, 1):
+        factor[c == r] = x
+    return c * factor
+
+
+def _backoff(q: np.ndarray, pw: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of contexts' weights, and of the share that their pairs keep, by sums over seen pairs."""
+    share = np.where(q > 1 - 1e-9, c / (c + 1.0), 1.0)
+    return np.log10((1 - share * q) / (1 - pw)), np.log10(share)
+
+
 class Model:
-    """N, V, the unknown type's log10 probability, and the staged table (bucket, key, s, b, known): what a key adds to
-    a score and to a base score, beyond what an unknown word adds."""
+    """N, V, the unknown type's log10 probability, and the staged table (bucket, key, s, b, blob): what a key adds to a score
+    and to a base score, beyond what an unknown word adds. A word is a row; pairs are packed, a key and what it adds but for
+    what frequent contexts add, whose places go along."""
 
     def __init__(self, docs: DataFrame, buckets: int):
+        sc = docs.sparkSession.sparkContext
         uni = words(docs)
         n, v = uni.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
         self.n, self.v, self.buckets = n, v, buckets
-        seen = dict(uni.filter(F.col("c") <= K + 1).groupBy("c").count().collect())
-        p = uni.withColumn("p", _discounted("c", discounts(seen)) / float(max(n, 1)))
+        d1 = discounts(dict(uni.filter(F.col("c") <= K + 1).groupBy("c").count().collect()))
+        p = uni.withColumn("p", _discounted("c", d1) / float(max(n, 1)))
         mass = p.agg(F.coalesce(F.sum("p"), F.lit(0.0))).first()[0]
         self.unknown = math.log10(max(1.0 - mass, 1e-300))
         self.base0 = math.log10(0.5 / (n + 0.5 * (v + 1)))
-        bi = pairs(docs, buckets)
-        once = bi.filter("key is null").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-        seen = {1: once} | dict(bi.filter((F.col("key").isNotNull()) & (F.col("c") <= K + 1)).groupBy("c").count().collect())
+        self.hot = sc.broadcast(Hot(uni))
+        hot = self.hot
+        seen_pairs = pairs(docs, buckets, hot)
+        seen = {r.v: r.n for r in seen_pairs.filter("bucket is null").groupBy("v").agg(F.sum("c").alias("n")).collect()}  # some hundred rows
         d2 = discounts(seen)
-        q = bi.filter("key is not null").join(p.select("w", F.col("p").alias("pw")), "w")
-        q = q.join(uni.select(F.col("w").alias("v"), F.col("c").alias("cv")), "v").select("v", "key", "pw", (_discounted("c", d2) / F.col("cv")).alias("q"), "c", "cv")
-        q = stage(q, "katz-seen")
-        unstage(bi)
-        full = F.sum("q") > 1 - 1e-9
-        share = F.when(full, F.max("cv") / (F.max("cv") + 1)).otherwise(F.lit(1.0))
-        alpha = q.groupBy("v").agg(F.log10((1 - share * F.sum("q")) / (1 - F.sum("pw"))).alias("la"), F.log10(share).alias("ls"))
-        alpha = stage(alpha, "katz-alpha")
-        word = p.join(alpha, p.w == alpha.v, "left").select(F.col("w").alias("key"), (F.log10("p") + F.coalesce("la", F.lit(0.0)) - self.unknown).alias("s"), (F.log10((F.col("c") + 0.5) / (n + 0.5 * (v + 1))) - self.base0).alias("b"), F.lit(True).alias("known"), "c")
-        pair = q.join(alpha, "v").select("key", (F.log10("q") + F.col("ls") - F.col("la") - F.log10("pw")).alias("s"), F.lit(0.0).alias("b"), F.lit(False).alias("known"), "c")
-        self.table = stage(word.unionByName(pair).withColumn("bucket", F.pmod("key", F.lit(buckets))), "katz-model")
-        unstage(uni, q, alpha)
-        step = F.floor(F.log2(F.col("c").cast("double")) * 16)  # a bounded histogram names the count from which on HOT keys are met
-        least, met = None, 0
-        for b, k in sorted(self.table.groupBy(step.alias("b")).count().collect(), reverse=True):
-            met += k
+        least, met = math.inf, 0  # the step from which on pairs are frequent
+        for b in sorted((b for b in seen if b > K + 1), reverse=True):
+            met += seen[b]
             if met > HOT:
                 break
-            least = b
-        hot = self.table.filter(step >= least).collect() if least is not None else []
-        order = np.argsort(np.array([r.key for r in hot], np.int64).view(np.uint64)) if hot else np.zeros(0, np.int64)
-        col = lambda f, t: np.array([f(r) for r in hot], t)[order]
-        self.hot = col(lambda r: r.key, np.int64).view(np.uint64), col(lambda r: r.s, float), col(lambda r: r.b, float), col(lambda r: r.known, np.int64)
+            least = b - K - 2
+
+        def finish(packed: pa.Table, rows: pa.Table) -> pa.Table:
+            bucket = (packed.column("bucket") if packed.num_rows else rows.column("home"))[0].as_py()
+            h = hot.value
+            pv, pw_, pc = _unpack(packed.column("blob").to_pylist(), np.uint64, np.uint64, np.int32)
+            rv, rw, rc, rcw = (rows.column(x).to_numpy() for x in ("v", "w", "c", "cw"))
+            v = np.concatenate([pv, rv.view(np.uint64)])
+            w = np.concatenate([pw_, rw.view(np.uint64)])
+            c = np.concatenate([pc.astype(np.int64), rc])
+            cw = np.concatenate([h.c[h.find(pw_)] if len(pw_) else np.zeros(0, np.int64), rcw])
+            key = _pairs(v, w)
+            order = np.argsort(v, kind="stable")
+            v, key, c, cw = v[order], key[order], c[order], cw[order]
+            first = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))[: len(v)]
+            size = np.diff(np.append(first, len(v)))
+            at = h.find(v[first])
+            many = np.where(at >= 0, h.c[at] if len(h.c) else 0, np.add.reduceat(c, first) if len(first) else 0)
+            q = _reduced(c, d2) / np.repeat(many, size)
+            own = _reduced(cw, d1) / n
+            sq, sw = (np.add.reduceat(x, first) if len(first) else np.zeros(0) for x in (q, own))
+            la, ls = np.zeros(len(first)), np.zeros(len(first))
+            cold = np.flatnonzero(at < 0)
+            la[cold], ls[cold] = _backoff(sq[cold], sw[cold], many[cold])
+            x = np.log10(q) - np.log10(own) + np.repeat(ls - la, size)
+            place = np.repeat(np.where(at >= 0, at, 0xFFFF), size).astype(np.uint16)
+            warm = np.flatnonzero(at >= 0)
+            top = np.flatnonzero(np.floor(np.log2(np.maximum(c, 1)) * 16) >= least)
+            blob = key.tobytes() + x.tobytes() + place.tobytes()
+            k1, k2, k3 = len(cold), len(warm), len(top)
+            return pa.table([
+                pa.array([bucket] * (1 + k1 + k2 + k3), pa.int64()),
+                pa.array([0] + [1] * k1 + [2] * k2 + [3] * k3, pa.int32()),
+                pa.concat_arrays([pa.array([None], pa.int64()), pa.array(v[first[cold]].view(np.int64)), pa.array(at[warm].astype(np.int64)), pa.array(key[top].view(np.int64))]),
+                pa.concat_arrays([pa.array([None], pa.float64()), pa.array(la[cold]), pa.array(sq[warm]), pa.array(x[top])]),
+                pa.concat_arrays([pa.array([None], pa.float64()), pa.array(ls[cold]), pa.array(sw[warm]), pa.array(place[top].astype(np.float64))]),
+                pa.concat_arrays([pa.array([blob], pa.binary()), pa.nulls(k1 + k2 + k3, pa.binary())]),
+            ], names=["bucket", "kind", "v", "x", "y", "blob"])
+
+        rows = seen_pairs.filter("w is not null").select(F.col("bucket").alias("home"), "v", "w", "c").join(uni.select("w", F.col("c").alias("cw")), "w")
+        packed = seen_pairs.filter("blob is not null").select("bucket", "blob")
+        parts = packed.groupBy("bucket").cogroup(rows.groupBy("home")).applyInArrow(finish, "bucket long, kind int, v long, x double, y double, blob binary")
+        parts = stage(parts, "katz-model")
+        unstage(seen_pairs)
+        warm = {r.v: (r.q, r.w) for r in parts.filter("kind = 2").groupBy("v").agg(F.sum("x").alias("q"), F.sum("y").alias("w")).collect()}  # HOT rows at most
+        h = hot.value
+        sums = np.array([warm.get(k, (0.0, 0.0)) for k in range(len(h.w))], float).reshape(-1, 2)
+        la, ls = _backoff(sums[:, 0], sums[:, 1], h.c)
+        self.shift = np.append(ls - la, 0.0)  # what a frequent context adds to its pairs; the last: nothing
+        base = lambda c: np.log10((c + 0.5) / (n + 0.5 * (v + 1))) - self.base0
+        top = parts.filter("kind = 3").collect()  # HOT rows at most
+        keys = np.concatenate([h.w, np.array([r.v for r in top], np.int64).view(np.uint64)])
+        s = np.concatenate([np.log10(_reduced(h.c, d1) / max(n, 1)) + la - self.unknown, [r.x + self.shift[min(int(r.y), len(h.w))] for r in top]])
+        b = np.concatenate([base(h.c), np.zeros(len(top))])
+        known = np.concatenate([np.ones(len(h.w), np.int64), np.zeros(len(top), np.int64)])
+        order = np.argsort(keys)
+        self.known_to_all = keys[order], s[order], b[order], known[order]
+        alpha = parts.filter("kind = 1").select(F.col("v").alias("w"), F.col("x").alias("la"))
+        word = p.join(alpha, "w", "left").select(F.pmod("w", F.lit(buckets)).alias("bucket"), F.col("w").alias("key"), (F.log10("p") + F.coalesce("la", F.lit(0.0)) - self.unknown).alias("s"), (F.log10((F.col("c") + 0.5) / (n + 0.5 * (v + 1))) - self.base0).alias("b"))
+        word = stage(word, "katz-word-model")
+        unstage(uni)
+        nothing = F.lit(None)
+        self.table = word.withColumn("blob", nothing.cast("binary")).unionByName(parts.filter("kind = 0").select("bucket", nothing.cast("long").alias("key"), nothing.cast("double").alias("s"), nothing.cast("double").alias("b"), "blob"))
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -184,14 +313,15 @@ def score(docs: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = bucket_count(size // 6, PER_BUCKET, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     model = Model(docs, buckets)
-    shared = docs.sparkSession.sparkContext.broadcast((model.hot, model.unknown, model.base0))
+    shared = docs.sparkSession.sparkContext.broadcast((model.known_to_all, model.unknown, model.base0, model.shift))
+    frequent = model.hot
     packed_type = pa.schema([("bucket", pa.int64()), ("docs", pa.binary()), ("sums", pa.binary()), ("place", pa.binary()), ("keys", pa.binary()), ("n", pa.binary())])
     back_type = pa.schema([("part", pa.int64()), ("docs", pa.binary()), ("sums", pa.binary())])
 
     def run(it):
         from pyspark import TaskContext
 
-        (hot, hs, hb, hk), unknown, base0 = shared.value
+        (hot, hs, hb, hk), unknown, base0, _ = shared.value
         task = TaskContext.get().partitionId()
         for held in _chunks(it, lambda d: True):
             sizes = [len(t) for *_, t in held]
@@ -203,7 +333,10 @@ def score(docs: DataFrame) -> DataFrame:
             sums[:, 0] = sizes
             sums[:, 2] = sums[:, 0] * base0
             sums[:, 3] = sums[:, 0] * unknown
-            key = np.concatenate([w, _pairs(_before(w, sizes), w)])
+            v = _before(w, sizes)
+            key = _pairs(v, w)
+            home = np.concatenate([w.view(np.int64) % buckets, frequent.value.home(v, key, buckets)]).astype(np.int32)
+            key = np.concatenate([w, key])
             place = np.concatenate([place, place])
             if len(hot):
                 at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
@@ -211,13 +344,13 @@ def score(docs: DataFrame) -> DataFrame:
                 at, own = at[hit], place[hit]
                 for col, x in ((1, hk), (2, hb), (3, hs)):
                     sums[:, col] += np.bincount(own, x[at], len(held))
-                key, place = key[~hit], place[~hit]
+                key, place, home = key[~hit], place[~hit], home[~hit]
             order = np.argsort(key, kind="stable")
-            key, place = key[order], place[order]
+            key, place, home = key[order], place[order], home[order]
             first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (place[1:] != place[:-1]))))[: len(key)]
             n = np.diff(np.append(first, len(key)))
             key, place = key[first], place[first]
-            order, cut = by_bucket(key.view(np.int64) % buckets, buckets)
+            order, cut = by_bucket(home[first], buckets)
             key, place, n = key[order], place[order], n[order]
             rows = []
             for p, d, s in _parts(ids, sums, buckets):
@@ -236,11 +369,16 @@ def score(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in part], packed_type.types[c]) for c in range(6)], schema=packed_type)
 
     def look_up(entries: pa.Table, model: pa.Table) -> pa.Table:
-        names = ("key", "s", "b", "known")
-        key, s, b, known = (model.column(c).to_numpy() for c in names)
-        key = key.view(np.uint64) & TOPS
+        blobs = model.column("blob")
+        pk, ps, pp = _unpack([x for x in blobs.to_pylist() if x is not None], np.uint64, np.float64, np.uint16)
+        shift = shared.value[3]
+        ps = ps + shift[np.minimum(pp, len(shift) - 1)]
+        wk, ws, wb = (model.filter(blobs.is_null()).column(c).to_numpy() for c in ("key", "s", "b"))
+        key = np.concatenate([wk.view(np.uint64), pk]) & TOPS
+        s, b, known = np.concatenate([ws, ps]), np.concatenate([wb, np.zeros(len(pk))]), np.concatenate([np.ones(len(wk)), np.zeros(len(pk))])
+        del pk, ps, pp
         order = np.argsort(key)
-        key, s, b, known = key[order], s[order], b[order], known[order].astype(np.float64)
+        key, s, b, known = key[order], s[order], b[order], known[order]
         out = []
         for d, sums, place, keys, n in zip(*(entries.column(c).to_pylist() for c in packed_type.names[1:]), strict=True):
             ids = np.frombuffer(d, np.int64).reshape(-1, 3)
@@ -277,7 +415,7 @@ def score(docs: DataFrame) -> DataFrame:
         return pa.table([doc, pa.array(out), pa.array(np.rint(total[0]).astype(np.int64)), pa.array(np.rint(total[1]).astype(np.int64)), pa.array(total[2]), pa.array(total[3])], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     packed = docs.mapInArrow(run, "bucket long, docs binary, sums binary, place binary, keys binary, n binary")
-    tables = model.table.select("bucket", "key", "s", "b", "known")
+    tables = model.table.select("bucket", "key", "s", "b", "blob")
     back = packed.groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInArrow(look_up, "part long, docs binary, sums binary")
     back = stage(back, "katz-sums")
     out = back.groupBy("part").applyInArrow(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")

@@ -187,8 +187,7 @@ def katz_by_hand(texts):
     unknown = 1 - math.fsum(p.values())
     seen = collections.defaultdict(dict)
     for (a, b), c in bi.items():
-        if c > 1:
-            seen[a][b] = cut(c, d2) / uni[a]
+        seen[a][b] = cut(c, d2) / uni[a]
     for a, s in seen.items():
         if math.fsum(s.values()) > 1 - 1e-9:
             seen[a] = {w: q * uni[a] / (uni[a] + 1) for w, q in s.items()}
@@ -204,7 +203,10 @@ def katz_by_hand(texts):
     return out
 
 
-def test_katz_equals_brute_force(docs):
+@pytest.mark.parametrize("hot", [50_000, 100, 0])
+def test_katz_equals_brute_force(docs, monkeypatch, hot):
+    """With every word among the frequent ones, with some, and with none."""
+    monkeypatch.setattr(katz, "HOT", hot)
     want = katz_by_hand({r.doc_id: r.text for r in docs.collect()})
     rows = katz.score(docs).collect()
     assert len(rows) == len(want)
