@@ -83,6 +83,8 @@ def bucket_count(n_items: int, per_bucket: int, least: int = 1) -> int:
 
 def by_bucket(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """A stable order that gathers the rows of each bucket, and the n + 1 bounds of the buckets in it."""
+    if n <= 1 << 16:
+        bucket = bucket.astype(np.uint16)  # sorted by radix
     order = np.argsort(bucket, kind="stable")
     return order, np.searchsorted(bucket[order], np.arange(n + 1))
 

@@ -16,7 +16,8 @@ score is a sum over its words of log P(word) + log weight(word), each word being
 that were seen, log P(pair) - log weight - log P(word). Each task sums its documents' keys, resolves the most frequent
 words and pairs, at most `HOT` of either, by a broadcast table, and sends the rest packed by bucket; a bucket looks them
 up in its part of the tables, and sends sums back packed by parts of the documents. A frequent key so costs nothing
-beyond its own task, and no bucket holds more than its share. Keys meet inside a bucket by 48 bits.
+beyond its own task, and no bucket holds more than its share. Keys meet inside a bucket by 48 bits, and what a packed
+pair adds is kept to 7 digits.
 
 Defined results: null and empty texts consist of the end token; repeated rows count as often as they come in training,
 and are scored alike; rows with a null doc_id train, and are scored; without training documents every token is of the
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import Hashes, bucket_count, by_bucket, mix, stage, texts, unstage
 
-K, HOT, FLUSH, PER_BUCKET, MOST_DOCS = 5, 50_000, 500_000, 2_000_000, 60_000
+K, HOT, FLUSH, PER_BUCKET, MOST_DOCS, PACK = 5, 50_000, 500_000, 2_000_000, 60_000, 1 << 16
 #: Not a word: it holds a space.
 END = Hashes()[b" end"]
 TOPS = np.uint64(0xFFFFFFFFFFFF)
@@ -127,6 +128,11 @@ def most_frequent(df: DataFrame, c: str, most: int) -> list:
     return df.filter(_step(c) >= least).collect() if least is not None else []
 
 
+def _packs(*columns: np.ndarray) -> list[bytes]:
+    """Columns one after another, PACK rows at a time, so that no row of a table is large; at least one pack."""
+    return [b"".join(c[k : k + PACK].tobytes() for c in columns) for k in range(0, max(len(columns[0]), 1), PACK)]
+
+
 def _unpack(blobs: list[bytes], *types) -> list[np.ndarray]:
     """Columns that were packed one after another, of all blobs."""
     sizes = [np.dtype(t).itemsize for t in types]
@@ -166,15 +172,15 @@ def pairs(docs: DataFrame, buckets: int, hot) -> DataFrame:
         v, w = v[order[first]], w[order[first]]
         cold = hot.value.find(w) < 0
         seen, times = np.unique(np.where(c <= K + 1, c, K + 2 + np.floor(np.log2(c) * 16).astype(np.int64)), return_counts=True)
-        blob = v[~cold].tobytes() + w[~cold].tobytes() + c[~cold].astype(np.int32).tobytes()
-        some, n = np.flatnonzero(cold), len(seen)
+        blobs = _packs(v[~cold], w[~cold], c[~cold].astype(np.int32))
+        some, n, k = np.flatnonzero(cold), len(seen), len(blobs)
         m = len(some)
         return pa.table([
-            pa.array([bucket] * (m + 1) + [None] * n, pa.int64()),
-            pa.concat_arrays([pa.array(v[some].view(np.int64)), pa.array([None], pa.int64()), pa.array(seen)]),
-            pa.concat_arrays([pa.array(w[some].view(np.int64)), pa.nulls(n + 1, pa.int64())]),
-            pa.concat_arrays([pa.array(c[some]), pa.array([None], pa.int64()), pa.array(times)]),
-            pa.concat_arrays([pa.nulls(m, pa.binary()), pa.array([blob], pa.binary()), pa.nulls(n, pa.binary())]),
+            pa.array([bucket] * (m + k) + [None] * n, pa.int64()),
+            pa.concat_arrays([pa.array(v[some].view(np.int64)), pa.nulls(k, pa.int64()), pa.array(seen)]),
+            pa.concat_arrays([pa.array(w[some].view(np.int64)), pa.nulls(n + k, pa.int64())]),
+            pa.concat_arrays([pa.array(c[some]), pa.nulls(k, pa.int64()), pa.array(times)]),
+            pa.concat_arrays([pa.nulls(m, pa.binary()), pa.array(blobs, pa.binary()), pa.nulls(n, pa.binary())]),
         ], names=["bucket", "v", "w", "c", "blob"])
 
     packed = docs.mapInArrow(run, "bucket long, v binary, w binary, c binary")
@@ -270,15 +276,15 @@ class Model:
             place = np.repeat(np.where(at >= 0, at, 0xFFFF), size).astype(np.uint16)
             warm = np.flatnonzero(at >= 0)
             top = np.flatnonzero(np.floor(np.log2(np.maximum(c, 1)) * 16) >= least)
-            blob = key.tobytes() + x.tobytes() + place.tobytes()
-            k1, k2, k3 = len(cold), len(warm), len(top)
+            blobs = _packs((key >> np.uint64(32)).astype(np.uint16), key.astype(np.uint32), x.astype(np.float32), place)
+            k0, k1, k2, k3 = len(blobs), len(cold), len(warm), len(top)
             return pa.table([
-                pa.array([bucket] * (1 + k1 + k2 + k3), pa.int64()),
-                pa.array([0] + [1] * k1 + [2] * k2 + [3] * k3, pa.int32()),
-                pa.concat_arrays([pa.array([None], pa.int64()), pa.array(v[first[cold]].view(np.int64)), pa.array(at[warm].astype(np.int64)), pa.array(key[top].view(np.int64))]),
-                pa.concat_arrays([pa.array([None], pa.float64()), pa.array(la[cold]), pa.array(sq[warm]), pa.array(x[top])]),
-                pa.concat_arrays([pa.array([None], pa.float64()), pa.array(ls[cold]), pa.array(sw[warm]), pa.array(place[top].astype(np.float64))]),
-                pa.concat_arrays([pa.array([blob], pa.binary()), pa.nulls(k1 + k2 + k3, pa.binary())]),
+                pa.array([bucket] * (k0 + k1 + k2 + k3), pa.int64()),
+                pa.array([0] * k0 + [1] * k1 + [2] * k2 + [3] * k3, pa.int32()),
+                pa.concat_arrays([pa.nulls(k0, pa.int64()), pa.array(v[first[cold]].view(np.int64)), pa.array(at[warm].astype(np.int64)), pa.array(key[top].view(np.int64))]),
+                pa.concat_arrays([pa.nulls(k0, pa.float64()), pa.array(la[cold]), pa.array(sq[warm]), pa.array(x[top])]),
+                pa.concat_arrays([pa.nulls(k0, pa.float64()), pa.array(ls[cold]), pa.array(sw[warm]), pa.array(place[top].astype(np.float64))]),
+                pa.concat_arrays([pa.array(blobs, pa.binary()), pa.nulls(k1 + k2 + k3, pa.binary())]),
             ], names=["bucket", "kind", "v", "x", "y", "blob"])
 
         rows = seen_pairs.filter("w is not null").select(F.col("bucket").alias("home"), "v", "w", "c").join(uni.select("w", F.col("c").alias("cw")), "w")
@@ -370,13 +376,13 @@ def score(docs: DataFrame) -> DataFrame:
 
     def look_up(entries: pa.Table, model: pa.Table) -> pa.Table:
         blobs = model.column("blob")
-        pk, ps, pp = _unpack([x for x in blobs.to_pylist() if x is not None], np.uint64, np.float64, np.uint16)
-        shift = shared.value[3]
+        hi, lo, ps, pp = _unpack([x for x in blobs.to_pylist() if x is not None], np.uint16, np.uint32, np.float32, np.uint16)
+        pk, shift = (hi.astype(np.uint64) << np.uint64(32)) | lo, shared.value[3]
         ps = ps + shift[np.minimum(pp, len(shift) - 1)]
         wk, ws, wb = (model.filter(blobs.is_null()).column(c).to_numpy() for c in ("key", "s", "b"))
         key = np.concatenate([wk.view(np.uint64), pk]) & TOPS
         s, b, known = np.concatenate([ws, ps]), np.concatenate([wb, np.zeros(len(pk))]), np.concatenate([np.ones(len(wk)), np.zeros(len(pk))])
-        del pk, ps, pp
+        del hi, lo, pk, ps, pp
         order = np.argsort(key)
         key, s, b, known = key[order], s[order], b[order], known[order]
         out = []

@@ -214,7 +214,7 @@ def test_katz_equals_brute_force(docs, monkeypatch, hot):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 1)
         got, real = (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score), want[r.doc_id]
         assert got[:3] == real[:3]
-        assert got[3:] == pytest.approx(real[3:], abs=1e-6)
+        assert got[3:] == pytest.approx(real[3:], rel=1e-6, abs=1e-3)  # 3,000 times a pair of 7 digits
 
 
 @pytest.fixture(scope="module")
