@@ -9,7 +9,7 @@ pairs leave nothing, all being frequent, gives up 1 / (n + 1).
 Pairs are counted in buckets of their contexts, so that a context's sums need no join. The at most `HOT` most frequent
 words go to all tasks with their counts: pairs with such a context are spread over all buckets, and their sums come
 together by context; the probability of a pair's word is known on the spot if the word is one of these, and comes by a
-join of rows only if it is not. The tables are Parquet, by bucket: packed pairs, and a row for each other word.
+join of rows only if it is not. The tables are Parquet, by bucket: packed pairs, and packed words.
 
 A token's probability is that of its pair if the pair has one, else the context's weight times the word's. So a text's
 score is a sum over its words of log P(word) + log weight(word), each word being a context once, plus, over the pairs
@@ -133,6 +133,11 @@ def _packs(*columns: np.ndarray) -> list[bytes]:
     return [b"".join(c[k : k + PACK].tobytes() for c in columns) for k in range(0, max(len(columns[0]), 1), PACK)]
 
 
+def _halves(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 48 bits of keys by which they meet."""
+    return (key >> np.uint64(32)).astype(np.uint16), key.astype(np.uint32)
+
+
 def _unpack(blobs: list[bytes], *types) -> list[np.ndarray]:
     """Columns that were packed one after another, of all blobs."""
     sizes = [np.dtype(t).itemsize for t in types]
@@ -224,9 +229,10 @@ def _backoff(q: np.ndarray, pw: np.ndarray, c: np.ndarray) -> tuple[np.ndarray,
 
 
 class Model:
-    """N, V, the unknown type's log10 probability, and the staged table (bucket, key, s, b, blob): what a key adds to a score
-    and to a base score, beyond what an unknown word adds. A word is a row; pairs are packed, a key and what it adds but for
-    what frequent contexts add, whose places go along."""
+    """N, V, the unknown type's log10 probability, and the staged table (bucket, kind, blob): packed pairs (kind 0), a key
+    and what it adds to a score but for what frequent contexts add, whose places go along; and packed words (kind 1), a key,
+    its count and its weight's log10. Every word is the context of as many pairs as it has occurrences, so the bucket of a
+    context knows all of this."""
 
     def __init__(self, docs: DataFrame, buckets: int):
         sc = docs.sparkSession.sparkContext
@@ -234,8 +240,7 @@ class Model:
         n, v = uni.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
         self.n, self.v, self.buckets = n, v, buckets
         d1 = discounts(dict(uni.filter(F.col("c") <= K + 1).groupBy("c").count().collect()))
-        p = uni.withColumn("p", _discounted("c", d1) / float(max(n, 1)))
-        mass = p.agg(F.coalesce(F.sum("p"), F.lit(0.0))).first()[0]
+        mass = uni.agg(F.coalesce(F.sum(_discounted("c", d1) / float(max(n, 1))), F.lit(0.0))).first()[0]
         self.unknown = math.log10(max(1.0 - mass, 1e-300))
         self.base0 = math.log10(0.5 / (n + 0.5 * (v + 1)))
         self.hot = sc.broadcast(Hot(uni))
@@ -276,22 +281,23 @@ class Model:
             place = np.repeat(np.where(at >= 0, at, 0xFFFF), size).astype(np.uint16)
             warm = np.flatnonzero(at >= 0)
             top = np.flatnonzero(np.floor(np.log2(np.maximum(c, 1)) * 16) >= least)
-            blobs = _packs((key >> np.uint64(32)).astype(np.uint16), key.astype(np.uint32), x.astype(np.float32), place)
-            k0, k1, k2, k3 = len(blobs), len(cold), len(warm), len(top)
+            blobs = _packs(*_halves(key), x.astype(np.float32), place)
+            own = _packs(*_halves(v[first[cold]]), many[cold].astype(np.int32), la[cold].astype(np.float32))
+            k0, k1, k2, k3 = len(blobs), len(own), len(warm), len(top)
             return pa.table([
                 pa.array([bucket] * (k0 + k1 + k2 + k3), pa.int64()),
                 pa.array([0] * k0 + [1] * k1 + [2] * k2 + [3] * k3, pa.int32()),
-                pa.concat_arrays([pa.nulls(k0, pa.int64()), pa.array(v[first[cold]].view(np.int64)), pa.array(at[warm].astype(np.int64)), pa.array(key[top].view(np.int64))]),
-                pa.concat_arrays([pa.nulls(k0, pa.float64()), pa.array(la[cold]), pa.array(sq[warm]), pa.array(x[top])]),
-                pa.concat_arrays([pa.nulls(k0, pa.float64()), pa.array(ls[cold]), pa.array(sw[warm]), pa.array(place[top].astype(np.float64))]),
-                pa.concat_arrays([pa.array(blobs, pa.binary()), pa.nulls(k1 + k2 + k3, pa.binary())]),
+                pa.concat_arrays([pa.nulls(k0 + k1, pa.int64()), pa.array(at[warm].astype(np.int64)), pa.array(key[top].view(np.int64))]),
+                pa.concat_arrays([pa.nulls(k0 + k1, pa.float64()), pa.array(sq[warm]), pa.array(x[top])]),
+                pa.concat_arrays([pa.nulls(k0 + k1, pa.float64()), pa.array(sw[warm]), pa.array(place[top].astype(np.float64))]),
+                pa.concat_arrays([pa.array(blobs + own, pa.binary()), pa.nulls(k2 + k3, pa.binary())]),
             ], names=["bucket", "kind", "v", "x", "y", "blob"])
 
         rows = seen_pairs.filter("w is not null").select(F.col("bucket").alias("home"), "v", "w", "c").join(uni.select("w", F.col("c").alias("cw")), "w")
         packed = seen_pairs.filter("blob is not null").select("bucket", "blob")
         parts = packed.groupBy("bucket").cogroup(rows.groupBy("home")).applyInArrow(finish, "bucket long, kind int, v long, x double, y double, blob binary")
         parts = stage(parts, "katz-model")
-        unstage(seen_pairs)
+        unstage(seen_pairs, uni)
         warm = {r.v: (r.q, r.w) for r in parts.filter("kind = 2").groupBy("v").agg(F.sum("x").alias("q"), F.sum("y").alias("w")).collect()}  # HOT rows at most
         h = hot.value
         sums = np.array([warm.get(k, (0.0, 0.0)) for k in range(len(h.w))], float).reshape(-1, 2)
@@ -305,12 +311,8 @@ class Model:
         known = np.concatenate([np.ones(len(h.w), np.int64), np.zeros(len(top), np.int64)])
         order = np.argsort(keys)
         self.known_to_all = keys[order], s[order], b[order], known[order]
-        alpha = parts.filter("kind = 1").select(F.col("v").alias("w"), F.col("x").alias("la"))
-        word = p.join(alpha, "w", "left").select(F.pmod("w", F.lit(buckets)).alias("bucket"), F.col("w").alias("key"), (F.log10("p") + F.coalesce("la", F.lit(0.0)) - self.unknown).alias("s"), (F.log10((F.col("c") + 0.5) / (n + 0.5 * (v + 1))) - self.base0).alias("b"))
-        word = stage(word, "katz-word-model")
-        unstage(uni)
-        nothing = F.lit(None)
-        self.table = word.withColumn("blob", nothing.cast("binary")).unionByName(parts.filter("kind = 0").select("bucket", nothing.cast("long").alias("key"), nothing.cast("double").alias("s"), nothing.cast("double").alias("b"), "blob"))
+        self.d1 = d1
+        self.table = parts.filter("kind < 2").select("bucket", "kind", "blob")
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -320,6 +322,7 @@ def score(docs: DataFrame) -> DataFrame:
     buckets = bucket_count(size // 6, PER_BUCKET, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     model = Model(docs, buckets)
     shared = docs.sparkSession.sparkContext.broadcast((model.known_to_all, model.unknown, model.base0, model.shift))
+    n_train, n_types, d1 = max(model.n, 1), model.v, model.d1
     frequent = model.hot
     packed_type = pa.schema([("bucket", pa.int64()), ("docs", pa.binary()), ("sums", pa.binary()), ("place", pa.binary()), ("keys", pa.binary()), ("n", pa.binary())])
     back_type = pa.schema([("part", pa.int64()), ("docs", pa.binary()), ("sums", pa.binary())])
@@ -341,7 +344,7 @@ def score(docs: DataFrame) -> DataFrame:
             sums[:, 3] = sums[:, 0] * unknown
             v = _before(w, sizes)
             key = _pairs(v, w)
-            home = np.concatenate([w.view(np.int64) % buckets, frequent.value.home(v, key, buckets)]).astype(np.int32)
+            home = np.concatenate([mix(w).view(np.int64) % buckets, frequent.value.home(v, key, buckets)]).astype(np.int32)
             key = np.concatenate([w, key])
             place = np.concatenate([place, place])
             if len(hot):
@@ -375,12 +378,17 @@ def score(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in part], packed_type.types[c]) for c in range(6)], schema=packed_type)
 
     def look_up(entries: pa.Table, model: pa.Table) -> pa.Table:
-        blobs = model.column("blob")
-        hi, lo, ps, pp = _unpack([x for x in blobs.to_pylist() if x is not None], np.uint16, np.uint32, np.float32, np.uint16)
-        pk, shift = (hi.astype(np.uint64) << np.uint64(32)) | lo, shared.value[3]
+        _, unknown, base0, shift = shared.value
+        blobs = [[], []]
+        for k, x in zip(model.column("kind").to_pylist(), model.column("blob").to_pylist(), strict=True):
+            blobs[k].append(x)
+        hi, lo, ps, pp = _unpack(blobs[0], np.uint16, np.uint32, np.float32, np.uint16)
+        pk = (hi.astype(np.uint64) << np.uint64(32)) | lo
         ps = ps + shift[np.minimum(pp, len(shift) - 1)]
-        wk, ws, wb = (model.filter(blobs.is_null()).column(c).to_numpy() for c in ("key", "s", "b"))
-        key = np.concatenate([wk.view(np.uint64), pk]) & TOPS
+        hi, lo, c, la = _unpack(blobs[1], np.uint16, np.uint32, np.int32, np.float32)
+        wk = (hi.astype(np.uint64) << np.uint64(32)) | lo
+        ws, wb = np.log10(_reduced(c, d1) / n_train) + la - unknown, np.log10((c + 0.5) / (n_train + 0.5 * (n_types + 1))) - base0
+        key = np.concatenate([wk, pk])
         s, b, known = np.concatenate([ws, ps]), np.concatenate([wb, np.zeros(len(pk))]), np.concatenate([np.ones(len(wk)), np.zeros(len(pk))])
         del hi, lo, pk, ps, pp
         order = np.argsort(key)
@@ -421,7 +429,7 @@ def score(docs: DataFrame) -> DataFrame:
         return pa.table([doc, pa.array(out), pa.array(np.rint(total[0]).astype(np.int64)), pa.array(np.rint(total[1]).astype(np.int64)), pa.array(total[2]), pa.array(total[3])], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     packed = docs.mapInArrow(run, "bucket long, docs binary, sums binary, place binary, keys binary, n binary")
-    tables = model.table.select("bucket", "key", "s", "b", "blob")
+    tables = model.table
     back = packed.groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInArrow(look_up, "part long, docs binary, sums binary")
     back = stage(back, "katz-sums")
     out = back.groupBy("part").applyInArrow(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
