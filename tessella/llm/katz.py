@@ -324,8 +324,8 @@ def score(docs: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((model.known_to_all, model.unknown, model.base0, model.shift))
     n_train, n_types, d1 = max(model.n, 1), model.v, model.d1
     frequent = model.hot
-    packed_type = pa.schema([("bucket", pa.int64()), ("docs", pa.binary()), ("sums", pa.binary()), ("place", pa.binary()), ("keys", pa.binary()), ("n", pa.binary())])
-    back_type = pa.schema([("part", pa.int64()), ("docs", pa.binary()), ("sums", pa.binary())])
+    packed_type = pa.schema([("bucket", pa.int64()), ("base", pa.int64()), ("docs", pa.binary()), ("sums", pa.binary()), ("place", pa.binary()), ("sizes", pa.binary()), ("keys", pa.binary()), ("n", pa.binary())])
+    back_type = pa.schema([("part", pa.int64()), ("rows", pa.binary()), ("docs", pa.binary()), ("sums", pa.binary())])
 
     def run(it):
         from pyspark import TaskContext
@@ -336,8 +336,9 @@ def score(docs: DataFrame) -> DataFrame:
             sizes = [len(t) for *_, t in held]
             w = np.concatenate([t for *_, t in held])
             place = np.repeat(np.arange(len(held), dtype=np.uint16), sizes)
-            # a row is known by its task and place in it; the doc_id goes along
-            ids = np.array([((task << 36) + row, 0 if d is None else d, d is None) for row, d, _ in held], np.int64)
+            # a row is known by its task and its number there; a chunk's rows follow one another
+            base = (task << 36) + held[0][0]
+            names = np.array([(0 if d is None else d, d is None) for _, d, _ in held], np.int64)
             sums = np.zeros((len(held), 4))  # tokens, known, base, score
             sums[:, 0] = sizes
             sums[:, 2] = sums[:, 0] * base0
@@ -358,24 +359,24 @@ def score(docs: DataFrame) -> DataFrame:
             key, place, home = key[order], place[order], home[order]
             first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (place[1:] != place[:-1]))))[: len(key)]
             n = np.diff(np.append(first, len(key)))
-            key, place = key[first], place[first]
-            order, cut = by_bucket(home[first], buckets)
+            key, place, home = key[first], place[first], home[first]
+            order = np.argsort(place, kind="stable")  # entries go by bucket, then by row
+            again, cut = by_bucket(home[order], buckets)
+            order = order[again]
             key, place, n = key[order], place[order], n[order]
-            rows = []
-            for p, d, s in _parts(ids, sums, buckets):
-                rows.append((p, d, s, None, None, None))
-            used = np.zeros(len(held), bool)
+            rows = [(p, None, d, s, r, None, None, None) for p, r, d, s in _parts(base + np.arange(len(held)), names, sums, buckets)]
             for b in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
                 own = slice(cut[b], cut[b + 1])
-                used[:] = False
-                used[place[own]] = True
-                local = (np.cumsum(used) - 1).astype(np.uint16)
-                k = key[own] & TOPS
+                at = np.flatnonzero(np.concatenate(([True], place[own][1:] != place[own][:-1])))
+                sizes = np.diff(np.append(at, cut[b + 1] - cut[b]))
+                short = 2 * len(at) < len(place[own]) and sizes.max() < 1 << 16
+                where = (place[own][at].tobytes(), sizes.astype(np.uint16).tobytes()) if short else (place[own].tobytes(), None)
+                hi, lo = _halves(key[own])
                 many = np.flatnonzero(n[own] > 1).astype(np.uint32)
-                rows.append((b, ids[used].tobytes(), None, local[place[own]].tobytes(), (k >> np.uint64(32)).astype(np.uint16).tobytes() + k.astype(np.uint32).tobytes(), many.tobytes() + n[own][many].astype(np.uint32).tobytes()))
+                rows.append((b, base, None, None, *where, hi.tobytes() + lo.tobytes(), many.tobytes() + n[own][many].astype(np.uint32).tobytes()))
             for k in range(0, len(rows), 500):
                 part = rows[k : k + 500]
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in part], packed_type.types[c]) for c in range(6)], schema=packed_type)
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in part], packed_type.types[c]) for c in range(8)], schema=packed_type)
 
     def look_up(entries: pa.Table, model: pa.Table) -> pa.Table:
         _, unknown, base0, shift = shared.value
@@ -393,13 +394,14 @@ def score(docs: DataFrame) -> DataFrame:
         del hi, lo, pk, ps, pp
         order = np.argsort(key)
         key, s, b, known = key[order], s[order], b[order], known[order]
-        out = []
-        for d, sums, place, keys, n in zip(*(entries.column(c).to_pylist() for c in packed_type.names[1:]), strict=True):
-            ids = np.frombuffer(d, np.int64).reshape(-1, 3)
+        out, ready = [], []
+        for bucket, base, d, sums, place, sizes, keys, n in zip(*(entries.column(c).to_pylist() for c in packed_type.names), strict=True):
             if sums is not None:
-                out.append((ids, np.frombuffer(sums, np.float64).reshape(-1, 4)))
+                ready.append((bucket, place, d, sums))
             elif len(key):
                 place = np.frombuffer(place, np.uint16)
+                if sizes is not None:
+                    place = np.repeat(place, np.frombuffer(sizes, np.uint16))
                 m = len(place)
                 k = (np.frombuffer(keys, np.uint16, m).astype(np.uint64) << np.uint64(32)) | np.frombuffer(keys, np.uint32, m, 2 * m)
                 many = np.frombuffer(n, np.uint32).reshape(2, -1)
@@ -409,38 +411,46 @@ def score(docs: DataFrame) -> DataFrame:
                 hit = np.flatnonzero(key[at] == k)
                 if len(hit):
                     at, place, times = at[hit], place[hit], times[hit]
-                    got = np.zeros((len(ids), 4))
+                    size = int(place.max()) + 1
+                    got = np.zeros((size, 4))
                     for col, x in ((1, known), (2, b), (3, s)):
-                        got[:, col] = np.bincount(place, times * x[at], len(ids))
+                        got[:, col] = np.bincount(place, times * x[at], size)
                     some = np.unique(place)
-                    out.append((ids[some], got[some]))
-        rows = []
+                    out.append((base + some.astype(np.int64), got[some]))
         if out:
-            rows = list(_parts(np.concatenate([i for i, _ in out]), np.concatenate([x for _, x in out]), buckets))
-        return pa.table([pa.array([r[c] for r in rows], back_type.types[c]) for c in range(3)], schema=back_type)
+            ready += _parts(np.concatenate([i for i, _ in out]), None, np.concatenate([x for _, x in out]), buckets)
+        return pa.table([pa.array([r[c] for r in ready], back_type.types[c]) for c in range(4)], schema=back_type)
 
     def gather(table: pa.Table) -> pa.Table:
-        ids = np.frombuffer(b"".join(table.column("docs").to_pylist()), np.int64).reshape(-1, 3)
+        rows = np.frombuffer(b"".join(table.column("rows").to_pylist()), np.int64)
         sums = np.frombuffer(b"".join(table.column("sums").to_pylist()), np.float64).reshape(-1, 4)
-        _, first, own = np.unique(ids[:, 0], return_index=True, return_inverse=True)
-        total = [np.bincount(own, sums[:, c], len(first)) for c in range(4)]
-        doc = pa.array(ids[first, 1], mask=ids[first, 2].astype(bool))
+        named = [(r, d) for r, d in zip(table.column("rows").to_pylist(), table.column("docs").to_pylist(), strict=True) if d is not None]
+        own = np.frombuffer(b"".join(r for r, _ in named), np.int64)  # each row once
+        names = np.frombuffer(b"".join(d for _, d in named), np.int64).reshape(-1, 2)
+        order = np.argsort(own)
+        own, names = own[order], names[order]
+        at = np.searchsorted(own, rows)
+        total = [np.bincount(at, sums[:, c], len(own)) for c in range(4)]
+        doc = pa.array(names[:, 0], mask=names[:, 1].astype(bool))
         out = [held_out(d) for d in doc.to_pylist()]
         return pa.table([doc, pa.array(out), pa.array(np.rint(total[0]).astype(np.int64)), pa.array(np.rint(total[1]).astype(np.int64)), pa.array(total[2]), pa.array(total[3])], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    packed = docs.mapInArrow(run, "bucket long, docs binary, sums binary, place binary, keys binary, n binary")
+    packed = docs.mapInArrow(run, "bucket long, base long, docs binary, sums binary, place binary, sizes binary, keys binary, n binary")
     tables = model.table
-    back = packed.groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInArrow(look_up, "part long, docs binary, sums binary")
+    back = packed.groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInArrow(look_up, "part long, rows binary, docs binary, sums binary")
     back = stage(back, "katz-sums")
     out = back.groupBy("part").applyInArrow(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _parts(ids: np.ndarray, sums: np.ndarray, parts: int):
-    """(part, rows, sums), a row's sums added up first."""
-    _, first, own = np.unique(ids[:, 0], return_index=True, return_inverse=True)
-    ids, sums = ids[first], np.stack([np.bincount(own, sums[:, c], len(first)) for c in range(4)], axis=1)
-    order, cut = by_bucket(mix(ids[:, 0].view(np.uint64)).view(np.int64) % parts, parts)
-    ids, sums = ids[order], sums[order]
+def _parts(rows: np.ndarray, names: np.ndarray | None, sums: np.ndarray, parts: int):
+    """(part, rows, their names, sums), a row's sums added up first; rows with names are there once."""
+    if names is None:
+        rows, own = np.unique(rows, return_inverse=True)
+        sums = np.stack([np.bincount(own, sums[:, c], len(rows)) for c in range(4)], axis=1)
+    order, cut = by_bucket(mix(rows.view(np.uint64)).view(np.int64) % parts, parts)
+    rows, sums = rows[order], sums[order]
+    names = None if names is None else names[order]
     for p in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
-        yield p, ids[cut[p] : cut[p + 1]].tobytes(), sums[cut[p] : cut[p + 1]].tobytes()
+        own = slice(cut[p], cut[p + 1])
+        yield p, rows[own].tobytes(), None if names is None else names[own].tobytes(), sums[own].tobytes()
