@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import Hashes, bucket_count, by_bucket, mix, stage, texts, unstage
 
-K, HOT, FLUSH, PER_BUCKET, MOST_DOCS, PACK = 5, 50_000, 500_000, 2_000_000, 60_000, 1 << 16
+K, HOT, FLUSH, PER_BUCKET, MOST_DOCS, PACK = 5, 50_000, 400_000, 1_000_000, 60_000, 1 << 16
 #: Not a word: it holds a space.
 END = Hashes()[b" end"]
 TOPS = np.uint64(0xFFFFFFFFFFFF)
@@ -265,8 +265,10 @@ class Model:
             c = np.concatenate([pc.astype(np.int64), rc])
             cw = np.concatenate([h.c[h.find(pw_)] if len(pw_) else np.zeros(0, np.int64), rcw])
             key = _pairs(v, w)
+            del pv, pw_, pc, rv, rw, rc, rcw, w
             order = np.argsort(v, kind="stable")
             v, key, c, cw = v[order], key[order], c[order], cw[order]
+            del order
             first = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))[: len(v)]
             size = np.diff(np.append(first, len(v)))
             at = h.find(v[first])
