@@ -39,7 +39,7 @@ from .common import mix, texts
 SPACE = "▁"
 UNIT = re.compile(r"\n| *[^ \n]+| +")
 BASE = np.uint64(0x9E3779B97F4A7C15)
-LONGEST, REMEMBERED, FLUSH, FLUSH_BYTES, BUILD = 1024, 2_000_000, 150_000, 2_000_000, 400_000
+LONGEST, REMEMBERED, FLUSH, FLUSH_BYTES, BUILD = 1024, 1_000_000, 100_000, 1_500_000, 200_000
 ENCODED = "doc_id long, rank int, n_pieces long, log_prob double, perturbed double, inclusion double, round_trip boolean, ids array<int>"
 #: Where the draws of an operation begin; a step of a walk, and a round of the search, are added.
 WALK, ROOT, NEXT, OWNER, TURN, PIECE = (k << 40 for k in range(6))
