@@ -13,23 +13,32 @@ from tessella.llm.common import stage
 from tessella.llm.queries import model_file, table
 
 
+#: Rows that cross to Python at once: texts are long, and several copies of a batch are held there.
+BATCH = "1000"
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     return quality.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     return neardup.keep(docs, size=5, percent=80)
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     return substrings.remove(docs, window=50)
 
 
 def benchmark_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"), window=10, longest=10, coverage=0.8)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     return pieces.encode(docs, model_file(spark), k=2)
 
 
