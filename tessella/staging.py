@@ -43,6 +43,25 @@ def stage(df: DataFrame, label: str = "table", codec: str = "zstd") -> DataFrame
     return out
 
 
+def stage_by(df: DataFrame, key: str, n: int, label: str = "table", codec: str = "zstd") -> DataFrame:
+    """Like stage(), in n buckets of key (100,000 at most, as Spark allows): grouping the table by key, or grouping it
+    together with other rows, does not shuffle it again. The catalog forgets the table's name at once."""
+    spark = df.sparkSession
+    path, name = f"{shared_dir(spark)}/tessella-{uuid.uuid4().hex}/{label}", f"tessella_{uuid.uuid4().hex}"
+    old = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.format("parquet").option("compression", codec).option("path", path).bucketBy(min(n, 100_000), key).saveAsTable(name)
+    finally:
+        spark.conf.unset(CLEANUP) if old is None else spark.conf.set(CLEANUP, old)
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # its files stay: it was given a path
+    out._staged, out._path = jpath, path
+    return out
+
+
 def unstage(*tables: DataFrame) -> None:
     """Delete staged tables that no later job reads."""
     for t in tables:
