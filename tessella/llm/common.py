@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-from tessella.staging import shared_dir, stage, unstage  # noqa: F401
+from tessella.staging import shared_dir, stage, stage_by, unstage  # noqa: F401
 
 #: A-Z to a-z; everything that is neither an ASCII letter or digit nor above 0x7F to a space.
 ALNUM = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))

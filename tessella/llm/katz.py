@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashes, bucket_count, by_bucket, mix, stage, texts, unstage
+from .common import Hashes, bucket_count, by_bucket, mix, stage, stage_by, texts, unstage
 
 K, HOT, FLUSH, PER_BUCKET, MOST_DOCS, PACK = 5, 50_000, 400_000, 1_000_000, 60_000, 1 << 16
 #: Not a word: it holds a space.
@@ -298,7 +298,7 @@ class Model:
         rows = seen_pairs.filter("w is not null").select(F.col("bucket").alias("home"), "v", "w", "c").join(uni.select("w", F.col("c").alias("cw")), "w")
         packed = seen_pairs.filter("blob is not null").select("bucket", "blob")
         parts = packed.groupBy("bucket").cogroup(rows.groupBy("home")).applyInArrow(finish, "bucket long, kind int, v long, x double, y double, blob binary")
-        parts = stage(parts, "katz-model")
+        parts = stage_by(parts, "bucket", buckets, "katz-model")  # read where its look-ups go, without a shuffle
         unstage(seen_pairs, uni)
         warm = {r.v: (r.q, r.w) for r in parts.filter("kind = 2").groupBy("v").agg(F.sum("x").alias("q"), F.sum("y").alias("w")).collect()}  # HOT rows at most
         h = hot.value
