@@ -189,7 +189,7 @@ def pairs(docs: DataFrame, buckets: int, hot) -> DataFrame:
         ], names=["bucket", "v", "w", "c", "blob"])
 
     packed = docs.mapInArrow(run, "bucket long, v binary, w binary, c binary")
-    return stage(packed.groupBy("bucket").applyInArrow(count, "bucket long, v long, w long, c long, blob binary"), "katz-pairs")
+    return stage_by(packed.groupBy("bucket").applyInArrow(count, "bucket long, v long, w long, c long, blob binary"), "bucket", buckets, "katz-pairs")
 
 
 def discounts(counts: dict[int, int]) -> list[float]:
