@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from tessella.functions import vectors as V
 
 from . import joins
+from .edits import draw
 from .graph import components
+from .selection import uniform
+from .windows import numbered
 
 
 def with_corners(faces: DataFrame, vertices: DataFrame, face: str, corners: list[str], vertex: str, columns: list[str]) -> DataFrame:
@@ -146,3 +149,37 @@ def collapse_gates(faces: DataFrame, pairs: DataFrame, names: list[str], face: s
     opposite = faces.select(F.explode(F.array(*half)).alias("e")).select("e.*").groupBy("a", "b").agg(F.array_sort(F.collect_set("o")).alias("opposite"))
     x = pairs.select("a", "b").join(opposite, ["a", "b"]).join(near.select(F.col("vertex").alias("a"), F.col("neighbours").alias("na")), "a").join(near.select(F.col("vertex").alias("b"), F.col("neighbours").alias("nb")), "b")
     return x.select("a", "b", "opposite", F.array_sort(F.array_intersect("na", "nb")).alias("common")).withColumn("link_ok", F.col("opposite") == F.col("common"))
+
+
+def fans(faces: DataFrame, face: str, corners: list[str]) -> DataFrame:
+    """(vertex, face, fan): a vertex's faces that hang together by edges at it are a fan, named by its smallest face. Every
+    face is linked with the smallest one on its edge, so that an edge of many faces makes no pairs."""
+    c = F.array_distinct(F.array(*corners))
+    side = faces.select(F.col(face).alias("face"), F.explode(c).alias("vertex"), c.alias("_c")).select("face", "vertex", F.explode("_c").alias("_o")).filter("_o <> vertex")
+    hub = side.groupBy("vertex", "_o").agg(F.min("face").alias("_hub"))
+    links = side.join(hub, ["vertex", "_o"]).select(F.struct("vertex", "face").alias("a"), F.struct("vertex", F.col("_hub").alias("face")).alias("b"))
+    return components(links).select("node.vertex", F.col("node.face").alias(face), F.col("root.face").alias("fan"))
+
+
+def split_fans(faces: DataFrame, face: str, corners: list[str], next_id: int) -> tuple[DataFrame, DataFrame]:
+    """The faces with a vertex of its own for every fan but a vertex's first, and the new vertices (vertex, source),
+    numbered from next_id in the order of their sources and fans."""
+    f = fans(faces, face, corners)
+    first = f.groupBy("vertex").agg(F.min("fan").alias("_first"))
+    more = f.select("vertex", "fan").distinct().join(first, "vertex").filter("fan <> _first").select("vertex", "fan")
+    made = numbered(more, ["vertex", "fan"], "_new").withColumn("_new", F.col("_new") + next_id)
+    moves = f.join(made, ["vertex", "fan"]).groupBy(face).agg(F.map_from_entries(F.collect_list(F.struct("vertex", "_new"))).alias("_moves"))  # a face has three corners
+    out = faces.join(moves, face, "left")
+    for c in corners:
+        out = out.withColumn(c, F.coalesce(F.col("_moves")[F.col(c)], F.col(c)))
+    return out.select(*faces.columns), made.select(F.col("_new").alias("vertex"), F.col("vertex").alias("source"))
+
+
+def surface_samples(corners: DataFrame, face: str, n: int, seed: int) -> DataFrame:
+    """(sample, face, x, y, z): n places on with_corners(), drawn with replacement in proportion to the faces' areas, and
+    evenly inside a face; faces of next to no area are never drawn."""
+    x = corners.withColumn("_area", area()).filter("_area > 1e-12")
+    hit = draw(x, face, "_area", corners.sparkSession.range(n).withColumnRenamed("id", "sample"), "sample", seed)
+    got = hit.join(x, face).withColumn("_r", F.sqrt(uniform("sample", seed + 1))).withColumn("_s", uniform("sample", seed + 2))
+    a, b, c = 1 - F.col("_r"), F.col("_r") * (1 - F.col("_s")), F.col("_r") * F.col("_s")
+    return got.select("sample", face, *[(a * F.col(f"a.{k}") + b * F.col(f"b.{k}") + c * F.col(f"c.{k}")).alias(k) for k in "xyz"])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.windows import numbered
+
 
 def top_k(df: DataFrame, x: str, row: str, k: int) -> DataFrame:
     """The k largest positive values, ties to the lowest id."""
@@ -34,7 +36,7 @@ def without_parents(children: DataFrame, parents: DataFrame, fk: str, pk: str) -
 def compact(df: DataFrame, row: str, used: DataFrame, key: str) -> DataFrame:
     """Rows that are referred to, with dense new ids in the order of the old."""
     keep = df.join(used.select(F.col(key).alias(row)).distinct(), row, "left_semi")
-    return keep.withColumn("new_id", F.row_number().over(Window.orderBy(row)) - 1)
+    return numbered(keep, [row], "new_id")
 
 
 def distinct_sets(df: DataFrame, members: list[str], row: str) -> DataFrame:

@@ -6,6 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.scalar import clip01, finite, smoothstep01
+from tessella.staging import stage
+
+
+def numbered(df: DataFrame, order: list[str], name: str, weight: str | None = None) -> DataFrame:
+    """Rows numbered from 0 in an order without ties; with a weight, its sum over the rows before. Ranges of the order
+    are staged and sorted each on its own, and begin where the ranges before end: one task sees no more than a row for
+    each range."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stage(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    x, before = F.col(weight) if weight else F.lit(1), (Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("_range").agg(F.sum(x).alias("_sum"))
+    start = sizes.select("_range", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(*before)), F.lit(0)).alias("_start"))
+    own = Window.partitionBy("_range").orderBy(*order).rowsBetween(*before)
+    return ranged.join(F.broadcast(start), "_range").withColumn(name, F.col("_start") + F.coalesce(F.sum(x).over(own), F.lit(0))).drop("_range", "_start")
 
 
 def normalize_by_quantile(df: DataFrame, x: str, keys: list[str], q: float = 0.95) -> DataFrame:
@@ -65,20 +79,19 @@ def first_of(df: DataFrame, key: list[str], row: str) -> DataFrame:
     """Distinct keys with the id of their first row and a dense number in the order of first rows. The numbering is
     over distinct keys only."""
     d = df.groupBy(*key).agg(F.min(row).alias("first"))
-    return d.withColumn("number", F.row_number().over(Window.orderBy("first")) - 1)
+    return numbered(d, ["first"], "number")
 
 
 def relabel(df: DataFrame, label: str) -> DataFrame:
     """Positive labels numbered from 1 in their order, 0 kept; a join with the distinct labels."""
-    d = df.filter(F.col(label) > 0).select(label).distinct().withColumn("dense", F.row_number().over(Window.orderBy(label)))
+    d = numbered(df.filter(F.col(label) > 0).select(label).distinct(), [label], "dense").withColumn("dense", F.col("dense") + 1)
     return df.join(d, label, "left").withColumn("dense", F.coalesce("dense", F.lit(0)))
 
 
 def offsets(df: DataFrame, key: str, grid: DataFrame) -> DataFrame:
     """Exclusive running counts over all cells of the grid, empty ones included."""
     n = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    return grid.join(n, key, "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("offset", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    return numbered(grid.join(n, key, "left").withColumn("n", F.coalesce("n", F.lit(0))), [key], "offset", "n")
 
 
 def box_sum(df: DataFrame, x: str, keys: list[str], order: list[str], radius: int) -> DataFrame:

@@ -416,3 +416,22 @@ def tracked_masks(t):
 def large_order_groups(t):
     """Components of the pairs of part and supplier residues that an order of 50 pieces joins."""
     return G.components(t("lineitem").filter("l_quantity > 49").select((F.col("l_partkey") % 50).alias("a"), (F.col("l_suppkey") % 10 + 50).alias("b")).distinct())
+
+
+@query(f"""WITH {GEO}, c AS (SELECT f, l / 2 w FROM m WHERE l / 2 > 1e-12), s AS (SELECT f, sum(w) OVER (ORDER BY f % 64, f ROWS UNBOUNDED PRECEDING) hi, w FROM c), n AS (SELECT sum(w) n FROM c),
+  d AS (SELECT k, {DRAW.format(9, "k")} * n t, sqrt({DRAW.format(10, "k")}) r1, {DRAW.format(11, "k")} r2 FROM range(0, 2000) x(k), n)
+  SELECT k AS "sample", f, round((1 - r1) * ax + r1 * (1 - r2) * bx + r1 * r2 * cx, 4) x, round((1 - r1) * ay + r1 * (1 - r2) * by_ + r1 * r2 * cy, 4) y, round((1 - r1) * az + r1 * (1 - r2) * bz + r1 * r2 * cz, 4) z FROM d JOIN s ON t >= hi - w AND t < hi JOIN m USING (f)""")
+def surface_samples(t):
+    return M.surface_samples(_corners(t), "f", 2000, 9).select("sample", "f", *[r(c).alias(c) for c in "xyz"])
+
+
+@query()
+def vertex_fans(t):
+    """Tests hold it against a brute-force scan."""
+    return M.fans(_tris(t), "f", NAMES)
+
+
+@query()
+def split_fan_vertices(t):
+    faces, _ = M.split_fans(_tris(t), "f", NAMES, 1_000_000)
+    return faces

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import vectors as V
-from tessella.operators import edits, planes, tracking
+from tessella.operators import edits, mesh, planes, tracking, windows
 from tessella.plans import catalog, scenes  # noqa: F401
 from tessella.sources import meshes
 from tessella.sources import scenes as files
@@ -103,3 +103,44 @@ def test_cell_size_meets_the_count(spark):
     df = spark.createDataFrame([tuple(map(float, p)) for p in rng.uniform(0, 10, (2000, 2))], "x double, y double")
     size = tracking.cell_size(df, ["x", "y"], 100, 0.05, 10.0, 12)
     assert 80 <= df.select(F.floor(F.col("x") / size), F.floor(F.col("y") / size)).distinct().count() <= 125
+
+
+def test_fans_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    tris = [(10 * k + 7, *rng.sample(range(12), 3)) for k in range(25)] + [(900, 20, 21, 22), (901, 20, 23, 24), (902, 20, 24, 25), (903, 20, 24, 26)]
+    faces = spark.createDataFrame(tris, "f long, p long, q long, s long")
+    want = {}
+    for v in {v for _, *c in tris for v in c}:
+        left = {f: set(c) - {v} for f, *c in tris if v in c}
+        while left:
+            fan = {min(left)}
+            while more := {f for f, c in left.items() if f not in fan and any(c & left[g] for g in fan)}:
+                fan |= more
+            for f in fan:
+                want[v, f] = min(fan)
+            left = {f: c for f, c in left.items() if f not in fan}
+    assert {(r.vertex, r.f): r.fan for r in mesh.fans(faces, "f", ["p", "q", "s"]).collect()} == want
+    split, made = mesh.split_fans(faces, "f", ["p", "q", "s"], 100)
+    again = [r.fan for r in mesh.fans(split, "f", ["p", "q", "s"]).groupBy("vertex").agg({"fan": "min"}).withColumnRenamed("min(fan)", "fan").collect()]
+    extra = sorted({(v, fan) for (v, _), fan in want.items() if fan != min(g for (w, _), g in want.items() if w == v)})
+    assert sorted((r.vertex, r.source) for r in made.collect()) == [(100 + k, v) for k, (v, _) in enumerate(extra)]
+    assert len(again) == len({(v, fan) for (v, _), fan in want.items()})  # every vertex has one fan now
+    assert mesh.fans(split, "f", ["p", "q", "s"]).select("vertex", "fan").distinct().count() == len(again)
+    own = {r.f: (r.p, r.q, r.s) for r in split.collect()}
+    assert own[900] == (20, 21, 22) and own[901][1:] == (23, 24) and own[901][0] == own[902][0] == own[903][0] == 100 + extra.index((20, 901))
+
+
+def test_numbers_do_not_depend_on_ranges(spark):
+    rows = spark.range(1000).selectExpr("(id * 7919) % 1009 k", "id % 5 w")
+    want, at = {}, 0
+    for n, (k, w) in enumerate(sorted((r.k, r.w) for r in rows.collect())):
+        want[k] = (n, at)
+        at += w
+    for parts in ("1", "3", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        n, s = windows.numbered(rows, ["k"], "n"), windows.numbered(rows, ["k"], "s", "w")
+        assert {r.k: (r.n, r.s) for r in n.join(s, "k").collect()} == want
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert windows.numbered(rows.limit(0), ["k"], "n").count() == 0
