@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, katz, licences, neardup, pieces, quality, sharding, sql, substrings, urls
+from . import alignment, decontaminate, html, katz, licences, neardup, pieces, quality, sharding, sql, substrings, urls
 
 #: A public SentencePiece model; tessella.pieces.model names another.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: A public byte-level tokenizer; tessella.alignment.bytes names another.
+BYTES = "/opt/tokenizers/byte_bpe_50k.json"
 #: verdict, host, path
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
@@ -66,8 +68,12 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), bad, RULES)
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digest(table(spark, sf_dir, "documents"), spark.conf.get("tessella.alignment.bytes", BYTES), model_file(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_sentencepiece, op3_quality_rules, op4_license_scans, op5_near_duplicates, op6_html_extraction, op7_katz_scoring, op8_substring_dedup, op9_decontamination, op10_url_filters)
+    f.__name__: f for f in (op1_sharding, op2_sentencepiece, op3_quality_rules, op4_license_scans, op5_near_duplicates, op6_html_extraction, op7_katz_scoring, op8_substring_dedup, op9_decontamination, op10_url_filters, op11_tokenizer_alignment)
 }
 
 ORACLE_SQL: dict[str, str] = {
