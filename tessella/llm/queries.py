@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontaminate, html, katz, licences, neardup, pieces, quality, sharding, sql, substrings, urls
+from . import alignment, decontaminate, html, katz, licences, neardup, negatives, pieces, quality, sharding, sql, substrings, urls
 
 #: A public SentencePiece model; tessella.pieces.model names another.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -72,8 +72,15 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.digest(table(spark, sf_dir, "documents"), spark.conf.get("tessella.alignment.bytes", BYTES), model_file(spark))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.col("label").cast("long")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return negatives.mine(rows.select(F.col("vec_id").cast("long").alias("vec_id"), noisy.alias("label"), negatives.integers(F.col("embedding"), 256).alias("vector"), (F.col("vec_id") % 100 == 0).alias("anchor")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_sentencepiece, op3_quality_rules, op4_license_scans, op5_near_duplicates, op6_html_extraction, op7_katz_scoring, op8_substring_dedup, op9_decontamination, op10_url_filters, op11_tokenizer_alignment)
+    f.__name__: f for f in (op1_sharding, op2_sentencepiece, op3_quality_rules, op4_license_scans, op5_near_duplicates, op6_html_extraction, op7_katz_scoring, op8_substring_dedup, op9_decontamination, op10_url_filters, op11_tokenizer_alignment, op12_hard_negatives)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -82,4 +89,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_substring_dedup": sql.substrings(),
     "op9_decontamination": sql.decontaminate(),
     "op10_url_filters": sql.urls(RULES),
+    "op12_hard_negatives": sql.negatives(),
 }

@@ -111,3 +111,17 @@ def urls(rules: list[tuple[str, str, str]], pages: str = "pages", labels: str =
     {level("suffix", "")}, {level("domain", "suffix")}, {level("host", "domain")},
     v AS (SELECT q.*, CASE {case} END AS rule, mean - {Z} * sqrt(mean * (1 - mean) / (a + b + 1)) bound FROM q JOIN (SELECT host AS hh, mean, a, b FROM host_p) x ON x.hh = q.host)
     SELECT page_id, host, path, rule, CASE rule {verdict} ELSE CASE WHEN bound > {LIMIT} THEN 'block' ELSE 'allow' END END verdict FROM v"""
+
+
+def negatives() -> str:
+    """Vectors of one length; sums of products below 2**53 are exact."""
+    return """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+      FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id) QUALIFY row_number() OVER w <= 5"""
