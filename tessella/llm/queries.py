@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontaminate, html, katz, licences, neardup, negatives, pieces, quality, sharding, sql, substrings, urls
+from . import alignment, chat, decontaminate, html, katz, licences, neardup, negatives, pieces, quality, sharding, sql, substrings, urls
 
 #: A public SentencePiece model; tessella.pieces.model names another.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -79,8 +79,16 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(rows.select(F.col("vec_id").cast("long").alias("vec_id"), noisy.alias("label"), negatives.integers(F.col("embedding"), 256).alias("vector"), (F.col("vec_id") % 100 == 0).alias("anchor")))
 
 
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -1, whose texts are the template's own control strings."""
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digest(chat.format_turns(rows.union(more)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_sentencepiece, op3_quality_rules, op4_license_scans, op5_near_duplicates, op6_html_extraction, op7_katz_scoring, op8_substring_dedup, op9_decontamination, op10_url_filters, op11_tokenizer_alignment, op12_hard_negatives)
+    f.__name__: f for f in (op1_sharding, op2_sentencepiece, op3_quality_rules, op4_license_scans, op5_near_duplicates, op6_html_extraction, op7_katz_scoring, op8_substring_dedup, op9_decontamination, op10_url_filters, op11_tokenizer_alignment, op12_hard_negatives, op13_chat_formatting)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -90,4 +98,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_decontamination": sql.decontaminate(),
     "op10_url_filters": sql.urls(RULES),
     "op12_hard_negatives": sql.negatives(),
+    "op13_chat_formatting": sql.chat(),
 }

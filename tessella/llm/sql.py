@@ -125,3 +125,20 @@ p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE
 SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
 FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id) QUALIFY row_number() OVER w <= 5"""
+
+
+def chat() -> str:
+    """Turns as they are formatted, for the lengths; digests from the texts as they are."""
+    controls = r"(<)(\\*(?:/?s>|\|(?:image|audio|document)\|>))|(\[)(\\*/?(?:INST|SYS)\])"
+    escaped = rf"regexp_replace({{}}, '{controls}', '\1\3\\\2\4', 'g')"
+    role = escaped.format(r"replace(replace(role, '\', '\\'), chr(10), '\n')")
+    return f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, i, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(i, r)),
+t AS (SELECT *, '<s>' || {role} || chr(10) || CASE role WHEN 'user' THEN '[INST] ' WHEN 'assistant' THEN '' ELSE '[SYS] ' END
+      || {escaped.format("text")} || CASE role WHEN 'user' THEN ' [/INST]' WHEN 'assistant' THEN '' ELSE ' [/SYS]' END || '</s>' AS formed FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, formed)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, formed) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(formed)) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id"""
