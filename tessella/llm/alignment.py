@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import stage
 
 CUT = re.compile(r"(?<=\S) (?=\S)")
-KEPT, SHORT, PART, TEXTS = 400_000, 64, 1_000_000, 500
+KEPT, SHORT, PART, TEXTS, LEARNT = 300_000, 64, 1_000_000, 250, 10_000
 #: An id pair as one number: A's id times SIDES plus B's.
 SIDES = 1 << 24
 ALIGNED = "doc_id long, a_ids array<int>, b_ids array<int>, a_ends array<int>, b_ends array<int>"
@@ -124,6 +125,25 @@ def piece_entries(model) -> list[bytes]:
     return [bytes([int(p[3:5], 16)]) if model.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(names)]
 
 
+class Column:
+    """An array that grows."""
+
+    def __init__(self, kind: type, *more: int):
+        self.held, self.n = np.zeros((1024, *more), kind), 0
+
+    def add(self, rows: np.ndarray) -> None:
+        while self.n + len(rows) > len(self.held):
+            self.held = np.concatenate((self.held, np.zeros_like(self.held)))
+        self.held[self.n : self.n + len(rows)] = rows
+        self.n += len(rows)
+
+
+def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of every run of a size from a start on, run after run."""
+    end = np.cumsum(sizes)
+    return np.repeat(starts - end + sizes, sizes) + np.arange(end[-1] if len(end) else 0)
+
+
 class Aligner:
     """Both models and what a task remembers of its texts' parts."""
 
@@ -138,18 +158,23 @@ class Aligner:
         # a piece with a space behind another character would cross from one walk into the next
         self.whole = any(b" " in p.lstrip(b" ") for p in self.b_bytes)
         self.walks = Transducer(self.a_bytes, self.b_bytes)
+        # ids as they are written inside a group, at the end of A's or B's side, and at the end of a walk
+        self.written = [f"{k}{mark}" for n, mark in ((len(self.a_bytes), ","), (len(self.a_bytes), "|"), (len(self.b_bytes), ","), (len(self.b_bytes), ";"), (len(self.b_bytes), "\n")) for k in range(n)]
         self.kept = kept
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.a_ids: list[list[int]] = []
-        self.b_ids: list[list[int]] = []
-        self.ends: list[tuple[list[int], list[int]]] = []
         self.text: list[str] = []
-        #: for each walk: A tokens, B tokens, groups, links' start; a walk that does not match has -1 groups
-        self.sizes = np.zeros((1024, 4), np.int64)
-        self.links, self.n_links = np.zeros(4096, np.int64), 0
+        #: for each walk: A tokens, B tokens, groups (-1 if the sides don't match), and where these begin in the columns
+        self.walked = Column(np.int64, 6)
+        self.a_ids, self.b_ids = Column(np.int32), Column(np.int32)
+        #: for each group: its end among the walk's A and B tokens, and its link
+        self.a_ends, self.b_ends, self.links = Column(np.int32), Column(np.int32), Column(np.int64)
+
+    @property
+    def sizes(self) -> np.ndarray:
+        return self.walked.held
 
     def split(self, text: str) -> list[str]:
         if self.whole:
@@ -159,31 +184,48 @@ class Aligner:
 
     def learn(self, new: list[str]) -> None:
         """Tokens and groups of parts of texts, each with the space before it."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in new], add_special_tokens=False)]
-        b = self.b.encode(new, num_threads=1)
-        while len(self.text) + len(new) > len(self.sizes):
-            self.sizes = np.concatenate((self.sizes, np.zeros_like(self.sizes)))
-        for p, x, y in zip(new, a, b, strict=True):
-            k = len(self.text)
-            right = b"".join([self.a_bytes[t] for t in x]) == b" " + p.encode()
-            ends = self.walks.groups(x, y) if right else None
-            if ends is None:
-                self.sizes[k] = 0, 0, -1, self.n_links
-                self.text.append("")
-            else:
-                text, i, j = [], 0, 0
-                for ii, jj in zip(*ends, strict=True):
-                    text.append(f"{','.join(map(str, x[i:ii]))}|{','.join(map(str, y[j:jj]))}")
-                    i, j = ii, jj
-                self.text.append(";".join(text))
-                self.sizes[k] = len(x), len(y), len(text), self.n_links
-                while self.n_links + len(text) > len(self.links):
-                    self.links = np.concatenate((self.links, np.zeros_like(self.links)))
-                self.links[self.n_links : self.n_links + len(text)] = [x[i - 1] * SIDES + y[j - 1] for i, j in zip(*ends, strict=True)]
-                self.n_links += len(text)
-            self.a_ids.append(x)
-            self.b_ids.append(y)
-            self.ends.append(ends or ([], []))
+        for k in range(0, len(new), LEARNT):
+            some = new[k : k + LEARNT]
+            a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in some], add_special_tokens=False)]
+            self._learn(some, a, self.b.encode(some, num_threads=1))
+
+    def _learn(self, new: list[str], a: list[list[int]], b: list[list[int]]) -> None:
+        """One walk over all of them; where that fails, over halves, down to the ones that don't match."""
+        flat_a, flat_b = list(chain.from_iterable(a)), list(chain.from_iterable(b))
+        right = b"".join(map(self.a_bytes.__getitem__, flat_a)) == b"".join([b" " + p.encode() for p in new])
+        ends = self.walks.groups(flat_a, flat_b) if right else None
+        if ends is None and len(new) > 1:
+            half = len(new) // 2
+            self._learn(new[:half], a[:half], b[:half])
+            self._learn(new[half:], a[half:], b[half:])
+            return
+        starts = np.array([self.links.n, self.a_ids.n, self.b_ids.n])
+        if ends is None:
+            self.walked.add(np.array([[0, 0, -1, *starts]]))
+            self.text.append("")
+            return
+        x, y = np.array(flat_a, np.int64), np.array(flat_b, np.int64)
+        end_a, end_b = (np.array(e, np.int64) for e in ends)
+        of_a, of_b = (np.array([*map(len, n)], np.int64) for n in (a, b))
+        before_a, before_b = np.cumsum(of_a) - of_a, np.cumsum(of_b) - of_b
+        n = np.diff(np.searchsorted(end_a, np.append(before_a, len(x)), "right"))
+        self.walked.add(np.column_stack((of_a, of_b, n, starts[0] + np.cumsum(n) - n, starts[1] + before_a, starts[2] + before_b)))
+        self.a_ids.add(x)
+        self.b_ids.add(y)
+        self.a_ends.add(end_a - np.repeat(before_a, n))
+        self.b_ends.add(end_b - np.repeat(before_b, n))
+        self.links.add(x[end_a - 1] * SIDES + y[end_b - 1])
+        # in writing, a group's A tokens stand behind all tokens of the groups before, its B tokens behind its A tokens
+        in_a, in_b = np.diff(end_a, prepend=0), np.diff(end_b, prepend=0)
+        place_a = np.arange(len(x)) + np.repeat(end_b - in_b, in_a)
+        place_b = np.arange(len(y)) + np.repeat(end_a, in_b)
+        mark_a, mark_b = np.zeros(len(x), np.int64), np.full(len(y), 2 * len(self.a_bytes))
+        mark_a[end_a - 1] = len(self.a_bytes)
+        mark_b[end_b - 1] += len(self.b_bytes)
+        mark_b[before_b + of_b - 1] += len(self.b_bytes)
+        written = np.empty(len(x) + len(y), np.int64)
+        written[place_a], written[place_b] = x + mark_a, y + mark_b
+        self.text += "".join(map(self.written.__getitem__, written.tolist())).split("\n")[:-1]
 
     def walk(self, texts: list[str | None]) -> list[list[int]]:
         """The places of each text's parts among what is remembered."""
@@ -226,13 +268,13 @@ def align(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
                 out = []
                 for d, places in zip(ids, aligner.walk(texts), strict=True):
                     row = {"doc_id": d, "a_ids": [], "b_ids": [], "a_ends": [], "b_ends": []}
-                    if all(aligner.sizes[k, 2] >= 0 for k in places):
-                        for k in places:
-                            n, m = len(row["a_ids"]), len(row["b_ids"])
-                            row["a_ids"] += aligner.a_ids[k]
-                            row["b_ids"] += aligner.b_ids[k]
-                            row["a_ends"] += [n + x for x in aligner.ends[k][0]]
-                            row["b_ends"] += [m + x for x in aligner.ends[k][1]]
+                    w = aligner.sizes[np.array(places, np.int64)]
+                    if len(w) and (w[:, 2] >= 0).all():
+                        groups = runs(w[:, 3], w[:, 2])
+                        for k, (side, held) in enumerate((("a", aligner.a_ids), ("b", aligner.b_ids))):
+                            row[f"{side}_ids"] = held.held[runs(w[:, 4 + k], w[:, k])]
+                            ends = (aligner.a_ends, aligner.b_ends)[k].held[groups]
+                            row[f"{side}_ends"] = ends + np.repeat(np.cumsum(w[:, k]) - w[:, k], w[:, 2])
                     out.append(row)
                 yield pa.RecordBatch.from_pylist(out, schema)
 
@@ -292,9 +334,7 @@ def digest(docs: DataFrame, a_file: str, b_file: str, part_links: int = PART) ->
                     if not len(at) or (sizes[:, 2] < 0).any():
                         part.add(d, (0, 0, 0), b"", np.zeros(0, np.int64))
                     else:
-                        n = sizes[:, 2]
-                        end = np.cumsum(n)
-                        links = aligner.links[np.repeat(sizes[:, 3] - end + n, n) + np.arange(end[-1])]
+                        links = aligner.links.held[runs(sizes[:, 3], sizes[:, 2])]
                         text = ";".join([aligner.text[k] for k in places])
                         part.add(d, tuple(sizes[:, :3].sum(0)), hashlib.sha256(text.encode()).digest(), links)
                     if part.n >= part_links or len(part.docs) >= part_links:
