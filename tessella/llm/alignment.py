@@ -5,7 +5,7 @@ A state of the transducer is which side leads and its bytes that the other side
 the side behind moves it on. States remember their transitions by token, and an empty residual closes a group. Texts
 are walked from one space between two visible characters to the next: both models begin a token there, so the residual
 is empty, and a task remembers whole walks from the empty state to the empty state by the bytes between (up to `KEPT`
-of them, none longer than `SHORT` characters; then it forgets all, which changes no result).
+of them, none longer than `SHORT` characters; then it forgets the ones used least, which changes no result).
 
 The A-B links of a text are the last tokens of its groups, as no token of either model is without bytes. A task packs
 the links of about `PART` at a time as places in the part's list of distinct id pairs, so that counts meet once for
@@ -21,8 +21,11 @@ but doc_id and text are not read.
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -33,8 +36,10 @@ from pyspark.sql import functions as F
 
 from .common import stage
 
+#: How byte-level tokenizers split words (a fixed public pattern).
+WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CUT = re.compile(r"(?<=\S) (?=\S)")
-KEPT, SHORT, PART, TEXTS, LEARNT = 300_000, 64, 1_000_000, 250, 10_000
+KEPT, SHORT, PART, TEXTS, LEARNT = 200_000, 64, 1_000_000, 250, 5_000
 #: An id pair as one number: A's id times SIDES plus B's.
 SIDES = 1 << 24
 ALIGNED = "doc_id long, a_ids array<int>, b_ids array<int>, a_ends array<int>, b_ends array<int>"
@@ -119,6 +124,21 @@ def byte_entries(tokenizer) -> list[bytes]:
     return out
 
 
+def by_ranks(file: str, entries: list[bytes]):
+    """The byte-level tokenizer as ranks of merges, several times faster; None where its ids are no such ranks (bytes
+    first, then one entry for each merge in order) or it has another way to split words."""
+    import tiktoken
+
+    with open(file, encoding="utf-8") as f:
+        made = json.load(f)
+    model, split = made["model"], made.get("pre_tokenizer") or {}
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+    plain = made.get("normalizer") is None and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    if not plain or any(model["vocab"].get(a + b) != 256 + k for k, (a, b) in enumerate(pairs)) or {*map(len, entries[:256])} != {1}:
+        return None
+    return tiktoken.Encoding("own", pat_str=WORDS, mergeable_ranks={entries[k]: k for k in range(256 + len(pairs))}, special_tokens={})
+
+
 def piece_entries(model) -> list[bytes]:
     """The bytes of a SentencePiece model's pieces: U+2581 is a space, a byte piece its byte."""
     names = map(model.id_to_piece, range(model.get_piece_size()))
@@ -155,6 +175,8 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_file)
         self.a_bytes, self.b_bytes = byte_entries(self.a), piece_entries(self.b)
+        self.a_sizes = np.array([*map(len, self.a_bytes)], np.int64)
+        self.ranks = by_ranks(a_file, self.a_bytes)
         # a piece with a space behind another character would cross from one walk into the next
         self.whole = any(b" " in p.lstrip(b" ") for p in self.b_bytes)
         self.walks = Transducer(self.a_bytes, self.b_bytes)
@@ -165,13 +187,30 @@ class Aligner:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.names: list[str | None] = []
         self.text: list[str] = []
+        self.uses = np.zeros(0, np.int64)
         #: for each walk: A tokens, B tokens, groups (-1 if the sides don't match), and where these begin in the columns
         self.walked = Column(np.int64, 6)
         self.a_ids, self.b_ids = Column(np.int32), Column(np.int32)
         #: for each group: its end among the walk's A and B tokens, and its link
         self.a_ends, self.b_ends, self.links = Column(np.int32), Column(np.int32), Column(np.int64)
 
+    def forget_rare(self) -> None:
+        """Keep the half of what may be kept that was used most, if more than once."""
+        named = np.array([n is not None for n in self.names])
+        keep = np.flatnonzero(named & (self.uses >= 2))
+        keep = np.sort(keep[np.argsort(-self.uses[keep], kind="stable")[: self.kept // 2]])
+        w, old = self.walked.held[keep], (self.a_ids, self.b_ids, self.a_ends, self.b_ends, self.links)
+        names, text = [self.names[k] for k in keep], [self.text[k] for k in keep]
+        self.forget()
+        n = np.maximum(w[:, 2], 0)
+        at = runs(w[:, 3], n), runs(w[:, 4], w[:, 0]), runs(w[:, 5], w[:, 1])
+        for new, held, place in zip((self.a_ids, self.b_ids, self.a_ends, self.b_ends, self.links), old, (at[1], at[2], at[0], at[0], at[0]), strict=True):
+            new.add(held.held[place])
+        self.walked.add(np.column_stack((w[:, :3], *[np.cumsum(x) - x for x in (n, w[:, 0], w[:, 1])])))
+        self.names, self.text, self.known, self.uses = names, text, {n: k for k, n in enumerate(names)}, np.zeros(len(names), np.int64)
+
     @property
     def sizes(self) -> np.ndarray:
         return self.walked.held
@@ -186,8 +225,19 @@ class Aligner:
         """Tokens and groups of parts of texts, each with the space before it."""
         for k in range(0, len(new), LEARNT):
             some = new[k : k + LEARNT]
-            a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in some], add_special_tokens=False)]
-            self._learn(some, a, self.b.encode(some, num_threads=1))
+            self._learn(some, self.encode_a(some), self.b.encode(some, num_threads=1))
+
+    def encode_a(self, new: list[str]) -> list[list[int]]:
+        """The A tokens of each, with the space before it: short ones as one text, by the same vocabulary's ranks."""
+        if self.ranks is not None and max(map(len, new)) <= SHORT:
+            ids = self.ranks.encode_ordinary(" " + " ".join(new))
+            at = np.cumsum(self.a_sizes[np.array(ids)])
+            ends = np.cumsum(np.fromiter(map(len, map(str.encode, new)), np.int64, len(new)) + 1)
+            cut = np.searchsorted(at, ends) + 1
+            if at[-1] == ends[-1] and np.array_equal(at[cut - 1], ends):
+                cut = cut.tolist()
+                return [ids[i:j] for i, j in zip([0, *cut], cut, strict=False)]
+        return [e.ids for e in self.a.encode_batch_fast([" " + p for p in new], add_special_tokens=False)]
 
     def _learn(self, new: list[str], a: list[list[int]], b: list[list[int]]) -> None:
         """One walk over all of them; where that fails, over halves, down to the ones that don't match."""
@@ -229,8 +279,8 @@ class Aligner:
 
     def walk(self, texts: list[str | None]) -> list[list[int]]:
         """The places of each text's parts among what is remembered."""
-        if len(self.known) > self.kept or len(self.text) > 2 * self.kept:
-            self.forget()
+        if len(self.text) > self.kept:
+            self.forget_rare()
         known, out, new = self.known, [], []
         at = len(self.text)
         for t in texts:
@@ -247,9 +297,20 @@ class Aligner:
             out.append(places)
         if new:
             self.learn(new)
+            self.names += [p if len(p) <= SHORT else None for p in new]
+        used = np.bincount(np.fromiter(chain.from_iterable(out), np.int64), minlength=len(self.text))
+        used[: len(self.uses)] += self.uses
+        self.uses = used
         return out
 
 
+@lru_cache(1)
+def aligner(a_file: str, b_file: str) -> Aligner:
+    """A worker's own, which outlives its tasks: models are read once, and what is known stays known."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    return Aligner(a_file, b_file)
+
+
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str | None]]]:
     """doc_ids and texts, some at a time, so that what is remembered stays near its bound."""
     for k in range(0, batch.num_rows, TEXTS):
@@ -261,19 +322,19 @@ def align(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
     """Every document's token ids under both models, and how many tokens of each have ended with each group."""
 
     def run(rows):
-        aligner = Aligner(a_file, b_file)
+        own = aligner(a_file, b_file)
         schema = pa.schema([("doc_id", pa.int64()), *[(n, pa.list_(pa.int32())) for n in ("a_ids", "b_ids", "a_ends", "b_ends")]])
         for batch in rows:
             for ids, texts in _texts(batch):
                 out = []
-                for d, places in zip(ids, aligner.walk(texts), strict=True):
+                for d, places in zip(ids, own.walk(texts), strict=True):
                     row = {"doc_id": d, "a_ids": [], "b_ids": [], "a_ends": [], "b_ends": []}
-                    w = aligner.sizes[np.array(places, np.int64)]
+                    w = own.sizes[np.array(places, np.int64)]
                     if len(w) and (w[:, 2] >= 0).all():
                         groups = runs(w[:, 3], w[:, 2])
-                        for k, (side, held) in enumerate((("a", aligner.a_ids), ("b", aligner.b_ids))):
+                        for k, (side, held) in enumerate((("a", own.a_ids), ("b", own.b_ids))):
                             row[f"{side}_ids"] = held.held[runs(w[:, 4 + k], w[:, k])]
-                            ends = (aligner.a_ends, aligner.b_ends)[k].held[groups]
+                            ends = (own.a_ends, own.b_ends)[k].held[groups]
                             row[f"{side}_ends"] = ends + np.repeat(np.cumsum(w[:, k]) - w[:, k], w[:, 2])
                     out.append(row)
                 yield pa.RecordBatch.from_pylist(out, schema)
@@ -324,18 +385,18 @@ def digest(docs: DataFrame, a_file: str, b_file: str, part_links: int = PART) ->
     packed_schema = pa.schema([("part", pa.int64()), *[(n, pa.binary()) for n in ("docs", "sizes", "digests", "places")], ("pairs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
 
     def pack(rows):
-        aligner, part = Aligner(a_file, b_file), _Part()
+        own, part = aligner(a_file, b_file), _Part()
         number = TaskContext.get().partitionId() << 32
         for batch in rows:
             for ids, texts in _texts(batch):
-                for d, places in zip(ids, aligner.walk(texts), strict=True):
+                for d, places in zip(ids, own.walk(texts), strict=True):
                     at = np.array(places, np.int64)
-                    sizes = aligner.sizes[at]
+                    sizes = own.sizes[at]
                     if not len(at) or (sizes[:, 2] < 0).any():
                         part.add(d, (0, 0, 0), b"", np.zeros(0, np.int64))
                     else:
-                        links = aligner.links.held[runs(sizes[:, 3], sizes[:, 2])]
-                        text = ";".join([aligner.text[k] for k in places])
+                        links = own.links.held[runs(sizes[:, 3], sizes[:, 2])]
+                        text = ";".join([own.text[k] for k in places])
                         part.add(d, tuple(sizes[:, :3].sum(0)), hashlib.sha256(text.encode()).digest(), links)
                     if part.n >= part_links or len(part.docs) >= part_links:
                         yield pa.RecordBatch.from_pylist([part.packed(number)], packed_schema)
