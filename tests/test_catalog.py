@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from tessella.plans import catalog, scenes  # noqa: F401
+from tessella.plans import catalog, remesh, scenes  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
