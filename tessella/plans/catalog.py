@@ -316,12 +316,13 @@ def propagate_maximum(t):
 
 
 @query(f"""WITH {TWO_WAYS}, v0 AS (SELECT a n, CAST(a % 100 AS DOUBLE) x FROM (SELECT DISTINCT a FROM e)),
-  v1 AS (SELECT n, x + 0.5 * (m - x) x FROM v0 JOIN (SELECT e.a, avg(x) m FROM e JOIN v0 ON v0.n = e.b GROUP BY e.a) ON a = n),
-  v2 AS (SELECT n, x + 0.5 * (m - x) x FROM v1 JOIN (SELECT e.a, avg(x) m FROM e JOIN v1 ON v1.n = e.b GROUP BY e.a) ON a = n) SELECT n AS node, round(x, 4) x FROM v2""")
+  v1 AS (SELECT n, x + 0.4142135623 * (m - x) x FROM v0 JOIN (SELECT e.a, avg(x) m FROM e JOIN v0 ON v0.n = e.b GROUP BY e.a) ON a = n),
+  v2 AS (SELECT n, x + 0.4142135623 * (m - x) x FROM v1 JOIN (SELECT e.a, avg(x) m FROM e JOIN v1 ON v1.n = e.b GROUP BY e.a) ON a = n) SELECT n AS node, round(x, 4) x FROM v2""")
 def graph_smoothing(t):
+    """The strength is no short fraction: with 0.5 some results lie half way between two roundings."""
     g = _graph(t)
     v = G.both_ways(g).select(F.col("a").alias("node")).distinct().withColumn("x", (F.col("node") % 100).cast("double"))
-    return G.smooth(v, g, 2, 0.5).withColumn("x", r("x"))
+    return G.smooth(v, g, 2, 0.4142135623).withColumn("x", r("x"))
 
 
 @query(f"""WITH {TWO_WAYS}, s AS (SELECT DISTINCT a o FROM e), x AS (SELECT o, o n, 0 k FROM s UNION ALL SELECT o, e.b, 1 FROM s JOIN e ON e.a = o
