@@ -16,6 +16,7 @@ from tessella.operators import mesh as M
 from tessella.operators import planes as P
 from tessella.operators import render as R
 from tessella.operators import tracking as T
+from tessella.operators import votes as W
 
 from .catalog import query, r
 
@@ -435,3 +436,11 @@ def vertex_fans(t):
 def split_fan_vertices(t):
     faces, _ = M.split_fans(_tris(t), "f", NAMES, 1_000_000)
     return faces
+
+
+@query()
+def vote_propagation(t):
+    """The log of masks of line items, frame by line number; tests hold it against a scan, and the stream against it."""
+    local, n = F.col("l_partkey") % 6, F.col("l_quantity").cast("long")
+    views = t("lineitem").select((F.col("l_orderkey") % 2).alias("scene"), F.col("l_linenumber").cast("long").alias("frame"), local.alias("local"), F.col("l_orderkey").alias("point"), (local * 10000 + F.col("l_suppkey") % 97).alias("pixel"), (n % 3 > 0).alias("overlap"), (n % 5 > 0).alias("inner"), (n % 7 > 0).alias("fresh"))
+    return W.propagate(views, 0.55, 20)[0]
