@@ -2,16 +2,22 @@
 
 A page's markup gives text lines (blocks), each known to lie in the main container (article, main) or not; menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments go by their element, role or class
-name. Pages are sorted by host, path and id, and each is paired with the page before it of the same host or, if there
-is none or it is a copy, with the page after it. Their lines, inside and outside the container, are aligned by longest
-common subsequence, and shared ones are deleted as what the site puts on every page. Copies of one article are told by
-exact tests: all lines of one page are shared, or the main containers hold equal lines, or an equal h1. A page with no
-neighbour that differs keeps the lines of its main container or, without one, all.
+name. Pages are sorted by host, path and id: the nearest page by path is beside a page in this order, before or after
+it. Its lines are aligned with both of these by longest common subsequence. Pages beside it that hold the same article
+(`alike`) tell nothing.
+
+A page with a container keeps the container's lines but for labels (lines that end no sentence) that the pages on both
+sides have too, as the site puts them on every page; if these are over `SMALL` of the container, the three are versions
+of one article and all lines stay. So a sentence that one other page has, an updated or a continued article lose nothing, and what lies
+outside the container never comes in. A page without a container loses the lines that both sides have, or the only
+side; a single page that has over half of its long lines (`LONG` words) is a version of it, and it keeps all.
 
 Pages are spread by ranges of (host, path, id), so a host with a third of all pages takes as many tasks as it needs.
 The first and last pages of a range go to the ranges beside it too, so the ranges don't show in the texts. Defined
 results: null and empty html give an empty text and are nobody's neighbour; repeated pages are copies; unclosed
-elements end with what surrounds them, or with the page.
+elements end with what surrounds them, or with the page; a null url has an empty host and path; a null or repeated
+page_id gets its own row each time; an empty table gives no rows; other columns are not read; a page is read whole,
+however long, by one task, which then holds it and its two neighbours.
 """
 
 from __future__ import annotations
@@ -41,6 +47,10 @@ ATTRIBUTE = re.compile(r"([A-Za-z-]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?
 NAME = re.compile(r"[a-z]+")
 #: Marks of a line: outside the main container, in it, its h1.
 OUTSIDE, INSIDE, HEADING = 0, 1, 2
+#: Share of a container that may go, and words of a line that is no menu entry.
+SMALL, LONG = 0.3, 12
+#: What a sentence ends with.
+ENDS = set(".!?…:;,。！？»”\"')")
 #: Ranges of pages to each shuffle partition, and sampled pages to each range.
 RANGES, SAMPLED = 4, 20
 
@@ -131,26 +141,30 @@ def shared(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def rest(own: list[tuple[str, int]], other: list[tuple[str, int]]) -> list[str] | None:
-    """The page's lines that the other doesn't have; None if the two are copies of one article."""
+def alike(own: list[tuple[str, int]], other: list[tuple[str, int]]) -> bool:
+    """Whether two pages hold one article: equal lines in their containers, an equal h1 in them, or all lines of one."""
     for marks in ((INSIDE, HEADING), (HEADING,)):
         a, b = ([t for t, m in x if m in marks] for x in (own, other))
         if a and a == b:
-            return None
-    gone = shared([t for t, _ in own], [t for t, _ in other])
-    if len(gone) == min(len(own), len(other)):
-        return None
-    return [t for k, (t, _) in enumerate(own) if k not in gone]
+            return True
+    return len(shared([t for t, _ in own], [t for t, _ in other])) == min(len(own), len(other))
 
 
 def main_text(own: list[tuple[str, int]], *others: list[tuple[str, int]] | None) -> str:
-    """The page's lines without those that the first of the others has too that isn't a copy."""
-    for other in others:
-        if other:
-            left = rest(own, other)
-            if left is not None:
-                return " ".join(left)
-    return " ".join([t for t, m in own if m] or [t for t, _ in own])
+    """The page's main text, from its own lines and those of the pages beside it (None where there is none)."""
+    texts = [t for t, _ in own]
+    near = [shared(texts, [t for t, _ in x]) for x in others if x and not alike(own, x)]
+    everywhere = set.intersection(*near) if len(near) > 1 else set()
+    size = lambda places: sum(len(texts[k]) for k in places)
+    if inside := [k for k, (_, mark) in enumerate(own) if mark]:
+        gone = {k for k in everywhere.intersection(inside) if texts[k][-1] not in ENDS}
+        if size(gone) > SMALL * size(inside):
+            gone = set()
+        return " ".join([texts[k] for k in inside if k not in gone])
+    if len(near) == 1:
+        long = {k for k, t in enumerate(texts) if t.count(" ") >= LONG - 1}
+        everywhere = set() if 2 * len(near[0] & long) > len(long) else near[0]
+    return " ".join([t for k, t in enumerate(texts) if k not in everywhere])
 
 
 def _key(host: str, path: str, page_id: int | None) -> tuple[str, str, int]:

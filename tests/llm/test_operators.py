@@ -260,9 +260,60 @@ def html_texts(spark, rows, *n):
 
 
 def test_html_differs_inside_the_container(spark):
-    page = lambda h, *x: f"<p>top</p><article><h1>{h}</h1><p>By our staff</p>{''.join(f'<p>{y}</p>' for y in x)}</article><p>only {h}</p>"
-    got = html_texts(spark, [(1, "http://a.com/1", page("One", "first story")), (2, "http://a.com/2", page("Two", "second story")), (3, "http://a.com/3", page("Two", "second story", "corrected")), (4, "http://b.com/1", page("Four", "alone"))])
-    assert got == {1: "One first story only One", 2: "Two second story only Two", 3: "Two By our staff second story corrected", 4: "Four By our staff alone"}
+    """What both sides have goes, if it is little; what one side has stays, and nothing comes in from outside."""
+    page = lambda h, *x: f"<p>top</p><article><h1>{h}</h1><p>Share this</p>{''.join(f'<p>{y}</p>' for y in x)}</article><p>only {h}</p><div class='more-stories'><p>teaser of {h}</p></div>"
+    story = {k: [f"{w} sentence of story {k} {'and so on ' * 4}" for w in ("first", "second")] for k in range(5)}
+    story[2].append("a sentence that its neighbour has")
+    story[3].append("a sentence that its neighbour has")
+    rows = [(k, f"http://a.com/{k}", page(f"Title {k}", *story[k])) for k in range(5)] + [(9, "http://b.com/1", page("Alone", "some text"))]
+    got = html_texts(spark, rows)
+    text = lambda k, *more: " ".join(" ".join([f"Title {k}", *more, *story[k]]).split())
+    assert got == {0: text(0, "Share this"), 1: text(1), 2: text(2), 3: text(3), 4: text(4, "Share this"), 9: "Alone Share this some text"}
+
+
+def test_html_keeps_versions_of_an_article_whole(spark):
+    """Updated, syndicated and continued articles beside each other lose nothing."""
+    parts = [f"paragraph {k} {'word ' * 15}".strip() for k in range(10)]
+    page = lambda h, *x: f"<div>Site</div><article><h1>{h}</h1>{''.join(f'<p>{y}</p>' for y in x)}</article>"
+    rows = [(1, "http://a.com/1", page("Early", *parts)), (2, "http://a.com/2", page("Late", *parts[:9], "changed")), (3, "http://a.com/3", page("Latest", *parts[:8], "changed", "again"))]
+    rows += [(4, "http://b.com/1", page("Early", *parts)), (5, "http://b.com/2", page("Late", *parts[1:]))]
+    got = html_texts(spark, rows)
+    assert got == {1: " ".join(["Early", *parts]), 2: " ".join(["Late", *parts[:9], "changed"]), 3: " ".join(["Latest", *parts[:8], "changed", "again"]), 4: " ".join(["Early", *parts]), 5: " ".join(["Late", *parts[1:]])}
+    bare = lambda *x: "<div>Site</div>" + "".join(f"<p>{y}</p>" for y in x)
+    got = html_texts(spark, [(1, "http://a.com/1", bare(*parts)), (2, "http://a.com/2", bare(*parts[:9], "changed")), (3, "http://b.com/1", bare(*parts)), (4, "http://b.com/2", bare(*parts[:9], "changed")), (5, "http://b.com/3", bare("another story"))])
+    assert got == {1: " ".join(["Site", *parts]), 2: " ".join(["Site", *parts[:9], "changed"]), 3: " ".join(["Site", *parts]), 4: " ".join([*parts[:9], "changed"]), 5: "another story"}
+
+
+def test_html_equals_brute_force(spark):
+    """The whole operator against sorted pages, a table of common subsequences and the same rules, on pages of few
+    different lines, with null and repeated ids and urls, other columns and no html."""
+    rnd = random.Random(5)
+    rows = []
+    for k in range(150):
+        own = [f"{rnd.choice('abcdefgh')} {'w ' * rnd.choice([0, 0, 14])}".strip() for _ in range(rnd.randint(0, 7))]
+        cut = rnd.choice([0, len(own)])
+        body = "".join(f"<p>{t}</p>" for t in own[:cut]) + f"<article>{''.join(f'<p>{t}</p>' for t in own[cut:])}</article>" * (cut < len(own))
+        rows.append((rnd.choice([k, k, k // 2, None]), rnd.choice([f"http://h{k % 5}.com/{rnd.randint(0, 30)}", f"http://h{k % 5}.com/{rnd.randint(0, 30)}", None]), rnd.choice([body, body, body, None])))
+    got = html.extract(spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, host string, at int"), 7).collect()
+
+    def places(a, b):
+        m = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                m[i + 1][j + 1] = m[i][j] + 1 if a[i] == b[j] else max(m[i][j + 1], m[i + 1][j])
+        return m[-1][-1]
+
+    key = lambda r: ((r[1] or "").split("/")[2] if r[1] else "", "/" + r[1].split("/")[3] if r[1] else "", -(1 << 63) if r[0] is None else r[0], r[1] is not None, r[1] or "", [t for t, _ in html.lines(r[2] or "")], [m for _, m in html.lines(r[2] or "")])
+    order, want = sorted(rows, key=key), []
+    for k, r in enumerate(order):
+        own = html.lines(r[2] or "")
+        beside = [html.lines(order[j][2] or "") for j in (k - 1, k + 1) if 0 <= j < len(order) and key(order[j])[0] == key(r)[0]]
+        beside = [x for x in beside if x]
+        for x in beside:
+            assert len(html.shared([t for t, _ in own], [t for t, _ in x])) == places([t for t, _ in own], [t for t, _ in x])
+        want.append((r[0], r[1], html.main_text(own, *beside)))
+    assert sorted(((r.page_id, r.url, r.text) for r in got), key=repr) == sorted(want, key=repr)
+    assert all(r.n_chars == len(r.text) for r in got)
 
 
 def test_html_short_story_under_long_menus(spark):
