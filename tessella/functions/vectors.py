@@ -44,26 +44,25 @@ def divide(a: Column, b: Column) -> Column:
 
 
 def closest_on_triangle(p: Vector, a: Vector, b: Vector, c: Vector) -> tuple[Column, Column, Column]:
-    """Barycentric weights of the point of a triangle that is closest to p, by the regions of its corners, edges and
-    face, of which the first that fits holds."""
-    ab, ac, ap, bp, cp = sub(b, a), sub(c, a), sub(p, a), sub(p, b), sub(p, c)
-    d1, d2, d3, d4, d5, d6 = dot(ab, ap), dot(ac, ap), dot(ab, bp), dot(ac, bp), dot(ab, cp), dot(ac, cp)
-    vc, vb, va = d1 * d4 - d3 * d2, d5 * d2 - d1 * d6, d3 * d6 - d5 * d4
-    one, none = F.lit(1.0), F.lit(0.0)
-    on_ab, on_ac, on_bc = divide(d1, d1 - d3), divide(d2, d2 - d6), divide(d4 - d3, (d4 - d3) + (d5 - d6))
-    total = va + vb + vc
-    cases = [
-        ((d1 <= 0) & (d2 <= 0), (one, none, none)),
-        ((d3 >= 0) & (d4 <= d3), (none, one, none)),
-        ((vc <= 0) & (d1 >= 0) & (d3 <= 0), (1 - on_ab, on_ab, none)),
-        ((d6 >= 0) & (d5 <= d6), (none, none, one)),
-        ((vb <= 0) & (d2 >= 0) & (d6 <= 0), (1 - on_ac, none, on_ac)),
-        ((va <= 0) & (d4 - d3 >= 0) & (d5 - d6 >= 0), (none, 1 - on_bc, on_bc)),
-    ]
-    out = [divide(va, total), divide(vb, total), divide(vc, total)]
-    for when, weights in reversed(cases):
-        out = [F.when(when, w).otherwise(o) for w, o in zip(weights, out, strict=True)]
-    return tuple(out)
+    """Barycentric weights of the point of a triangle that is closest to p: its foot on the plane if that lies inside,
+    else the nearest of the feet on the three sides, each kept between its ends. Sides without length have their first
+    end, triangles without area are their sides."""
+    side_b, side_c, to_p = sub(b, a), sub(c, a), sub(p, a)
+    up = cross(side_b, side_c)
+    size = dot(up, up)
+    in_b, in_c = divide(dot(cross(to_p, side_c), up), size), divide(dot(cross(side_b, to_p), up), size)
+    on_plane = F.struct((1 - in_b - in_c).alias("wa"), in_b.alias("wb"), in_c.alias("wc"))
+    on_side = []
+    for k, (u, v) in enumerate(((a, b), (b, c), (c, a))):
+        along = sub(v, u)
+        t = F.greatest(F.least(divide(dot(sub(p, u), along), dot(along, along)), F.lit(1.0)), F.lit(0.0))
+        away = sub(p, add(u, scale(along, t)))
+        w = [F.lit(0.0)] * 3
+        w[k], w[(k + 1) % 3] = 1 - t, t
+        on_side.append(F.struct(dot(away, away).alias("d2"), F.lit(k).alias("k"), F.struct(*[x.alias(n) for x, n in zip(w, ("wa", "wb", "wc"), strict=True)]).alias("w")))
+    inside = (size > 0) & (in_b >= 0) & (in_c >= 0) & (in_b + in_c <= 1)
+    found = F.when(inside, on_plane).otherwise(F.least(*on_side)["w"])
+    return found["wa"], found["wb"], found["wc"]
 
 
 def distance_to_triangle(p: Vector, a: Vector, b: Vector, c: Vector) -> Column:

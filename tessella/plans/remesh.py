@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import joins as J
 from tessella.operators import mesh as M
+from tessella.operators import nearest as N
 from tessella.operators import patches as H
 from tessella.operators import remesh as X
 
@@ -125,3 +126,47 @@ def planar_patches(t):
     shapes = g.select("face", *H.SHAPE, "area", F.lit(1.0).alias("planar"), (0.25 * F.col("mean_edge")).alias("eps"))
     links = J.edges(f, X.CORNERS, "face").filter("n_faces = 2 and (a + b) % 13 <> 0").select(F.col("face_a").alias("a"), F.col("face_b").alias("b"))
     return H.planar_patches(shapes, links, math.degrees(0.7), 2.0, 1.0, 4, 0.5)[1]
+
+
+def _land(t):
+    return M.with_corners(_tiles(t), _ground(t), "face", X.CORNERS, "vertex", X.AXES)
+
+
+def _dots(u: str, w: str) -> str:
+    return "(" + " + ".join(f"({a}) * ({b})" for a, b in zip(u.split("|"), w.split("|"), strict=True)) + ")"
+
+
+def _minus(u: str, w: str) -> str:
+    return "|".join(f"{u}{k} - {w}{k}" for k in "xyz")
+
+
+def _side(u: str, w: str) -> str:
+    """Squared distance of o to the side from u to w."""
+    t = f"greatest(0, least(1, {_dots(_minus('o.', u), _minus(w, u))} / {_dots(_minus(w, u), _minus(w, u))}))"
+    away = "|".join(f"o.{k} - {u}{k} - {t} * ({w}{k} - {u}{k})" for k in "xyz")
+    return _dots(away, away)
+
+
+def _points(t):
+    k = F.col("p_partkey")
+    return t("part").select("p_partkey", (k * 7 % 400 / 10.0 - 5).alias("x"), (k * 13 % 370 / 10.0 - 4).alias("y"), (k * 11 % 90 / 20.0 - 1).alias("z"))
+
+
+_UP = "|".join(_N)
+
+
+@query(f"""WITH {LAND}, o AS (SELECT p_partkey, p_partkey * 7 % 400 / 10 - 5 x, p_partkey * 13 % 370 / 10 - 4 y, p_partkey * 11 % 90 / 20 - 1 z FROM part),
+  k AS (SELECT p_partkey, {_dots(_UP, _UP)} m2, {_dots(_minus('o.', 'p.'), _UP)} h, {_dots('|'.join(_cross('p.', 'o.', 's.')), _UP)} i, {_dots('|'.join(_cross('p.', 'q.', 'o.')), _UP)} j,
+    least({_side('p.', 'q.')}, {_side('q.', 's.')}, {_side('s.', 'p.')}) d2 FROM o, t JOIN v p ON p.v = t.p JOIN v q ON q.v = t.q JOIN v s ON s.v = t.s)
+  SELECT p_partkey, round(sqrt(min(CASE WHEN i >= 0 AND j >= 0 AND i + j <= m2 THEN h * h / m2 ELSE d2 END)), 4) distance FROM k GROUP BY p_partkey""")
+def nearest_triangle(t):
+    return N.nearest_triangles(_points(t), _land(t), "p_partkey").select("p_partkey", r("distance").alias("distance"))
+
+
+@query()
+def reparented(t):
+    """Parts as children with two scales and a main axis, bound to the terrain; tests hold it against a dense search."""
+    k = F.col("p_partkey")
+    axis = [(k * m % 19 - 9.5).alias(f"u{c}") for m, c in ((3, "x"), (5, "y"), (7, "z"))]
+    sizes = t("part").select("p_partkey", (F.col("p_size") / 100.0).alias("sx"), (k % 40 / 100.0).alias("sy"), *axis)
+    return N.reparented(_points(t).join(sizes, "p_partkey"), _land(t), 0.1, 2.0, "p_partkey")
