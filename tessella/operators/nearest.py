@@ -9,7 +9,7 @@ from tessella.functions import scalar as S
 from tessella.functions import vectors as V
 from tessella.staging import stage
 
-BITS, LEAF = 20, 32
+BITS, LEAF = 20, 8
 LO, HI = ["x0", "y0", "z0"], ["x1", "y1", "z1"]
 
 
@@ -50,6 +50,31 @@ class Tree:
         return self.cells if level == self.depth else self._boxes(self.cells, _up(F.col("cell"), self.depth - level))
 
 
+def with_closest(df: DataFrame) -> DataFrame:
+    """df (structs p, a, b, c) with the distance of p to the triangle a, b, c, and w, the barycentric weights (wa, wb,
+    wc) of its closest place, as vectors.closest_on_triangle has them; column by column, so that no expression holds
+    another many times."""
+    p, corner = V.of("p"), [V.of(n) for n in "abc"]
+    vector = lambda v: F.struct(*[c.alias(k) for c, k in zip(v, "xyz", strict=True)])
+    x = df.withColumns({f"_s{k}": vector(V.sub(corner[(k + 1) % 3], corner[k])) for k in range(3)} | {f"_p{k}": vector(V.sub(p, corner[k])) for k in range(3)})
+    side, to = [V.of(f"_s{k}") for k in range(3)], [V.of(f"_p{k}") for k in range(3)]
+    back = V.scale(side[2], F.lit(-1.0))  # from a to c
+    x = x.withColumns({"_up": vector(V.cross(side[0], back)), "_ib": vector(V.cross(to[0], back)), "_ic": vector(V.cross(side[0], to[0]))} | {f"_t{k}": F.greatest(F.least(V.divide(V.dot(to[k], side[k]), V.dot(side[k], side[k])), F.lit(1.0)), F.lit(0.0)) for k in range(3)})
+    up = V.of("_up")
+    x = x.withColumns({"_size": V.dot(up, up), "_h": V.dot(to[0], up)} | {f"_v{k}": vector(V.sub(to[k], V.scale(side[k], F.col(f"_t{k}")))) for k in range(3)})
+    x = x.withColumns({"_wb": V.divide(V.dot(V.of("_ib"), up), F.col("_size")), "_wc": V.divide(V.dot(V.of("_ic"), up), F.col("_size"))} | {f"_d{k}": V.dot(V.of(f"_v{k}"), V.of(f"_v{k}")) for k in range(3)})
+    x = x.withColumn("_in", (F.col("_size") > 0) & (F.col("_wb") >= 0) & (F.col("_wc") >= 0) & (F.col("_wb") + F.col("_wc") <= 1)).withColumn("_least", F.least("_d0", "_d1", "_d2"))
+    x = x.withColumn("_k", F.when(F.col("_in"), -1).when(F.col("_d0") == F.col("_least"), 0).when(F.col("_d1") == F.col("_least"), 1).otherwise(2))
+    k, t = F.col("_k"), [F.col(f"_t{k}") for k in range(3)]
+    weights = [
+        F.when(k == -1, 1 - F.col("_wb") - F.col("_wc")).when(k == 0, 1 - t[0]).when(k == 2, t[2]).otherwise(0.0),
+        F.when(k == -1, F.col("_wb")).when(k == 0, t[0]).when(k == 1, 1 - t[1]).otherwise(0.0),
+        F.when(k == -1, F.col("_wc")).when(k == 1, t[1]).when(k == 2, 1 - t[2]).otherwise(0.0),
+    ]
+    distance = F.when(k == -1, F.abs("_h") / F.sqrt("_size")).otherwise(F.sqrt("_least"))
+    return x.select(*df.columns, distance.alias("distance"), F.struct(*[w.alias(f"w{n}") for w, n in zip(weights, "abc", strict=True)]).alias("w"))
+
+
 def nearest_triangles(points: DataFrame, corners: DataFrame, point: str = "point", leaf: int = LEAF) -> DataFrame:
     """(point, face, distance, wa, wb, wc): the triangle of corners (face, a, b, c) that is nearest to each of points
     (point, x, y, z), of equals the lowest, and the barycentric weights of its closest place. Points without a
@@ -61,6 +86,8 @@ def nearest_triangles(points: DataFrame, corners: DataFrame, point: str = "point
     first two steps join at most 64 and 4,096 cells, which are broadcast."""
     tree = Tree(corners, leaf)
     p = [F.col(c) for c in "xyz"]
+    near = [F.greatest(F.col(lo) - c, c - F.col(hi), F.lit(0.0)) for c, lo, hi in zip(p, LO, HI, strict=True)]
+    far = [F.greatest(F.abs(c - F.col(lo)), F.abs(c - F.col(hi))) for c, lo, hi in zip(p, LO, HI, strict=True)]
     left = points.select(F.col(point).alias("point"), *[c.cast("double") for c in p]).filter("x is not null and y is not null and z is not null").withColumn("cell", F.lit(0).cast("long"))
     level = 0
     while level < tree.depth:
@@ -69,16 +96,13 @@ def nearest_triangles(points: DataFrame, corners: DataFrame, point: str = "point
         below = tree.boxes(level).withColumn("up", _up(F.col("cell"), step))
         below = F.broadcast(below) if level <= 4 else below  # no more than 8**4 rows
         x = left.withColumnRenamed("cell", "up").join(below, "up")
-        near = [F.greatest(F.col(lo) - c, c - F.col(hi), F.lit(0.0)) for c, lo, hi in zip(p, LO, HI, strict=True)]
-        far = [F.greatest(F.abs(c - F.col(lo)), F.abs(c - F.col(hi))) for c, lo, hi in zip(p, LO, HI, strict=True)]
         x = x.select("point", "x", "y", "z", "cell", V.dot(near, near).alias("near"), V.dot(far, far).alias("far"))
         x = x.withColumn("best", F.min("far").over(Window.partitionBy("point")))
-        left = x.filter(F.col("near") <= F.col("best") * (1 + 1e-9)).select("point", "x", "y", "z", "cell")
-    x = left.join(tree.triangles.select("cell", "face", "a", "b", "c"), "cell")
-    w = V.closest_on_triangle(p, V.of("a"), V.of("b"), V.of("c"))
-    x = x.withColumn("w", F.struct(*[c.alias(n) for c, n in zip(w, ("wa", "wb", "wc"), strict=True)]))
-    place = [sum((F.col(f"w.w{n}") * F.col(f"{n}.{k}") for n in "abc"), F.lit(0.0)) for k in "xyz"]
-    x = x.withColumn("distance", V.norm(V.sub(p, place)))
+        left = x.filter(F.col("near") <= F.col("best") * (1 + 1e-9)).select("point", "x", "y", "z", "cell", "best")
+    x = left.join(tree.triangles, "cell")
+    if tree.depth:
+        x = x.filter(V.dot(near, near) <= F.col("best") * (1 + 1e-9))
+    x = with_closest(x.select("point", *[F.struct("x", "y", "z").alias("p")], "face", "a", "b", "c"))
     best = x.groupBy("point").agg(F.min(F.struct("distance", "face", "w")).alias("m"))
     return best.select(F.col("point").alias(point), "m.face", "m.distance", "m.w.wa", "m.w.wb", "m.w.wc")
 
