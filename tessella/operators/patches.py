@@ -150,3 +150,32 @@ def _fitted(member: DataFrame, least: int) -> DataFrame:
     unit = [(F.col(f"v{a}") * F.col("sign")).alias(f"n{a}") for a in "xyz"]
     d = -(F.col("vx") * F.col("cx") + F.col("vy") * F.col("cy") + F.col("vz") * F.col("cz")) * F.col("sign")
     return x.select("seed", F.col("n").alias("n_faces"), *unit, d.alias("d"))
+
+
+def project_vertices(vertices: DataFrame, faces: DataFrame, corners: list[str], own: DataFrame, patches: DataFrame, reg: float) -> DataFrame:
+    """(vertex, x, y, z, moved): vertices (vertex, x, y, z) all of whose faces (face, corners) have a patch in own (face,
+    patch) move onto the planes (patch, nx, ny, nz, d) of these: to the foot on the only one, or to where the squared
+    distances to several, plus `reg` times that to the old place, are least. All others stay. A vertex's planes are
+    summed to one 3 x 3 system, solved in closed form."""
+    each = faces.join(own.select("face", "patch"), "face", "left").select("patch", F.explode(F.array(*corners)).alias("vertex"))
+    member = each.groupBy("vertex", "patch").agg(F.count(F.lit(1)).alias("_n"))
+    free = member.filter("patch is null").select("vertex")
+    n, d = [F.col(f"n{a}") for a in "xyz"], F.col("d")
+    terms = {f"_{i}{j}": F.sum(n[i] * n[j]) for i in range(3) for j in range(i, 3)} | {f"_b{i}": -F.sum(n[i] * d) for i in range(3)}
+    system = member.join(patches.select("patch", "nx", "ny", "nz", "d"), "patch").groupBy("vertex").agg(F.count(F.lit(1)).alias("_planes"), *[c.alias(k) for k, c in terms.items()])
+    x = vertices.select("vertex", "x", "y", "z").join(system.join(free, "vertex", "left_anti"), "vertex", "left")
+    # one plane: as the weight of the old place goes to nothing, the least error is at the foot
+    p = [F.col(c) for c in "xyz"]
+    m = [[F.col(f"_{min(i, j)}{max(i, j)}") for j in range(3)] for i in range(3)]
+    foot = [p[i] - (sum((m[i][j] * p[j] for j in range(3)), F.lit(0.0)) - F.col(f"_b{i}")) for i in range(3)]
+    reg = max(reg, 1e-12)
+    x = x.withColumns({f"_f{i}": foot[i] for i in range(3)} | {f"_{i}{i}": m[i][i] + reg for i in range(3)} | {f"_b{i}": F.col(f"_b{i}") + reg * p[i] for i in range(3)})
+    side = [F.col(f"_b{i}") for i in range(3)]
+    cross = lambda u, v: [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+    dot = lambda u, v: sum((a * b for a, b in zip(u, v, strict=True)), F.lit(0.0))
+    det = dot(m[0], cross(m[1], m[2]))
+    solved = [dot(side, cross(m[(k + 1) % 3], m[(k + 2) % 3])) / det for k in range(3)]  # symmetric: rows are columns
+    at = [F.when(F.col("_planes") == 1, F.col(f"_f{k}")).when(F.col("_planes") > 1, solved[k]).otherwise(p[k]).alias(f"_to{k}") for k in range(3)]
+    x = x.select("vertex", "x", "y", "z", *at)
+    moved = F.sqrt(sum(((F.col(f"_to{k}") - p[k]) ** 2 for k in range(3)), F.lit(0.0)))
+    return x.select("vertex", *[F.col(f"_to{k}").alias(c) for k, c in enumerate("xyz")], moved.alias("moved"))

@@ -7,6 +7,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from tessella.operators import cameras as Q
 from tessella.operators import joins as J
 from tessella.operators import mesh as M
 from tessella.operators import nearest as N
@@ -170,3 +171,54 @@ def reparented(t):
     axis = [(k * m % 19 - 9.5).alias(f"u{c}") for m, c in ((3, "x"), (5, "y"), (7, "z"))]
     sizes = t("part").select("p_partkey", (F.col("p_size") / 100.0).alias("sx"), (k % 40 / 100.0).alias("sy"), *axis)
     return N.reparented(_points(t).join(sizes, "p_partkey"), _land(t), 0.1, 2.0, "p_partkey")
+
+
+def _solved(k: int) -> str:
+    a = [[f"a{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
+    det = lambda m: " + ".join(f"({m[0][i]}) * ({m[1][(i + 1) % 3]} * {m[2][(i + 2) % 3]} - {m[1][(i + 2) % 3]} * {m[2][(i + 1) % 3]})" for i in range(3))
+    swapped = [[f"b{i}" if j == k else a[i][j] for j in range(3)] for i in range(3)]
+    return f"({det(swapped)}) / ({det(a)})"
+
+
+PLANES = "SELECT patch, (patch + 1) / l nx, (patch * 3 % 7 - 3) / l ny, 4 / l nz, -(patch + 20) / l d FROM (SELECT patch, sqrt((patch + 1) ** 2 + (patch * 3 % 7 - 3) ** 2 + 16) l FROM range(0, 9) r(patch))"
+
+
+@query(f"""WITH {LAND}, o AS (SELECT f, CASE WHEN f % 17 > 0 THEN f // 60 % 9 END patch FROM t), n AS ({PLANES}),
+  m AS (SELECT DISTINCT vertex, patch FROM (SELECT f, unnest([p, q, s]) vertex FROM t) JOIN o USING (f)),
+  y AS (SELECT vertex, count(*) k, {", ".join(f"sum(n{x} * n{y}){' + 0.01' if x == y else ''} a{i}{j}" for i, x in enumerate("xyz") for j, y in enumerate("xyz") if i <= j)}, {", ".join(f"-sum(n{x} * d) + 0.01 * any_value(v.{x}) b{i}" for i, x in enumerate("xyz"))},
+    {", ".join(f"any_value(v.{x}) - (sum(nx * n{x}) * any_value(v.x) + sum(ny * n{x}) * any_value(v.y) + sum(nz * n{x}) * any_value(v.z) + sum(d * n{x})) f{i}" for i, x in enumerate("xyz"))}
+    FROM m JOIN n USING (patch) JOIN v ON v.v = vertex WHERE vertex NOT IN (SELECT vertex FROM m WHERE patch IS NULL) GROUP BY vertex),
+  w AS (SELECT v.v vertex, v.x x0, v.y y0, v.z z0, {", ".join(f"CASE WHEN k = 1 THEN f{i} WHEN k > 1 THEN {_solved(i)} ELSE v.{x} END {x}" for i, x in enumerate("xyz"))} FROM v LEFT JOIN y ON y.vertex = v.v)
+  SELECT vertex, round(x, 4) + 0.0 x, round(y, 4) + 0.0 y, round(z, 4) + 0.0 z, round(sqrt((x - x0) ** 2 + (y - y0) ** 2 + (z - z0) ** 2), 4) moved FROM w""")
+def project_vertices(t):
+    """The terrain's vertices onto nine planes; a face's plane goes by its row of the grid, every seventeenth has none."""
+    f = _tiles(t)
+    k = F.col("patch")
+    long = F.sqrt((k + 1) ** 2 + (k * 3 % 7 - 3) ** 2 + 16)
+    planes = t("lineitem").sparkSession.range(9).withColumnRenamed("id", "patch").select("patch", ((k + 1) / long).alias("nx"), ((k * 3 % 7 - 3) / long).alias("ny"), (4 / long).alias("nz"), (-(k + 20) / long).alias("d"))
+    own = f.filter("face % 17 > 0").select("face", (F.floor(F.col("face") / 60) % 9).alias("patch"))
+    got = H.project_vertices(_ground(t), f, X.CORNERS, own, planes, 0.01)
+    return got.select("vertex", *[(r(c) + 0.0).alias(c) for c in "xyz"], r("moved").alias("moved"))
+
+
+CAMERAS = "SELECT s_suppkey, cos(a) r00, -sin(a) * cos(b) r01, sin(a) * sin(b) r02, sin(a) r10, cos(a) * cos(b) r11, -cos(a) * sin(b) r12, 0.0 r20, sin(b) r21, cos(b) r22, s_acctbal / 1000 tx, s_suppkey % 37 / 4 - 3 ty, s_nationkey / 5 tz FROM (SELECT *, radians(s_suppkey * 29 % 360) a, radians(60 + s_suppkey * 7 % 50) b FROM supplier)"
+_K = [["0", "ux", "0"], ["-ux", "0", "-uz"], ["0", "uz", "0"]]
+_TURN = [[f"({int(i == j)} + {_K[i][j]} + ({' + '.join(f'({_K[i][m]}) * ({_K[m][j]})' for m in range(3))}) / (1 - uy))" for j in range(3)] for i in range(3)]
+
+
+def _row(i: int, v: list[str]) -> str:
+    return " + ".join(f"a{i}{m} * {v[m]}" for m in range(3))
+
+
+@query(f"""WITH k AS ({CAMERAS}), w AS (SELECT -avg(r01) ux, -avg(r11) uy, -avg(r21) uz FROM k), u AS (SELECT ux / l ux, uy / l uy, uz / l uz FROM (SELECT *, sqrt(ux * ux + uy * uy + uz * uz) l FROM w)),
+  a AS (SELECT {", ".join(f"{_TURN[i][j]} a{i}{j}" for i in range(3) for j in range(3))} FROM u),
+  x AS (SELECT {", ".join(f"{_row(i, ['tx', 'ty', 'tz'])} t{i}, {_row(i, ['r02', 'r12', 'r22'])} f{i}" for i in range(3))} FROM k, a), y AS (SELECT *, f0 * t0 + f1 * t1 + f2 * t2 s FROM x),
+  c AS (SELECT {", ".join(f"median(t{i} - s * f{i}) c{i}" for i in range(3))} FROM y), g AS (SELECT 1 / median(sqrt((t0 - c0) ** 2 + (t1 - c1) ** 2 + (t2 - c2) ** 2)) scale FROM y, c)
+  SELECT {", ".join(f"round(a{i}{j} * scale, 5) + 0.0 m{i}{j}" for i in range(3) for j in range(3))}, {", ".join(f"round(-c{i} * scale, 5) + 0.0 m{i}3" for i in range(3))}, round(scale, 5) scale FROM a, c, g""")
+def camera_similarity(t):
+    s = t("supplier")
+    a, b = F.radians(F.col("s_suppkey") * 29 % 360), F.radians(60 + F.col("s_suppkey") * 7 % 50)
+    turn = [F.cos(a), -F.sin(a) * F.cos(b), F.sin(a) * F.sin(b), F.sin(a), F.cos(a) * F.cos(b), -F.cos(a) * F.sin(b), F.lit(0.0), F.sin(b), F.cos(b)]
+    cameras = s.select(*[x.alias(n) for x, n in zip(turn, Q.ROTATION, strict=True)], (F.col("s_acctbal") / 1000).alias("tx"), (F.col("s_suppkey") % 37 / 4 - 3).alias("ty"), (F.col("s_nationkey") / 5).alias("tz"))
+    got = Q.similarity(cameras)
+    return got.select(*[(r(c, 5) + 0.0).alias(c) for c in got.columns])
