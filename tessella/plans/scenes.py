@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import camera as C
 from tessella.functions import vectors as V
+from tessella.operators import coreset as D
 from tessella.operators import edits as E
 from tessella.operators import graph as G
 from tessella.operators import joins as J
@@ -444,3 +445,10 @@ def vote_propagation(t):
     local, n = F.col("l_partkey") % 6, F.col("l_quantity").cast("long")
     views = t("lineitem").select((F.col("l_orderkey") % 2).alias("scene"), F.col("l_linenumber").cast("long").alias("frame"), local.alias("local"), F.col("l_orderkey").alias("point"), (local * 10000 + F.col("l_suppkey") % 97).alias("pixel"), (n % 3 > 0).alias("overlap"), (n % 5 > 0).alias("inner"), (n % 7 > 0).alias("fresh"))
     return W.propagate(views, 0.55, 20)[0]
+
+
+@query()
+def greedy_coreset(t):
+    """Ten customers of each nation, spread over the plane; tests hold it against a scan."""
+    c = t("customer").select(F.col("c_nationkey").cast("long").alias("nation"), F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 100).alias("x"), (F.col("c_custkey") * 37 % 1009 / 10).alias("y"))
+    return D.greedy_coreset(c, "nation", 10, 0.3)
