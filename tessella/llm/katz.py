@@ -80,6 +80,15 @@ def _before(w: np.ndarray, sizes: list[int]) -> np.ndarray:
     return b
 
 
+def _counted(key: np.ndarray, with_order: bool = False) -> tuple[np.ndarray, ...]:
+    """Distinct keys in order, the place of one of each, and how often they are there; and an order that sorts them."""
+    order = np.argsort(key)  # not the stable one, which takes longer
+    new = key[order]
+    first = np.flatnonzero(np.concatenate(([True], new[1:] != new[:-1])))[: len(key)]
+    out = new[first], order[first], np.diff(np.append(first, len(key)))
+    return (*out, order) if with_order else out
+
+
 def words(docs: DataFrame) -> DataFrame:
     """(w, c): the training tokens' counts; staged."""
 
@@ -159,7 +168,7 @@ def pairs(docs: DataFrame, buckets: int, hot) -> DataFrame:
         for held in _chunks(it, lambda d: not held_out(d)):
             w = np.concatenate([t for *_, t in held])
             v = _before(w, [len(t) for *_, t in held])
-            key, at, c = np.unique(_pairs(v, w), return_index=True, return_counts=True)
+            key, at, c = _counted(_pairs(v, w))
             v, w = v[at], w[at]
             order, cut = by_bucket(hot.value.home(v, key, buckets), buckets)
             v, w, c = v[order], w[order], c[order].astype(np.int32)
@@ -357,11 +366,15 @@ def score(docs: DataFrame) -> DataFrame:
                 for col, x in ((1, hk), (2, hb), (3, hs)):
                     sums[:, col] += np.bincount(own, x[at], len(held))
                 key, place, home = key[~hit], place[~hit], home[~hit]
-            order = np.argsort(key, kind="stable")
-            key, place, home = key[order], place[order], home[order]
-            first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (place[1:] != place[:-1]))))[: len(key)]
-            n = np.diff(np.append(first, len(key)))
-            key, place, home = key[first], place[first], home[first]
+            own, at, n, order = _counted(key, True)
+            # keys and places as one number, sorted: a key's number among the distinct ones, and the place below it
+            both = (np.repeat(np.arange(len(own), dtype=np.uint64), n) << np.uint64(16)) | place[order]
+            both.sort()
+            first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))[: len(both)]
+            n = np.diff(np.append(first, len(both)))
+            both = both[first]
+            code, place = (both >> np.uint64(16)).view(np.int64), both.astype(np.uint16)
+            key, home = own[code], home[at][code]
             order = np.argsort(place, kind="stable")  # entries go by bucket, then by row
             again, cut = by_bucket(home[order], buckets)
             order = order[again]
