@@ -138,7 +138,7 @@ def planar_patches(
 def _fitted(member: DataFrame, least: int) -> DataFrame:
     """(seed, n_faces, nx, ny, nz, d) of regions of at least `least` faces; where the points give no plane, the faces'
     own direction does."""
-    fit = planes.fit(member.select("seed", "w", F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z")), ["seed"], "w")
+    fit = stage(planes.fit(member.select("seed", "w", F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z")), ["seed"], "w"), "fits")
     size = F.greatest(F.col("area"), F.lit(1e-12))
     way = member.groupBy("seed").agg(*[F.sum(F.col(a) * size).alias(f"s{a[1]}") for a in ("nx", "ny", "nz")])
     long = F.greatest(F.sqrt(F.col("sx") ** 2 + F.col("sy") ** 2 + F.col("sz") ** 2), F.lit(1e-12))

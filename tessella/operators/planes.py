@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import vectors as V
+from tessella.staging import stage, unstage
 
 
 def fit(df: DataFrame, keys: list[str], weight: str, xyz: tuple[str, str, str] = ("x", "y", "z")) -> DataFrame:
@@ -64,3 +65,62 @@ def dominant_direction(df: DataFrame, six: tuple[str, ...] = ("xx", "xy", "xz",
     ok = F.col("_v.s") > 1e-12 * p * p * p * p
     out = [F.when(ok, F.col(f"_v.v{k}") / F.sqrt("_v.s") * sign).alias(f"v{c}") for k, c in enumerate("xyz")]
     return x.select(*df.columns, "top", *out)
+
+
+def _found(df: DataFrame, keys: list[str]) -> DataFrame:
+    """fit() with weights w, staged, without groups that have no plane: a filter on its normals before they are written
+    would repeat their whole expressions."""
+    return stage(fit(df, keys, "w"), "planes").filter("nx is not null")
+
+
+def _away(df: DataFrame, planes: DataFrame, keys: list[str]) -> DataFrame:
+    """df with `away`, the distance of x, y, z to its group's plane."""
+    at = sum((F.col(f"n{a}") * (F.col(a) - F.col(f"c{a}")) for a in "xyz"), F.lit(0.0))
+    return df.join(planes.select(*keys, "cx", "cy", "cz", "nx", "ny", "nz"), keys).withColumn("away", F.abs(at)).drop("cx", "cy", "cz", "nx", "ny", "nz")
+
+
+def robust_fit(points: DataFrame, keys: list[str], trim: float, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """The planes of groups of points (keys, id, x, y, z, w), fitted, trimmed to the points within the `trim` quantile of
+    distances (0.5 at least) and fitted again, `rounds` times over; and all points with their distance `away` to the last
+    plane. Points without a positive weight or a finite place take no part; a group of under six points is not trimmed
+    on, one without a plane is left out. Every round fits all groups at once: keys, n (points in the last fit), cx to cz,
+    nx to nz, d, rmse (weighted, over all points)."""
+    finite = " and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < double('infinity')" for c in ("x", "y", "z", "w"))
+    rows = stage(points.select(*keys, "id", "x", "y", "z", "w").filter(f"{finite} and w > 0"), "points")
+    active = rows
+    for _ in range(max(rounds, 1)):
+        measured = stage(_away(active, _found(active, keys), keys), "measured")
+        cut = measured.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile("away", min(max(trim, 0.5), 1.0)).alias("_cut"))
+        near = F.col("away") <= F.greatest("_cut", F.lit(1e-9))
+        active = stage(measured.join(cut, keys).filter((F.col("_n") < 6) | near).select(*keys, "id", "x", "y", "z", "w"), "active")
+        unstage(measured)
+    planes = _found(active, keys)
+    each = stage(_away(rows, planes, keys), "away")
+    rmse = each.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("away") ** 2) / F.sum("w")).alias("rmse"))
+    return planes.select(*keys, "n", "cx", "cy", "cz", "nx", "ny", "nz", "d").join(rmse, keys), each
+
+
+def depth_plane_hypotheses(pixels: DataFrame, tile: int, least: int, error: float, degrees: float, distance: float, support: int, most: int | None = None) -> DataFrame:
+    """(frame, nth, nx, ny, nz, d, points, tiles) of pixels (frame, u, v, x, y, z): broad planes of a frame's depth.
+    Tiles of `tile` pixels with at least `least` points are fitted and kept if the median distance is up to `error`;
+    planes that agree, rounded to `degrees` of their normal and `distance` of their offset, are one hypothesis, fitted
+    to the points of all its tiles and kept with `support` points or more and a median distance up to `distance`.
+    Numbered by points, the most first, ties by normal and offset; the first `most` of a frame."""
+    at = [F.floor(F.col("u") / tile).alias("tu"), F.floor(F.col("v") / tile).alias("tv")]
+    p = stage(pixels.select("frame", *at, *[F.col(c).cast("double").alias(c) for c in "xyz"], F.lit(1.0).alias("w")), "pixels")
+    tiles = ["frame", "tu", "tv"]
+    fits = _found(p, tiles).filter(F.col("n") >= least)
+    good = _away(p, fits, tiles).groupBy(*tiles).agg(F.median("away").alias("m")).filter(F.col("m") <= error).select(*tiles)
+    wide, deep = max(2 * math.sin(math.radians(max(degrees, 1e-3)) / 2), 1e-4), max(distance, 1e-5)
+    bins = ["ka", "kb", "kc", "kd"]
+    named = fits.join(good, tiles).select(*tiles, *[F.rint(F.col(f"n{a}") / wide).cast("long").alias(k) for a, k in zip("xyz", bins, strict=False)], F.rint(F.col("d") / deep).cast("long").alias("kd"))
+    member = stage(p.join(named, tiles), "members")
+    keys = ["frame", *bins]
+    sizes = named.groupBy(*keys).agg(F.count(F.lit(1)).alias("tiles"))
+    broad = _found(member, keys).filter(F.col("n") >= support)
+    near = _away(member.drop("tu", "tv"), broad, keys).groupBy(*keys).agg(F.median("away").alias("m")).filter(F.col("m") <= distance).select(*keys)
+    x = broad.join(near, keys).join(sizes, keys)
+    order = Window.partitionBy("frame").orderBy(F.desc("n"), "nx", "ny", "nz", "d")
+    x = x.withColumn("nth", F.row_number().over(order) - 1)
+    x = x if most is None else x.filter(F.col("nth") < most)
+    return x.select("frame", "nth", "nx", "ny", "nz", "d", F.col("n").alias("points"), "tiles")

@@ -452,3 +452,22 @@ def greedy_coreset(t):
     """Ten customers of each nation, spread over the plane; tests hold it against a scan."""
     c = t("customer").select(F.col("c_nationkey").cast("long").alias("nation"), F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 100).alias("x"), (F.col("c_custkey") * 37 % 1009 / 10).alias("y"))
     return D.greedy_coreset(c, "nation", 10, 0.3)
+
+
+@query()
+def depth_planes(t):
+    """Line items as the depths of two frames of 64 by 48 pixels; tests hold it against numpy."""
+    n = t("lineitem").groupBy((F.col("l_linenumber") % 2).cast("long").alias("frame"), (F.col("l_partkey") % 64).alias("u"), (F.col("l_orderkey") % 48).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    z = 2 + F.abs(F.col("u") - 32) * 0.03 * (F.col("frame") + 1) + F.col("n") % 5 * 0.002
+    px = n.withColumn("z", z).withColumn("x", (F.col("u") - 31.5) / 50 * F.col("z")).withColumn("y", (F.col("v") - 23.5) / 50 * F.col("z"))
+    return P.depth_plane_hypotheses(px, tile=8, least=12, error=0.01, degrees=8.0, distance=0.05, support=60, most=8)
+
+
+@query()
+def robust_planes(t):
+    """Parts as points near a plane for each brand, some far off, fitted and trimmed; tests hold it against numpy."""
+    k = F.col("p_partkey")
+    off = F.when(k % 13 == 0, 3.0).otherwise(k % 7 / 100.0)
+    x, y = k * 37 % 101 / 10.0, k * 53 % 97 / 10.0
+    points = t("part").select("p_brand", k.alias("id"), x.alias("x"), y.alias("y"), (0.3 * x - 0.2 * y + off).alias("z"), (1 + F.col("p_size") % 5).cast("double").alias("w"))
+    return P.robust_fit(points, ["p_brand"], 0.85, 4)[0]
