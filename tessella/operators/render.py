@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import vectors as V
 
-from .windows import composite
+from .windows import composite, composite_batches
 
 SIX = ("xx", "xy", "xz", "yy", "yz", "zz")
 
@@ -69,6 +69,12 @@ def render(shown: DataFrame, width: int, height: int, keys: list[str], row: str,
     return composite(pixel_hits(shown, width, height, opacity), [*keys, "px", "py"], ["depth", row], "alpha", color)
 
 
+def render_batches(shown: DataFrame, width: int, height: int, keys: list[str], row: str, opacity: str, colors: list[str], slab: float) -> DataFrame:
+    """render() of several colours, by slabs of depth: keys, px, py, the colours, opacity, used."""
+    hits = pixel_hits(shown, width, height, opacity)
+    return composite_batches(hits, [*keys, "px", "py"], F.floor(F.col("depth") / slab), ["depth", row], "alpha", colors)
+
+
 def raster_triangles(corners: DataFrame, face: str, width: int, height: int, keys: list[str] = ()) -> DataFrame:
     """(keys, px, py, face, depth): the nearest triangle on each pixel's centre, from corners a, b, c (x and y in pixels, z
     the depth); depth is interpolated by its inverse; ties go to the lowest face."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.scalar import clip01, finite, smoothstep01
@@ -62,6 +62,21 @@ def composite(df: DataFrame, keys: list[str], order: list[str], alpha: str, colo
     return a.withColumn("part", part).groupBy(*keys).agg(F.sum(F.col("part") * F.col(color)).alias("color"), F.sum("part").alias("opacity"), F.count(F.lit(1)).alias("used"))
 
 
+def composite_batches(df: DataFrame, keys: list[str], batch: Column, order: list[str], alpha: str, colors: list[str], cap: float = 0.999, stop: float = 1e-4) -> DataFrame:
+    """composite() of several colours, in batches of the order (batch must not fall along it): a batch needs of those
+    before it only what they let through, so these are summed first, one row for a key and batch; batches that nothing
+    reaches are not looked into, and the others' rows are sorted each batch on its own, however long a key's list is.
+    Any batches give the same rows: keys, the colours, opacity, used."""
+    a = df.withColumn("_batch", batch).withColumn("a", F.least(F.col(alpha), F.lit(cap))).filter(F.col("a") >= 1 / 255)
+    let = a.groupBy(*keys, "_batch").agg(F.sum(F.log(1 - F.col("a"))).alias("_log"))
+    before = Window.partitionBy(*keys).orderBy("_batch").rowsBetween(Window.unboundedPreceding, -1)
+    reached = let.withColumn("_carried", F.coalesce(F.sum("_log").over(before), F.lit(0.0))).filter(F.exp("_carried") > stop).drop("_log")
+    own = Window.partitionBy(*keys, "_batch").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    x = a.join(reached, [*keys, "_batch"]).withColumn("after", F.exp(F.col("_carried") + F.sum(F.log(1 - F.col("a"))).over(own))).filter(F.col("after") > stop)
+    x = x.withColumn("_part", F.col("after") / (1 - F.col("a")) * F.col("a"))
+    return x.groupBy(*keys).agg(*[F.sum(F.col("_part") * F.col(c)).alias(c) for c in colors], F.sum("_part").alias("opacity"), F.count(F.lit(1)).alias("used"))
+
+
 def local_maxima(df: DataFrame, x: str, keys: list[str], order: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     p, n = F.lag(x).over(w), F.lead(x).over(w)

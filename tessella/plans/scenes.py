@@ -197,6 +197,14 @@ def splat_render(t):
     return x.select("cam", "px", "py", r("color", 3).alias("color"), r("opacity").alias("opacity"))
 
 
+@query(f"""WITH {HITS}, f AS (SELECT *, exp(sum(ln(1 - al)) OVER (PARTITION BY cam, px, py ORDER BY depth, vec_id ROWS UNBOUNDED PRECEDING)) af FROM hit)
+  SELECT cam, px, py, round(sum(af / (1 - al) * al * c), 3) c, round(sum(af / (1 - al) * al * depth), 3) depth, round(sum(af / (1 - al) * al), 4) opacity, count(*) used FROM f WHERE af > 1e-4 GROUP BY ALL""")
+def splat_render_batches(t):
+    """A colour and the depth, by slabs; the SQL has none."""
+    x = R.render_batches(R.project(_seen(t), 48, 32), 48, 32, ["cam"], "vec_id", "o", ["c", "depth"], 0.25)
+    return x.select("cam", "px", "py", r("c", 3).alias("c"), r("depth", 3).alias("depth"), r("opacity").alias("opacity"), "used")
+
+
 RASTER = f"""{GEO}, w AS (SELECT f, ax / 7 ax, ay / 9 ay, az + 1 az, bx / 7 bx, by_ / 9 by_, bz + 1 bz, cx / 7 cx, cy / 9 cy, cz + 1 cz FROM g), d AS (SELECT *, (by_ - cy) * (ax - cx) + (cx - bx) * (ay - cy) d FROM w),
   p1 AS (SELECT *, unnest(range(CAST(greatest(floor(least(ax, bx, cx)), 0) AS BIGINT), CAST(least(ceil(greatest(ax, bx, cx)) + 1, 14) AS BIGINT))) px FROM d WHERE abs(d) >= 1e-12),
   p2 AS (SELECT *, unnest(range(CAST(greatest(floor(least(ay, by_, cy)), 0) AS BIGINT), CAST(least(ceil(greatest(ay, by_, cy)) + 1, 11) AS BIGINT))) py FROM p1),
