@@ -16,6 +16,7 @@ from tessella.operators import joins as J
 from tessella.operators import mesh as M
 from tessella.operators import planes as P
 from tessella.operators import render as R
+from tessella.operators import strategy as Y
 from tessella.operators import tracking as T
 from tessella.operators import votes as W
 
@@ -479,3 +480,17 @@ def robust_planes(t):
     x, y = k * 37 % 101 / 10.0, k * 53 % 97 / 10.0
     points = t("part").select("p_brand", k.alias("id"), x.alias("x"), y.alias("y"), (0.3 * x - 0.2 * y + off).alias("z"), (1 + F.col("p_size") % 5).cast("double").alias("w"))
     return P.robust_fit(points, ["p_brand"], 0.85, 4)[0]
+
+
+@query()
+def densify_steps(t):
+    """Parts as rows that two steps of line items see; tests hold the steps against a replay."""
+    k = F.col("p_partkey")
+    place = [(k * m % 97 / 10.0).alias(c) for m, c in ((7, "x"), (11, "y"), (13, "z"))]
+    scales = [F.log(F.col("p_size") * m / 500.0).alias(c) for m, c in ((1, "s0"), (2, "s1"), (3, "s2"))]
+    turn = [(k % m + 1.0).alias(c) for m, c in ((3, "qw"), (5, "qx"), (7, "qy"), (11, "qz"))]
+    rows = t("part").select(k.alias("id"), *place, *scales, *turn, (F.col("p_retailprice") % 8 - 4).alias("opacity"), "p_brand")
+    seen = t("lineitem").select(F.col("l_partkey").alias("id"), (F.col("l_discount") - 0.05).alias("gx"), (F.col("l_tax") - 0.04).alias("gy"), F.col("l_quantity").alias("radius"), "l_linenumber")
+    rules = Y.Densify(width=60, height=40, grow_gradient=1.1, grow_scale=0.1, most_scale=0.25, least=0.03)
+    got = Y.play(rules, rows, [(600, seen.filter("l_linenumber % 2 = 0")), (700, seen.filter("l_linenumber % 2 = 1"))])
+    return got.select("id", *[r(c).alias(c) for c in ("x", "y", "z", "s0", "s1", "s2", "opacity")], "p_brand", "grad", "n_seen")
