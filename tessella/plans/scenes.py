@@ -15,6 +15,7 @@ from tessella.operators import graph as G
 from tessella.operators import joins as J
 from tessella.operators import mesh as M
 from tessella.operators import planes as P
+from tessella.operators import rasters as Z
 from tessella.operators import render as R
 from tessella.operators import strategy as Y
 from tessella.operators import tracking as T
@@ -494,3 +495,15 @@ def densify_steps(t):
     rules = Y.Densify(width=60, height=40, grow_gradient=1.1, grow_scale=0.1, most_scale=0.25, least=0.03)
     got = Y.play(rules, rows, [(600, seen.filter("l_linenumber % 2 = 0")), (700, seen.filter("l_linenumber % 2 = 1"))])
     return got.select("id", *[r(c).alias(c) for c in ("x", "y", "z", "s0", "s1", "s2", "opacity")], "p_brand", "grad", "n_seen")
+
+
+@query("""WITH p AS (SELECT l_linenumber % 3 frame, l_partkey % 90 u, l_orderkey % 70 v, count(*) n, min(l_suppkey) face, round(avg(l_quantity), 3) gradient FROM lineitem GROUP BY 1, 2, 3),
+  s AS (SELECT * FROM p WHERE n % 4 = 0), h AS (SELECT * FROM p WHERE n % 3 = 1),
+  m AS (SELECT h.frame, h.u, h.v, h.gradient, h.n, (h.u - s.u) ** 2 + (h.v - s.v) ** 2 d2, s.face, row_number() OVER (PARTITION BY h.frame, h.u, h.v ORDER BY (h.u - s.u) ** 2 + (h.v - s.v) ** 2, s.v, s.u) k
+    FROM h JOIN s ON s.frame = h.frame AND abs(h.u - s.u) <= 4 AND abs(h.v - s.v) <= 4)
+  SELECT face, count(*) n, round(sum(gradient * exp(-d2 / 32)), 4) gradient, round(sum(n * exp(-d2 / 32)), 4) target, max(gradient) steepest FROM m WHERE k = 1 AND d2 <= 16 GROUP BY face""")
+def offset_evidence(t):
+    p = t("lineitem").groupBy((F.col("l_linenumber") % 3).alias("frame"), (F.col("l_partkey") % 90).alias("u"), (F.col("l_orderkey") % 70).alias("v")).agg(F.count(F.lit(1)).alias("n"), F.min("l_suppkey").alias("face"), r(F.avg("l_quantity"), 3).alias("gradient"))
+    high = p.filter("n % 3 = 1").select("frame", "u", "v", "gradient", F.col("n").cast("double").alias("target"))
+    got = Z.offset_evidence(p.filter("n % 4 = 0"), high, ["frame"], 4)
+    return got.select("face", "n", r("gradient").alias("gradient"), r("target").alias("target"), "steepest")
