@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .nearest import nearest_rows
+
 
 def edges(faces: DataFrame, corners: list[str], face: str) -> DataFrame:
     """Undirected edges of polygons with their faces in order: one shuffle on the edge, instead of a self join."""
@@ -44,9 +46,9 @@ def within(left: DataFrame, right: DataFrame, lid: str, rid: str, axes: list[str
 
 
 def nearest_within(left: DataFrame, right: DataFrame, lid: str, rid: str, axes: list[str], radius: float) -> DataFrame:
-    """The nearest right row of each left row that has one within the radius; ties to the lowest id."""
-    p = within(left, right, lid, rid, axes, radius)
-    return p.groupBy("l").agg(F.min(F.struct("distance", "r")).alias("m")).select("l", F.col("m.r").alias("r"), F.col("m.distance").alias("distance"))
+    """The nearest right row of each left row that has one within the radius; ties to the lowest id. By a tree of
+    boxes, as the pairs within a radius grow with the square of the rows that crowd there."""
+    return nearest_rows(left, right, lid, rid, axes, radius)
 
 
 def covered_by_manifest(left: DataFrame, right: DataFrame, on: str) -> DataFrame:

@@ -1,7 +1,10 @@
-"""The nearest triangle of every point, by descent through a tree of boxes, and children bound to new parents by it."""
+"""The nearest triangle or row of every point, by descent through a tree of boxes, and children bound to new parents by
+it. Points in one place are looked up once."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +13,7 @@ from tessella.functions import vectors as V
 from tessella.staging import stage
 
 BITS, LEAF = 20, 8
+SLACK = 1 + 1e-9  # of squared distances, for rounding
 LO, HI = ["x0", "y0", "z0"], ["x1", "y1", "z1"]
 
 
@@ -18,20 +22,17 @@ def _up(cell: Column, levels: int) -> Column:
 
 
 class Tree:
-    """Triangles in cells of a cube that is halved along each axis from level to level, by their boxes' centres; a cell
-    has the box of all that its triangles cover. The last level is the first one at which no cell has more than `leaf`
-    triangles, BITS at most."""
-
-    def __init__(self, corners: DataFrame, leaf: int = LEAF):
-        """corners: face, and structs a, b, c with x, y, z."""
-        ends = [F.least(*[F.col(f"{n}.{k}") for n in "abc"]).alias(v) for k, v in zip("xyz", LO, strict=True)]
-        ends += [F.greatest(*[F.col(f"{n}.{k}") for n in "abc"]).alias(v) for k, v in zip("xyz", HI, strict=True)]
-        boxed = corners.select("face", "a", "b", "c", *ends)
+    """Rows with boxes in cells of a cube that is halved along each axis from level to level, by their boxes' centres; a
+    cell has the box of all that its rows cover. The last level is the first one at which no cell has more than `leaf`
+    rows, BITS at most."""
+
+    def __init__(self, boxed: DataFrame, leaf: int = LEAF):
+        """boxed: any columns, and LO and HI."""
         mid = [(F.col(lo) + F.col(hi)) / 2 for lo, hi in zip(LO, HI, strict=True)]
         whole = boxed.agg(*[F.min(m).alias(f"l{k}") for k, m in enumerate(mid)], *[F.max(m).alias(f"h{k}") for k, m in enumerate(mid)]).first()
         wide = max([whole[f"h{k}"] - whole[f"l{k}"] for k in range(3) if whole["l0"] is not None] or [0.0]) or 1.0
         at = [F.least(F.floor((m - F.lit(whole[f"l{k}"])) / wide * (1 << BITS)), F.lit((1 << BITS) - 1)) for k, m in enumerate(mid)]
-        placed = stage(boxed.withColumn("cell", V.z_order(at, BITS)), "triangles")
+        placed = stage(boxed.withColumn("cell", V.z_order(at, BITS)), "boxed")
         sizes = stage(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "sizes")
         low, high = 0, BITS
         while low < high:
@@ -39,8 +40,8 @@ class Tree:
             most = sizes.groupBy(_up(F.col("cell"), BITS - level)).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
             low, high = (low, level) if most <= leaf else (level + 1, high)
         self.depth = low
-        self.triangles = placed.withColumn("cell", _up(F.col("cell"), BITS - self.depth))
-        self.cells = stage(self._boxes(self.triangles, F.col("cell")), "cells")
+        self.rows = placed.withColumn("cell", _up(F.col("cell"), BITS - self.depth))
+        self.cells = stage(self._boxes(self.rows, F.col("cell")), "cells")
 
     @staticmethod
     def _boxes(of: DataFrame, cell: Column) -> DataFrame:
@@ -49,6 +50,58 @@ class Tree:
     def boxes(self, level: int) -> DataFrame:
         return self.cells if level == self.depth else self._boxes(self.cells, _up(F.col("cell"), self.depth - level))
 
+    def candidates(self, places: DataFrame, radius: float = math.inf) -> DataFrame:
+        """The rows that can be nearest to each of places (point, x, y, z) and lie within the radius, beside it.
+
+        A place goes down the tree two levels at a time with the cells that can hold its nearest row. Every cell holds
+        a row, so the nearest one is no further than the far corner of the best cell's box; cells whose box begins
+        beyond that are left. A far place so meets few cells, and a cell of many places is an ordinary skewed join. The
+        first two steps join at most 64 and 4,096 cells, which are broadcast."""
+        p = [F.col(c) for c in "xyz"]
+        near = [F.greatest(F.col(lo) - c, c - F.col(hi), F.lit(0.0)) for c, lo, hi in zip(p, LO, HI, strict=True)]
+        far = [F.greatest(F.abs(c - F.col(lo)), F.abs(c - F.col(hi))) for c, lo, hi in zip(p, LO, HI, strict=True)]
+        left, level = places.select("point", *p, F.lit(0).cast("long").alias("cell"), F.lit(radius * radius).alias("best")), 0
+        while level < self.depth:
+            step = 2 if (self.depth - level) % 2 == 0 else 1
+            level += step
+            below = self.boxes(level).withColumn("up", _up(F.col("cell"), step))
+            below = F.broadcast(below) if level <= 4 else below  # no more than 8**4 rows
+            x = left.withColumnRenamed("cell", "up").join(below, "up")
+            x = x.select("point", "x", "y", "z", "cell", "best", V.dot(near, near).alias("near"), V.dot(far, far).alias("far")).filter(F.col("near") <= F.col("best") * SLACK)
+            x = x.withColumn("best", F.least("best", F.min("far").over(Window.partitionBy("point"))))
+            left = x.filter(F.col("near") <= F.col("best") * SLACK).select("point", "x", "y", "z", "cell", "best")
+        return left.join(self.rows, "cell").filter(V.dot(near, near) <= F.col("best") * SLACK)
+
+
+def _finite(points: DataFrame) -> DataFrame:
+    return points.filter(" and ".join(f"{c} is not null and abs({c}) < double('Infinity')" for c in "xyz"))
+
+
+def _places(points: DataFrame) -> DataFrame:
+    """The distinct places of points with finite coordinates (x, y, z), numbered."""
+    return stage(_finite(points).select("x", "y", "z").distinct().withColumn("point", F.monotonically_increasing_id()), "places")
+
+
+def _as_point(df: DataFrame, row: str, axes: list[str]) -> DataFrame:
+    """(row, x, y, z) of rows with one to three axes; those that are missing are 0."""
+    if len(axes) > 3:
+        raise ValueError("no more than three axes")
+    at = [F.col(c).cast("double") for c in axes] + [F.lit(0.0)] * (3 - len(axes))
+    return df.select(F.col(row).alias("row"), *[a.alias(c) for a, c in zip(at, "xyz", strict=True)])
+
+
+def nearest_rows(left: DataFrame, right: DataFrame, lid: str, rid: str, axes: list[str], radius: float = math.inf, leaf: int = LEAF) -> DataFrame:
+    """(l, r, distance): the nearest right row of each left row that has one within the radius; ties to the lowest id.
+    Each place is a row of the tree once, with its lowest id, so copies and crowds add rows, not pairs."""
+    l, r = _as_point(left, lid, axes), _as_point(right, rid, axes)  # noqa: E741
+    places = _places(l)
+    there = _finite(r).groupBy("x", "y", "z").agg(F.min("row").alias("r"))
+    tree = Tree(there.select("r", *[F.col(c).alias(n) for c, n in zip("xyz", LO, strict=True)], *[F.col(c).alias(n) for c, n in zip("xyz", HI, strict=True)]), leaf)
+    d2 = sum((F.col(c) - F.col(lo)) ** 2 for c, lo in list(zip("xyz", LO, strict=True))[: len(axes)])
+    x = tree.candidates(places, radius).withColumn("d2", d2).filter(F.col("d2") <= radius * radius)
+    best = x.groupBy("point").agg(F.min(F.struct(F.sqrt("d2").alias("distance"), "r")).alias("m"))
+    return l.join(places.join(best, "point"), list("xyz")).select(F.col("row").alias("l"), "m.r", "m.distance")
+
 
 def with_closest(df: DataFrame) -> DataFrame:
     """df (structs p, a, b, c) with the distance of p to the triangle a, b, c, and w, the barycentric weights (wa, wb,
@@ -76,35 +129,17 @@ def with_closest(df: DataFrame) -> DataFrame:
 
 
 def nearest_triangles(points: DataFrame, corners: DataFrame, point: str = "point", leaf: int = LEAF) -> DataFrame:
-    """(point, face, distance, wa, wb, wc): the triangle of corners (face, a, b, c) that is nearest to each of points
-    (point, x, y, z), of equals the lowest, and the barycentric weights of its closest place. Points without a
-    coordinate have none.
-
-    A point goes down the tree two levels at a time with the cells that can hold its nearest triangle. Every cell holds
-    a triangle, so the nearest one is no further than the far corner of the best cell's box; cells whose box begins
-    beyond that are left. A far point so meets few cells, and a cell of many points is an ordinary skewed join. The
-    first two steps join at most 64 and 4,096 cells, which are broadcast."""
-    tree = Tree(corners, leaf)
-    p = [F.col(c) for c in "xyz"]
-    near = [F.greatest(F.col(lo) - c, c - F.col(hi), F.lit(0.0)) for c, lo, hi in zip(p, LO, HI, strict=True)]
-    far = [F.greatest(F.abs(c - F.col(lo)), F.abs(c - F.col(hi))) for c, lo, hi in zip(p, LO, HI, strict=True)]
-    left = points.select(F.col(point).alias("point"), *[c.cast("double") for c in p]).filter("x is not null and y is not null and z is not null").withColumn("cell", F.lit(0).cast("long"))
-    level = 0
-    while level < tree.depth:
-        step = 2 if (tree.depth - level) % 2 == 0 else 1
-        level += step
-        below = tree.boxes(level).withColumn("up", _up(F.col("cell"), step))
-        below = F.broadcast(below) if level <= 4 else below  # no more than 8**4 rows
-        x = left.withColumnRenamed("cell", "up").join(below, "up")
-        x = x.select("point", "x", "y", "z", "cell", V.dot(near, near).alias("near"), V.dot(far, far).alias("far"))
-        x = x.withColumn("best", F.min("far").over(Window.partitionBy("point")))
-        left = x.filter(F.col("near") <= F.col("best") * (1 + 1e-9)).select("point", "x", "y", "z", "cell", "best")
-    x = left.join(tree.triangles, "cell")
-    if tree.depth:
-        x = x.filter(V.dot(near, near) <= F.col("best") * (1 + 1e-9))
-    x = with_closest(x.select("point", *[F.struct("x", "y", "z").alias("p")], "face", "a", "b", "c"))
-    best = x.groupBy("point").agg(F.min(F.struct("distance", "face", "w")).alias("m"))
-    return best.select(F.col("point").alias(point), "m.face", "m.distance", "m.w.wa", "m.w.wb", "m.w.wc")
+    """(point, face, distance, wa, wb, wc): the triangle of corners (face, and structs a, b, c with x, y, z) that is
+    nearest to each of points (point, x, y, z), of equals the lowest, and the barycentric weights of its closest place.
+    Points without a coordinate have none."""
+    ends = [F.least(*[F.col(f"{n}.{k}") for n in "abc"]).alias(v) for k, v in zip("xyz", LO, strict=True)]
+    ends += [F.greatest(*[F.col(f"{n}.{k}") for n in "abc"]).alias(v) for k, v in zip("xyz", HI, strict=True)]
+    tree = Tree(corners.select("face", "a", "b", "c", *ends), leaf)
+    p = _as_point(points, point, list("xyz"))
+    places = _places(p)
+    x = with_closest(tree.candidates(places).select("point", F.struct("x", "y", "z").alias("p"), "face", "a", "b", "c"))
+    best = places.join(x.groupBy("point").agg(F.min(F.struct("distance", "face", "w")).alias("m")), "point")
+    return p.join(best, list("xyz")).select(F.col("row").alias(point), "m.face", "m.distance", "m.w.wa", "m.w.wb", "m.w.wc")
 
 
 def reparented(children: DataFrame, corners: DataFrame, low: float, high: float, child: str = "child") -> DataFrame:
