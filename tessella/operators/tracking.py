@@ -7,10 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.staging import reread, stage
-
 from .graph import greedy_matching
-from .joins import nearest_within
+from .nearest import nearest_rows
 
 
 def thin(df: DataFrame, keys: list[str], x: str, gap: int) -> DataFrame:
@@ -52,18 +50,9 @@ def affinity(edges: DataFrame, seen: DataFrame) -> DataFrame:
     return edges.select("a", "b").join(got, ["a", "b"], "left").select("a", "b", F.coalesce("confidence", F.lit(0)).alias("confidence"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def nearest_any(left: DataFrame, right: DataFrame, lid: str, rid: str, axes: list[str], radius: float) -> DataFrame:
-    """The nearest right row of every left row; ties to the lowest id. Rounds look within a radius, doubled for the rows
-    that have found none: what is found within a radius is nearer than all that lies beyond. An empty right gives none."""
-    if not right.limit(1).count():
-        return nearest_within(left, right, lid, rid, axes, radius)
-    left, done = stage(left.select(lid, *axes), "left"), []
-    while left.limit(1).count():
-        found = stage(nearest_within(left, right, lid, rid, axes, radius), "nearest")
-        done.append(found)
-        left = stage(left.join(found.select(F.col("l").alias(lid)), lid, "left_anti"), "left")
-        radius *= 2
-    return reread(done) if done else nearest_within(left, right, lid, rid, axes, radius)
+def nearest_any(left: DataFrame, right: DataFrame, lid: str, rid: str, axes: list[str]) -> DataFrame:
+    """The nearest right row of every left row, however far; ties to the lowest id. An empty right gives none."""
+    return nearest_rows(left, right, lid, rid, axes)
 
 
 def agreement(there: DataFrame, back: DataFrame, limit: float) -> DataFrame:
