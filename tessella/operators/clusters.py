@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.staging import reread
+
 from .graph import components, cut
 
+SPLIT, LEVELS = 4, 10
+
 
 def _nearest(xs: list[str], centres: list[tuple[float, ...]]) -> Column:
     """Number of the nearest centre, ties to the lowest."""
@@ -70,6 +75,71 @@ def density_clusters(links: DataFrame, points: DataFrame, row: str, least: int)
     return root.unionByName(edge.groupBy(F.col("b").alias(row)).agg(F.min("cluster").alias("cluster")))
 
 
+def _gap(of: str, to: str, axes: list[str], far: bool = False) -> Column:
+    """Squared distance of two boxes (structs with lows and highs of the axes), or of their furthest corners."""
+    at = lambda n, k, c: F.col(f"{n}.{k}_{c}")
+    if far:
+        each = [F.greatest(at(of, "hi", c) - at(to, "lo", c), at(to, "hi", c) - at(of, "lo", c)) for c in axes]
+    else:
+        each = [F.greatest(at(of, "lo", c) - at(to, "hi", c), at(to, "lo", c) - at(of, "hi", c), F.lit(0.0)) for c in axes]
+    return sum(e * e for e in each[1:]) + each[0] * each[0] if len(each) > 1 else each[0] * each[0]
+
+
+def density_clusters_within(points: DataFrame, row: str, axes: list[str], radius: float, least: int) -> DataFrame:
+    """density_clusters() of the points whose distance is the radius at most, without the list of such pairs, which grows
+    with the square of a crowd. Cells are so small that their points are all in reach of each other: the points of a cell
+    with `least` of them are cores, and only the others, fewer than `least` to a cell, look at the cells around. Cores
+    of a cell are linked, so cells are: by boxes of their cores if these are wholly in reach, else by ever smaller boxes
+    (`SPLIT` to an axis) of those that may hold a pair in reach. Rows without a finite place belong to no cluster."""
+    far, reach = radius * radius, math.ceil(math.sqrt(len(axes)) * (1 + 1e-9))
+    width = radius / math.sqrt(len(axes)) * (1 - 1e-9)
+    key = [F.col(c) for c in axes]
+    box = F.struct(*[e for c in axes for e in (F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"))])
+    known = points.filter(" and ".join(f"{c} is not null and abs({c}) < double('Infinity')" for c in axes))
+    x = known.groupBy(*axes).agg(F.count(F.lit(1)).alias("n"), F.min(row).alias("first"))
+    x = cut(x.withColumn("cell", F.array(*[F.floor(k / width) for k in key])).withColumn("place", F.monotonically_increasing_id()))
+    sizes = x.groupBy("cell").agg(F.sum("n").alias("rows"), box.alias("box"))
+    # rounding of large coordinates can make a cell wider than it should be: its places then stand alone
+    whole = sizes.select("cell", "rows", (_gap("box", "box", axes, True) <= far).alias("tight"))
+    x = cut(x.join(whole, "cell").withColumn("own", F.when(F.col("tight"), F.lit(-1).cast("bigint")).otherwise(F.col("place"))).withColumn("dense", F.col("tight") & (F.col("rows") >= least)))
+    around = F.array(*[F.array(*[F.col("cell")[k] + o for k, o in enumerate(away)]) for away in product(range(-reach, reach + 1), repeat=len(axes))])
+    sparse = x.filter("not dense").select(F.col("place").alias("p"), *[k.alias(f"p_{c}") for k, c in zip(key, axes, strict=True)], F.explode(around).alias("cell"))
+    d2 = sum((F.col(f"p_{c}") - F.col(c)) * (F.col(f"p_{c}") - F.col(c)) for c in axes)
+    near = cut(sparse.join(x.select("cell", "place", "n", *axes), "cell").filter(d2 <= far).select("p", "place", "n"))
+    more = near.groupBy(F.col("p").alias("place")).agg(F.sum("n").alias("in_reach")).filter(F.col("in_reach") >= least).select("place")
+    core = cut(x.filter("dense").unionByName(x.filter("not dense").join(more, "place", "left_semi").select(x.columns)).select("cell", "own", "place", "first", *axes))
+    groups = cut(core.groupBy("cell", "own").agg(F.min("first").alias("g"), box.alias("box")))
+    held = core.join(groups.select("cell", "own", "g", "box"), ["cell", "own"])
+    # every axis of a group's box is cut into as many parts at each level; a part has the box of its cores
+    part = lambda n: F.array(*[F.floor(F.least((F.col(c) - F.col(f"box.lo_{c}")) / F.greatest(F.col(f"box.hi_{c}") - F.col(f"box.lo_{c}"), F.lit(1e-300)), F.lit(1 - 2.0**-50)) * n) for c in axes])
+    zero = F.array(*[F.lit(0).cast("bigint")] * len(axes))
+    a = groups.select(F.col("g").alias("a"), F.col("box").alias("box_a"), F.explode(around).alias("cell"))
+    pairs = a.join(groups.select("cell", F.col("g").alias("b"), F.col("box").alias("box_b")), "cell").filter("a < b").select("a", "b", "box_a", "box_b", zero.alias("part_a"), zero.alias("part_b"))
+    links, level = [], 0
+    while True:
+        pairs = cut(pairs.filter(_gap("box_a", "box_b", axes) <= far).withColumn("sure", _gap("box_a", "box_b", axes, True) <= far))
+        links.append(cut(pairs.filter("sure").select("a", "b").distinct()))
+        open_ = pairs.join(links[-1], ["a", "b"], "left_anti").select("a", "b", "part_a", "part_b")
+        if not open_.limit(1).count():
+            break
+        level += 1
+        if level > LEVELS:  # cores too near to be told apart by parts: each pair of them
+            side = lambda s: held.select(F.col("g").alias(s), part(SPLIT ** (level - 1)).alias(f"part_{s}"), F.struct(*[e for c in axes for e in (F.col(c).alias(f"lo_{c}"), F.col(c).alias(f"hi_{c}"))]).alias(f"box_{s}"))  # noqa: E731, B023
+            last = open_.join(side("a"), ["a", "part_a"]).join(side("b"), ["b", "part_b"]).filter(_gap("box_a", "box_b", axes) <= far)
+            links.append(cut(last.select("a", "b").distinct()))
+            break
+        up = lambda s: F.transform(f"part_{s}", lambda v: F.floor(v / SPLIT))
+        parts = cut(held.select("g", part(SPLIT**level).alias("part"), *axes).groupBy("g", "part").agg(box.alias("box")))
+        side = lambda s: parts.select(F.col("g").alias(s), F.col("part").alias(f"part_{s}"), F.col("box").alias(f"box_{s}")).withColumn(f"up_{s}", up(s))  # noqa: E731, B023
+        open_ = open_.withColumnsRenamed({"part_a": "up_a", "part_b": "up_b"})
+        pairs = open_.join(side("a"), ["a", "up_a"]).join(side("b"), ["b", "up_b"]).select("a", "b", "box_a", "box_b", "part_a", "part_b")
+    root = components(reread(links)).select(F.col("node").alias("g"), F.col("root").alias("cluster"))
+    named = cut(held.select("place", "g").join(root, "g", "left").select("place", F.coalesce("cluster", "g").alias("cluster")))
+    edge = near.join(named, "place").join(core.select(F.col("place").alias("p")), "p", "left_anti").groupBy(F.col("p").alias("place")).agg(F.min("cluster").alias("cluster"))
+    placed = x.select("place", *axes).join(named.unionByName(edge), "place").drop("place")
+    return known.select(row, *axes).join(placed, axes).select(row, "cluster")
+
+
 def merge_components(edges: DataFrame, thresholds: Iterable[float], least: float) -> DataFrame:
     """(node, root) from edges (a, b, score, confidence): for one threshold after another, the pairs of components
     whose confidence-weighted mean score reaches it are joined; pairs of less confidence than `least` do not count."""

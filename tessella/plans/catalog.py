@@ -420,9 +420,7 @@ def gaussian_mixture(t):
   e AS MATERIALIZED (SELECT a, b FROM l WHERE a IN (FROM c) AND b IN (FROM c)), r(n, m) AS (SELECT id, id FROM c UNION SELECT r.n, e.b FROM r JOIN e ON r.m = e.a), k AS (SELECT n id, min(m) AS cluster FROM r GROUP BY n)
   SELECT * FROM k UNION ALL SELECT b, min(cluster) FROM l JOIN k ON k.id = l.a WHERE b NOT IN (FROM c) GROUP BY b""")
 def density_clusters(t):
-    p = _points(t)
-    links = J.within(p, p, "id", "id", ["x", "y"], 1.5).filter("l <> r").select(F.col("l").alias("a"), F.col("r").alias("b"))
-    return K.density_clusters(links, p, "id", 4)
+    return K.density_clusters_within(_points(t), "id", ["x", "y"], 1.5, 4)
 
 
 @query()
