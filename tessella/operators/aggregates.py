@@ -7,22 +7,36 @@ from pyspark.sql import functions as F
 
 from tessella.functions.scalar import finite
 
+from .windows import quantiles
 
-def quantile(x: str, q: float) -> Column:
-    return F.percentile(finite(F.col(x)), q)
+
+def _beside(df: DataFrame, x: str, keys: list[str], named: dict[str, float], rest: list[Column]) -> DataFrame:
+    """keys, the aggregates of rest, and quantiles of the finite values of x (null in groups without any)."""
+    all_ = df.groupBy(*keys).agg(*rest)
+    got = quantiles(df.select(*keys, finite(F.col(x)).alias("_v")), "_v", keys, named)
+    got = got.select(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)], *named)
+    same = F.lit(True)
+    for n, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{n}"))
+    return all_.join(got, same, "left").drop(*[f"_k{n}" for n in range(len(keys))])
+
+
+def group_quantile(df: DataFrame, x: str, keys: list[str], q: float, name: str) -> DataFrame:
+    """keys and the quantile of each group's finite values."""
+    return _beside(df, x, keys, {name: q}, [F.count(F.lit(1)).alias("_rows")]).select(*keys, name)
 
 
 def profile(df: DataFrame, x: str, keys: list[str]) -> DataFrame:
     """count, min, q25, median, mean, q75, q90, max of the finite values of each group."""
     v = finite(F.col(x))
-    stats = {"min": F.min(v), "q25": F.percentile(v, 0.25), "median": F.percentile(v, 0.5), "mean": F.avg(v), "q75": F.percentile(v, 0.75), "q90": F.percentile(v, 0.9), "max": F.max(v)}
-    return df.groupBy(*keys).agg(F.count(v).alias("count"), *[F.coalesce(c, F.lit(0.0)).alias(k) for k, c in stats.items()])
+    got = _beside(df, x, keys, {"q25": 0.25, "median": 0.5, "q75": 0.75, "q90": 0.9}, [F.count(v).alias("count"), F.min(v).alias("min"), F.avg(v).alias("mean"), F.max(v).alias("max")])
+    return got.select(*keys, "count", *[F.coalesce(k, F.lit(0.0)).alias(k) for k in ("min", "q25", "median", "mean", "q75", "q90", "max")])
 
 
 def mad(df: DataFrame, x: str, keys: list[str]) -> DataFrame:
     """Median absolute deviation from the group's median: two passes, joined by group."""
-    mid = df.groupBy(*keys).agg(quantile(x, 0.5).alias("mid"))
-    return df.join(mid, keys).withColumn("dev", F.abs(F.col(x) - F.col("mid"))).groupBy(*keys).agg(F.coalesce(quantile("dev", 0.5), F.lit(0.0)).alias("mad"))
+    dev = df.join(group_quantile(df, x, keys, 0.5, "mid"), keys).withColumn("dev", F.abs(F.col(x) - F.col("mid")))
+    return group_quantile(dev, "dev", keys, 0.5, "mad").withColumn("mad", F.coalesce("mad", F.lit(0.0)))
 
 
 def weighted_mean(df: DataFrame, x: str, w: str, keys: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .graph import greedy_matching
 from .nearest import nearest_rows
+from .windows import quantiles
 
 
 def thin(df: DataFrame, keys: list[str], x: str, gap: int) -> DataFrame:
@@ -72,7 +73,7 @@ def scene_means(df: DataFrame, scene: str, columns: list[str]) -> DataFrame:
 
 def within_percentiles(df: DataFrame, keys: list[str], x: str, low: float, high: float) -> DataFrame:
     """Rows whose value lies between two quantiles of their group, joined back by group."""
-    b = df.groupBy(*keys).agg(F.percentile(x, low).alias("_lo"), F.percentile(x, high).alias("_hi"))
+    b = quantiles(df, x, keys, {"_lo": low, "_hi": high})
     return df.join(b, keys).filter((F.col(x) >= F.col("_lo")) & (F.col(x) <= F.col("_hi"))).drop("_lo", "_hi")
 
 

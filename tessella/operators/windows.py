@@ -22,14 +22,33 @@ def numbered(df: DataFrame, order: list[str], name: str, weight: str | None = No
     return ranged.join(F.broadcast(start), "_range").withColumn(name, F.col("_start") + F.coalesce(F.sum(x).over(own), F.lit(0))).drop("_range", "_start")
 
 
+def quantiles(df: DataFrame, x: str, keys: list[str], named: dict[str, float]) -> DataFrame:
+    """keys and the exact quantiles of each group's values of x, with linear interpolation; groups without values are
+    left out. Distinct values are counted, and their counts summed by ranges of the order, so that no task holds a
+    group's values, as percentile() does."""
+    counts = df.select(*keys, F.col(x).cast("double").alias("_x")).filter("_x is not null").groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_n"))
+    at = numbered(counts, [*keys, "_x"], "_at", "_n")
+    own = [F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)]
+    whole = stage(at.groupBy(*own).agg(F.min("_at").alias("_first"), F.sum("_n").alias("_rows")), "groups")
+    same = F.lit(True)
+    for n, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{n}"))
+    placed = at.join(whole, same) if keys else at.crossJoin(F.broadcast(whole))  # one row
+    place = {name: F.lit(float(q)) * (F.col("_rows") - 1) for name, q in named.items()}
+    value = lambda p: F.max(F.when(F.col("_at") - F.col("_first") <= p, F.col("_x")))
+    got = placed.groupBy(*keys, "_rows").agg(*[e for name, p in place.items() for e in (value(F.floor(p)).alias(f"_lo_{name}"), value(F.ceil(p)).alias(f"_hi_{name}"))])
+    lo, hi = (lambda name: F.col(f"_lo_{name}")), (lambda name: F.col(f"_hi_{name}"))
+    return got.select(*keys, *[F.when(lo(name) == hi(name), lo(name)).otherwise((F.ceil(p) - p) * lo(name) + (p - F.floor(p)) * hi(name)).alias(name) for name, p in place.items()])
+
+
 def normalize_by_quantile(df: DataFrame, x: str, keys: list[str], q: float = 0.95) -> DataFrame:
-    """x over its group's quantile, in [0, 1]; one aggregate and a join, no window over the group's rows."""
-    top = df.groupBy(*keys).agg(F.percentile(finite(F.col(x)), q).alias("top"))
+    """x over its group's quantile, in [0, 1]; a join with the quantiles, no window over the group's rows."""
+    top = df.select(*keys).distinct().join(quantiles(df.withColumn(x, finite(F.col(x))), x, keys, {"top": q}), keys, "left")
     return df.join(top, keys).withColumn("norm", clip01(F.col(x) / F.greatest("top", F.lit(1e-6)))).drop("top")
 
 
 def normalize_between(df: DataFrame, x: str, keys: list[str], low: float = 0.1, high: float = 0.9, smooth: bool = False, inverse: bool = False) -> DataFrame:
-    b = df.groupBy(*keys).agg(F.percentile(x, low).alias("lo"), F.percentile(x, high).alias("hi"))
+    b = df.select(*keys).distinct().join(quantiles(df, x, keys, {"lo": low, "hi": high}), keys, "left")
     t = F.when(F.col("hi") > F.col("lo"), (F.col(x) - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
     t = smoothstep01(t) if smooth else clip01(t)
     return df.join(b, keys).withColumn("norm", 1 - t if inverse else t).drop("lo", "hi")

@@ -66,7 +66,7 @@ def column_profile(t):
 @query("SELECT l_shipmode, round(quantile_cont(q, 0.8), 4) q80 FROM (SELECT l_linenumber l_shipmode, l_quantity * l_discount q FROM lineitem) GROUP BY 1")
 def group_quantile(t):
     x = t("lineitem").select(F.col("l_linenumber").alias("l_shipmode"), (F.col("l_quantity") * F.col("l_discount")).alias("q"))
-    return x.groupBy("l_shipmode").agg(r(A.quantile("q", 0.8)).alias("q80"))
+    return A.group_quantile(x, "q", ["l_shipmode"], 0.8, "q80").withColumn("q80", r("q80"))
 
 
 @query("SELECT c_mktsegment, round(mad(c_acctbal), 4) mad FROM customer GROUP BY 1")
