@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessella.staging import reread
 
 from .graph import components, cut
+from .windows import quantiles
 
 SPLIT, LEVELS = 4, 10
 
@@ -42,9 +43,10 @@ def two_gaussians(df: DataFrame, x: str, w: str, rounds: int, least: int = 20) -
     """Weighted two-component mixture by expectation maximisation, from the quantiles 0.3 and 0.8 with shares 0.55 and
     0.45; None for fewer than `least` rows of positive weight. Every round is one aggregation of six sums."""
     df = df.filter((F.col(w) > 0) & F.col(x).isNotNull() & ~F.isnan(x)).select(F.col(x).cast("double").alias("x"), F.col(w).cast("double").alias("w"))
-    n, low, high, spread = df.agg(F.count("*"), F.percentile("x", 0.3), F.percentile("x", 0.8), F.stddev_pop("x")).first()
-    if n < least:
+    n, spread = df.agg(F.count("*"), F.stddev_pop("x")).first()
+    if n < max(least, 1):
         return None
+    low, high = quantiles(df, "x", [], {"low": 0.3, "high": 0.8}).first()
     s = max(spread, 1e-6)
     m = [(0.55, low, s), (0.45, high, s)]
     for _ in range(rounds):
