@@ -15,6 +15,7 @@ from tessella.staging import stage
 BITS, LEAF = 20, 8
 SLACK = 1 + 1e-9  # of squared distances, for rounding
 LO, HI = ["x0", "y0", "z0"], ["x1", "y1", "z1"]
+ON = ["xo", "yo", "zo"]
 
 
 def _up(cell: Column, levels: int) -> Column:
@@ -23,11 +24,12 @@ def _up(cell: Column, levels: int) -> Column:
 
 class Tree:
     """Rows with boxes in cells of a cube that is halved along each axis from level to level, by their boxes' centres; a
-    cell has the box of all that its rows cover. The last level is the first one at which no cell has more than `leaf`
-    rows, BITS at most."""
+    cell has the box of all that its rows cover, and one place of one of them. The last level is the first one at which
+    no cell has more than `leaf` rows, BITS at most."""
 
     def __init__(self, boxed: DataFrame, leaf: int = LEAF):
-        """boxed: any columns, and LO and HI."""
+        """boxed: any columns, and LO, HI and ON, a place of the row itself, not of its box alone."""
+        boxed = stage(boxed, "rows")
         mid = [(F.col(lo) + F.col(hi)) / 2 for lo, hi in zip(LO, HI, strict=True)]
         whole = boxed.agg(*[F.min(m).alias(f"l{k}") for k, m in enumerate(mid)], *[F.max(m).alias(f"h{k}") for k, m in enumerate(mid)]).first()
         wide = max([whole[f"h{k}"] - whole[f"l{k}"] for k in range(3) if whole["l0"] is not None] or [0.0]) or 1.0
@@ -45,7 +47,9 @@ class Tree:
 
     @staticmethod
     def _boxes(of: DataFrame, cell: Column) -> DataFrame:
-        return of.groupBy(cell.alias("cell")).agg(*[F.min(c).alias(c) for c in LO], *[F.max(c).alias(c) for c in HI])
+        on = F.first(F.struct(*ON)).alias("on")
+        got = of.groupBy(cell.alias("cell")).agg(*[F.min(c).alias(c) for c in LO], *[F.max(c).alias(c) for c in HI], on)
+        return got.select("cell", *LO, *HI, "on.*")
 
     def boxes(self, level: int) -> DataFrame:
         return self.cells if level == self.depth else self._boxes(self.cells, _up(F.col("cell"), self.depth - level))
@@ -53,24 +57,28 @@ class Tree:
     def candidates(self, places: DataFrame, radius: float = math.inf) -> DataFrame:
         """The rows that can be nearest to each of places (point, x, y, z) and lie within the radius, beside it.
 
-        A place goes down the tree two levels at a time with the cells that can hold its nearest row. Every cell holds
-        a row, so the nearest one is no further than the far corner of the best cell's box; cells whose box begins
-        beyond that are left. A far place so meets few cells, and a cell of many places is an ordinary skewed join. The
+        A place goes down the tree two levels at a time with the cells that can hold its nearest row. The nearest row is
+        no further than the place ON any cell or row that was met, and cells and rows whose box begins beyond the best
+        of these are left. A far place so meets few cells, and a cell of many places is an ordinary skewed join. The
         first two steps join at most 64 and 4,096 cells, which are broadcast."""
         p = [F.col(c) for c in "xyz"]
         near = [F.greatest(F.col(lo) - c, c - F.col(hi), F.lit(0.0)) for c, lo, hi in zip(p, LO, HI, strict=True)]
-        far = [F.greatest(F.abs(c - F.col(lo)), F.abs(c - F.col(hi))) for c, lo, hi in zip(p, LO, HI, strict=True)]
+        to = [c - F.col(on) for c, on in zip(p, ON, strict=True)]
+
+        def pruned(met: DataFrame, *keep: str) -> DataFrame:
+            keep = ["point", "x", "y", "z", *keep]
+            x = met.select(*keep, "best", V.dot(near, near).alias("near"), V.dot(to, to).alias("to")).filter(F.col("near") <= F.col("best") * SLACK)
+            x = x.withColumn("best", F.least("best", F.min("to").over(Window.partitionBy("point"))))
+            return x.filter(F.col("near") <= F.col("best") * SLACK).select(*keep, "best")
+
         left, level = places.select("point", *p, F.lit(0).cast("long").alias("cell"), F.lit(radius * radius).alias("best")), 0
         while level < self.depth:
             step = 2 if (self.depth - level) % 2 == 0 else 1
             level += step
             below = self.boxes(level).withColumn("up", _up(F.col("cell"), step))
             below = F.broadcast(below) if level <= 4 else below  # no more than 8**4 rows
-            x = left.withColumnRenamed("cell", "up").join(below, "up")
-            x = x.select("point", "x", "y", "z", "cell", "best", V.dot(near, near).alias("near"), V.dot(far, far).alias("far")).filter(F.col("near") <= F.col("best") * SLACK)
-            x = x.withColumn("best", F.least("best", F.min("far").over(Window.partitionBy("point"))))
-            left = x.filter(F.col("near") <= F.col("best") * SLACK).select("point", "x", "y", "z", "cell", "best")
-        return left.join(self.rows, "cell").filter(V.dot(near, near) <= F.col("best") * SLACK)
+            left = pruned(left.withColumnRenamed("cell", "up").join(below, "up"), "cell")
+        return pruned(left.join(self.rows, "cell"), *[c for c in self.rows.columns if c != "cell"])
 
 
 def _finite(points: DataFrame) -> DataFrame:
@@ -96,7 +104,7 @@ def nearest_rows(left: DataFrame, right: DataFrame, lid: str, rid: str, axes: li
     l, r = _as_point(left, lid, axes), _as_point(right, rid, axes)  # noqa: E741
     places = _places(l)
     there = _finite(r).groupBy("x", "y", "z").agg(F.min("row").alias("r"))
-    tree = Tree(there.select("r", *[F.col(c).alias(n) for c, n in zip("xyz", LO, strict=True)], *[F.col(c).alias(n) for c, n in zip("xyz", HI, strict=True)]), leaf)
+    tree = Tree(there.select("r", *[F.col(c).alias(n) for names in (LO, HI, ON) for c, n in zip("xyz", names, strict=True)]), leaf)
     d2 = sum((F.col(c) - F.col(lo)) ** 2 for c, lo in list(zip("xyz", LO, strict=True))[: len(axes)])
     x = tree.candidates(places, radius).withColumn("d2", d2).filter(F.col("d2") <= radius * radius)
     best = x.groupBy("point").agg(F.min(F.struct(F.sqrt("d2").alias("distance"), "r")).alias("m"))
@@ -134,6 +142,7 @@ def nearest_triangles(points: DataFrame, corners: DataFrame, point: str = "point
     Points without a coordinate have none."""
     ends = [F.least(*[F.col(f"{n}.{k}") for n in "abc"]).alias(v) for k, v in zip("xyz", LO, strict=True)]
     ends += [F.greatest(*[F.col(f"{n}.{k}") for n in "abc"]).alias(v) for k, v in zip("xyz", HI, strict=True)]
+    ends += [F.col(f"a.{k}").alias(v) for k, v in zip("xyz", ON, strict=True)]
     tree = Tree(corners.select("face", "a", "b", "c", *ends), leaf)
     p = _as_point(points, point, list("xyz"))
     places = _places(p)
