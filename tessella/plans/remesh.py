@@ -13,6 +13,7 @@ from tessella.operators import mesh as M
 from tessella.operators import nearest as N
 from tessella.operators import patches as H
 from tessella.operators import remesh as X
+from tessella.staging import stage
 
 from .catalog import query, r
 
@@ -43,8 +44,8 @@ def _ground(t):
     return n.select("vertex", (F.floor(v / 30) + F.col("n") % 5 / 20).alias("x"), (v % 30 + F.col("n") % 7 / 20).alias("y"), (F.col("n") % 11 / 8).alias("z"))
 
 
-def _tiles(t):
-    v, ground = F.col("vertex"), _ground(t).select("vertex")
+def _tiles(t, ground=None):
+    v, ground = F.col("vertex"), (ground or _ground(t)).select("vertex")
     two = F.explode(F.array(F.struct((2 * v).alias("face"), v.alias("v0"), (v + 30).alias("v1"), (v + 1).alias("v2")), F.struct((2 * v + 1).alias("face"), (v + 30).alias("v0"), (v + 31).alias("v1"), (v + 1).alias("v2"))))
     out = ground.filter("vertex % 30 < 29 and vertex < 870").select(two.alias("f")).select("f.*")
     for c in X.CORNERS:
@@ -130,7 +131,9 @@ def planar_patches(t):
 
 
 def _land(t):
-    return M.with_corners(_tiles(t), _ground(t), "face", X.CORNERS, "vertex", X.AXES)
+    """The terrain's faces; line items are read once for it."""
+    ground = stage(_ground(t), "ground")
+    return stage(M.with_corners(_tiles(t, ground), ground, "face", X.CORNERS, "vertex", X.AXES), "land")
 
 
 def _dots(u: str, w: str) -> str:
